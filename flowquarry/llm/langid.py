@@ -274,17 +274,17 @@ def train(docs: DataFrame, cfg: LangConfig = LangConfig()) -> LangModel | None:
     total = rows.select("lang").count()
     share = min(1.0, cfg.calibration_rows / max(total, 1))
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    _calibrate(model, _score(sample, model, cfg, ["lang"]).where("n > 0").select("lang", "best", "ce", "n").toPandas())
+    _calibrate(model, _score(sample, model, cfg, ["lang"]).where("__n > 0").toPandas())
     return model
 
 
 def _calibrate(model: LangModel, seen: pd.DataFrame) -> None:
     """Mean and variances of the cross-entropy of rows that get their own language."""
     usual = []
-    all_ce = seen.ce.to_numpy() if len(seen) else np.array([3.0])
+    all_ce = seen["__ce"].to_numpy() if len(seen) else np.array([3.0])
     for i, lang in enumerate(model.langs):
-        s = seen[(seen.lang == lang) & (seen.best == i)]
-        ce, n = (s.ce.to_numpy(), s.n.to_numpy()) if len(s) >= 20 else (all_ce, np.full(len(all_ce), 50.0))
+        s = seen[(seen.lang == lang) & (seen["__best"] == i)]
+        ce, n = (s["__ce"].to_numpy(), s["__n"].to_numpy()) if len(s) >= 20 else (all_ce, np.full(len(all_ce), 50.0))
         mid = float(np.median(ce))
         spread = max(0.05, 1.4826 * float(np.median(np.abs(ce - mid))))
         usual.append((mid, spread**2, 4.0 + spread**2 * float(np.median(n))))
@@ -295,13 +295,15 @@ def _score(docs: DataFrame, model: LangModel, cfg: LangConfig, keep: list[str])
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(model)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "best int, ce double, n double, score double"])
+    sent = keep if "text" in keep else [*keep, "text"]
+    at = sent.index("text")
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "__best int, __ce double, __n double, __score double"])
 
     def part(batches):
         m = shared.value
         scorer = Scorer(m, cfg)
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+            texts = b.column(at).to_pylist()
             for lo, hi in slices([len(t or "") for t in texts], cfg.slice_chars):
                 ll, n = scorer.texts(texts[lo:hi])
                 ce = -ll / np.maximum(n, 1)[:, None]
@@ -310,24 +312,25 @@ def _score(docs: DataFrame, model: LangModel, cfg: LangConfig, keep: list[str])
                 # The posterior of the best language, with the evidence of at most 50 symbols.
                 post = 1 / np.exp(-(ce - low[:, None]) * np.minimum(n, 50)[:, None]).sum(1)
                 none = n == 0
-                cols = [b.column(i).slice(lo, hi - lo) for i in range(b.num_columns - 1)]
+                cols = [b.column(i).slice(lo, hi - lo) for i in range(len(keep))]
                 cols += [pa.array(np.where(none, -1, best), pa.int32()), pa.array(np.where(none, 0.0, low)), pa.array(n), pa.array(np.where(none, 0.0, np.clip(post, 0, 1)))]
-                yield pa.RecordBatch.from_arrays(cols, [*keep, "best", "ce", "n", "score"])
+                yield pa.RecordBatch.from_arrays(cols, [*keep, "__best", "__ce", "__n", "__score"])
 
-    return docs.select(*[F.col(f"`{k}`") for k in keep], "text").mapInArrow(part, schema)
+    return docs.select(*[F.col(f"`{k}`") for k in sent]).mapInArrow(part, schema)
 
 
-def identify(docs: DataFrame, model: LangModel | None, cfg: LangConfig = LangConfig(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per row: the columns of ``keep``, lang_pred, score, cross_entropy, accepted."""
+def identify(docs: DataFrame, model: LangModel | None, cfg: LangConfig = LangConfig(), keep: tuple[str, ...] = ("doc_id",), made: tuple[str, ...] = ("lang_pred", "score", "cross_entropy", "accepted")) -> DataFrame:
+    """Per row: the columns of ``keep``, and the prediction under the names ``made``."""
     cols = [F.col(f"`{k}`") for k in keep]
     if model is None:
-        return docs.select(*cols, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(False).alias("accepted"))
+        return docs.select(*cols, F.lit("und").alias(made[0]), F.lit(0.0).alias(made[1]), F.lit(None).cast("double").alias(made[2]), F.lit(False).alias(made[3]))
     scored = _score(docs, model, cfg, list(keep))
     names = F.array(*[F.lit(x) for x in model.langs])
-    mid, wide, each = (F.get(F.array(*[F.lit(float(x)) for x in model.usual[:, i]]), F.col("best")) for i in range(3))
-    fits = F.col("ce") <= mid + cfg.reject_z * F.sqrt(wide + each / F.greatest("n", F.lit(1.0)))
-    some = F.col("best") >= 0
-    return scored.select(*cols, F.when(some, F.get(names, F.col("best"))).otherwise("und").alias("lang_pred"), "score", F.when(some, F.col("ce")).alias("cross_entropy"), F.when(some, fits).otherwise(False).alias("accepted"))
+    best, ce, n = F.col("__best"), F.col("__ce"), F.col("__n")
+    mid, wide, each = (F.get(F.array(*[F.lit(float(x)) for x in model.usual[:, i]]), best) for i in range(3))
+    fits = ce <= mid + cfg.reject_z * F.sqrt(wide + each / F.greatest(n, F.lit(1.0)))
+    some = best >= 0
+    return scored.select(*cols, F.when(some, F.get(names, best)).otherwise("und").alias(made[0]), F.col("__score").alias(made[1]), F.when(some, ce).alias(made[2]), F.when(some, fits).otherwise(False).alias(made[3]))
 
 
 def language_id(documents: DataFrame, cfg: LangConfig = LangConfig()) -> DataFrame:

@@ -4,21 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .langid import language_id
-from .quality import quality
+from . import langid, linededup, ngramjoin, packing, pieces, quality, secrets, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_ids(_table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id(_table(spark, sf_dir, "documents"))
+    return langid.language_id(_table(spark, sf_dir, "documents"))
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.approximate_search(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(_table(spark, sf_dir, "documents"))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.exact_search(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.clean_lines(_table(spark, sf_dir, "documents"))
+
+
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(_table(spark, sf_dir, "documents"), ngramjoin.JoinConfig(n=3, percent=90))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(_table(spark, sf_dir, "pages"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op10_quality)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_ann, op4_packing, op5_secrets, op6_topk, op7_line_dedup, op8_jaccard, op9_warc, op10_quality)}
+ORACLES: dict[str, str] = {"op7_line_dedup": linededup.ORACLE}
