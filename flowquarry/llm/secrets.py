@@ -136,5 +136,8 @@ def digest(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """op5: counts, checksum and spelled spans per document."""
     found, _ = scan_versions(documents, None, rules, "doc_id")
     base = F.filter("spans", lambda x: x["kind"].isin("assign", "access", "hex"))
-    count = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
-    return found.select(F.col("path").alias("doc_id"), *count, F.sha2(spelled(base).cast("binary"), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(F.col("path").alias("doc_id"), *map(count, ("assign", "access", "hex")), F.sha2(spelled(base).cast("binary"), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))

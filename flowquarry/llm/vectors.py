@@ -126,7 +126,7 @@ class CollisionIndex:
         middle = np.array([np.searchsorted(self.sorted[j], own[j]) for j in range(m)])
         lo, hi, counts = middle.copy(), middle.copy(), np.zeros(n, np.int32)
         # The first width takes in about a share ``first`` of the block on a line.
-        width = cfg.first * float(np.mean(self.sorted[:, -1] - self.sorted[:, 0])) / 2
+        width = max(0.05, cfg.first * float(np.mean(self.sorted[:, -1] - self.sorted[:, 0])) / 2)
         while True:
             left = np.array([np.searchsorted(self.sorted[j], own[j] - width) for j in range(m)])
             right = np.array([np.searchsorted(self.sorted[j], own[j] + width, "right") for j in range(m)])
