@@ -3,7 +3,7 @@
 
 def all_queries():
     """(queries, oracles) of the whole catalogue."""
-    from . import queries  # noqa: F401  registers
+    from . import queries, queries_more  # noqa: F401  these register
     from .registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES
