@@ -377,3 +377,52 @@ def clean_rows(spark: SparkSession, sf: str) -> DataFrame:
 def burst_names(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("src_ip").orderBy("ts_us").rangeBetween(-DAY, 0)
     return A.flows(spark, sf).select("flow_id", F.size(F.collect_set(F.when(F.col("bytes_out") > 5000, F.col("dst_ip"))).over(w)).alias("burst"))
+
+
+@query("DET-03", "SET-03", "FIL-05", "WIN-07")
+def dga_detect(spark: SparkSession, sf: str) -> DataFrame:
+    from ..detectors.dga import dga
+
+    p = A.table(spark, sf, "part")
+    lm = ML.trigram_counts(p.select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).groupBy("w").agg(F.count("*").alias("count")), "w")
+    names = p.select(F.col("p_partkey").alias("query_id"), (F.col("p_partkey") % 50).cast("string").alias("src_ip"), (F.col("p_partkey") * 1_000_000).alias("ts_us"), F.concat(F.substring(F.md5(F.col("p_partkey").cast("string").cast("binary")), 1, 14), F.lit(".net")).alias("domain"))
+    return dga(names, lm, p.select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct())
+
+
+@query("AGG-07", sql="WITH c AS (SELECT s_suppkey, ch, count(*) AS c FROM (SELECT s_suppkey, unnest(string_split(s_name, '')) AS ch FROM supplier) GROUP BY ALL) SELECT s_suppkey, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 5) AS entropy FROM c GROUP BY ALL")
+def string_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    return A.table(spark, sf, "supplier").select("s_suppkey", F.round(S.char_entropy("s_name"), 5).alias("entropy"))
+
+
+@query("SF-14", sql=oracle("""
+, b AS (SELECT src_ip, avg(bytes_out) AS m, stddev_pop(bytes_out) AS s FROM flows GROUP BY ALL)
+SELECT flow_id, round(CASE WHEN m > 0 THEN bytes_out / m ELSE 0e0 END, 6) AS outbound_ratio, round(CASE WHEN s > 0 THEN abs(bytes_out - m) / s ELSE 0e0 END, 5) AS deviation FROM flows JOIN b USING (src_ip)""", "flows"))
+def baseline_features(spark: SparkSession, sf: str) -> DataFrame:
+    f = A.flows(spark, sf)
+    b = f.groupBy("src_ip").agg(F.avg("bytes_out").alias("m"), F.stddev_pop("bytes_out").alias("s"))
+    return f.join(b, "src_ip").select("flow_id", F.round(S.guarded("bytes_out", "m"), 6).alias("outbound_ratio"), F.round(S.guarded(F.abs(F.col("bytes_out") - F.col("m")), "s"), 5).alias("deviation"))
+
+
+@query("AGG-15", "SET-08", sql=oracle(_ALERTS + """
+, p AS (SELECT 'c2' AS path FROM al WHERE ok AND threat_class = 'beacon' UNION ALL SELECT 'recon' FROM al WHERE ok AND threat_class = 'scan' UNION ALL SELECT 'ti' FROM al WHERE ok AND dst_ip LIKE '45.%')
+SELECT path, count(*) AS n FROM p GROUP BY ALL""", "flows"))
+def alerts_by_path(spark: SparkSession, sf: str) -> DataFrame:
+    a = AL.validate(_alerts(spark, sf))[0]
+    each = F.array_compact(F.array(F.when(F.col("dst_ip").startswith("45."), "ti"), F.when(F.col("threat_class") == "beacon", "c2").otherwise("recon")))
+    return a.select(F.explode(each).alias("path")).groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("TOP-07", "SNK-09", sql=_EVAL + """, m AS (SELECT unnest(['low', 'middle', 'high']) AS model, unnest([0.05e0, 0.1e0, 0.2e0]) AS t),
+c AS (SELECT model, count(*) FILTER (score >= t AND y = 1) AS tp, count(*) FILTER (score >= t AND y = 0) AS fp, count(*) FILTER (score < t AND y = 1) AS fn FROM e, m GROUP BY ALL)
+SELECT model, round(2 * tp / greatest(2 * tp + fp + fn, 1), 6) AS f1, CAST(row_number() OVER (ORDER BY 2 * tp / greatest(2 * tp + fp + fn, 1) DESC, model) AS INTEGER) AS rank FROM c""")
+def model_rank(spark: SparkSession, sf: str) -> DataFrame:
+    e = _eval(spark, sf)
+    all_models = [ML.confusion(e, t).select(F.lit(name).alias("model"), "f1") for name, t in (("low", 0.05), ("middle", 0.1), ("high", 0.2))]
+    union = all_models[0].unionByName(all_models[1]).unionByName(all_models[2])
+    return union.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("f1"), "model")))
+
+
+@query("SF-26", "SF-15", sql=oracle("SELECT flow_id, md5(concat(src_ip, '|', dst_ip, '|', flow_id)) AS alert_key, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S') AS at FROM flows", "flows"))
+def alert_keys(spark: SparkSession, sf: str) -> DataFrame:
+    at = F.date_format(F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, ts_us div 1000000)"), "yyyy-MM-dd'T'HH:mm:ss")
+    return A.flows(spark, sf).select("flow_id", F.md5(F.concat_ws("|", "src_ip", "dst_ip", F.col("flow_id").cast("string")).cast("binary")).alias("alert_key"), at.alias("at"))
