@@ -8,8 +8,8 @@ a dual traversal drops node pairs whose largest possible overlap is too small, a
 Trees above ``most_leaves`` are dealt out as pairs of blocks, so no task holds a whole hot group, and each task returns
 a spanning forest of its links, never all pairs.
 
-Rarity is estimated by a fixed-size counter array summed over all documents; it only orders the members, and any common
-order keeps the result exact.
+Rarity is estimated from the frequencies of a member's words, which a fixed-size counter array holds for all documents;
+it only orders the members, and any common order keeps the result exact.
 
 Defined cases: null and empty texts have no set, are linked with nothing and are their own component; texts with fewer
 words than n have their whole word sequence as the only member; repeated rows are copies; rows that share a doc_id are
@@ -37,9 +37,11 @@ class JoinConfig:
     n: int = 5
     #: the least similarity, in hundredths
     percent: int = 80
-    counters: int = 1 << 20
+    counters: int = 1 << 22
     counter_slices: int = 128
     most_leaves: int = 1536
+    #: members that at most so many classes share are counted pair by pair; beyond, all their classes share a tree.
+    small_group: int = 8
     leaf: int = 16
     fan: int = 8
     #: candidates whose ids are broadcast to the documents, at most; above, the join shuffles.
@@ -62,20 +64,41 @@ class Shingler:
         self.cfg, self.seen = cfg, _Hashes()
         self.mult = splitmix(np.arange(1, 1 + max(cfg.n, 2), dtype=np.uint64)) | np.uint64(1)
 
-    def members(self, text: bytes | None) -> np.ndarray:
+    def words(self, text: bytes | None) -> np.ndarray:
         # bytes.lower() changes A-Z alone, bytes.split() cuts at blanks and 0x09-0x0D alone.
         words = text.lower().split() if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
         if len(self.seen) > self.cfg.memo_words:
             self.seen.clear()
-        h = np.fromiter(map(self.seen.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(self.seen.__getitem__, words), np.uint64, len(words))
+
+    def _windows(self, h: np.ndarray) -> np.ndarray:
         n = min(self.cfg.n, len(h))
         size = len(h) - n + 1
         out = h[:size] * self.mult[0] + np.uint64(n)
         for j in range(1, n):
             out += h[j : j + size] * self.mult[j]
-        return np.unique(splitmix(out))
+        return splitmix(out)
+
+    def members(self, h: np.ndarray) -> np.ndarray:
+        return np.unique(self._windows(h)) if len(h) else h
+
+    def rarest(self, h: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All members, and the rarest ones by the frequencies of their words: as many as the prefix bound asks for."""
+        m, first = np.unique(self._windows(h), return_index=True)
+        keep = len(m) - -(-self.cfg.percent * len(m) // 100) + 1
+        if keep >= len(m):
+            return m, m
+        each = level[(h & np.uint64(self.cfg.counters - 1)).astype(np.int64)].astype(np.uint64)
+        n = min(self.cfg.n, len(h))
+        size = len(h) - n + 1
+        least, total = each[:size].copy(), each[:size].copy()
+        for j in range(1, n):
+            least = np.minimum(least, each[j : j + size])
+            total += each[j : j + size]
+        # A member is no more frequent than its rarest word. Ties by all its words, then by hash: the order is the same
+        # for every document.
+        order = (least[first] << np.uint64(54)) | (total[first] << np.uint64(42)) | (m >> np.uint64(22))
+        return m, m[np.argpartition(order, keep - 1)[:keep]]
 
 
 def _name(members: np.ndarray) -> int:
@@ -97,11 +120,12 @@ def profile(docs: DataFrame, cfg: JoinConfig) -> DataFrame:
         for b in batches:
             n, names = [], []
             for text in b.column(1).to_pylist():
-                m = shingler.members(text)
+                h = shingler.words(text)
+                m = shingler.members(h)
                 n.append(len(m))
                 names.append(_name(m) if len(m) else None)
-                waiting.append(m)
-                size += len(m)
+                waiting.append(h)
+                size += len(h)
                 if size > 2_000_000:
                     add()
                     size = 0
@@ -118,7 +142,7 @@ def profile(docs: DataFrame, cfg: JoinConfig) -> DataFrame:
 
 
 def _counters(profile: DataFrame, cfg: JoinConfig) -> np.ndarray:
-    """How often the members of each counter occur, as 8-bit levels of the logarithm."""
+    """How often the words of each counter occur, as sixteenths of the logarithm."""
 
     def total(batches):
         sums: dict[int, np.ndarray] = {}
@@ -134,9 +158,9 @@ def _counters(profile: DataFrame, cfg: JoinConfig) -> np.ndarray:
     rows = dealt.mapInArrow(total, "slot int, counts binary").collect()
     parts = {r.slot: np.frombuffer(r.counts, np.uint64) for r in rows}
     if not parts:
-        return np.zeros(cfg.counters, np.uint8)
+        return np.zeros(cfg.counters, np.uint16)
     counts = np.concatenate([parts[i] for i in range(cfg.counter_slices)])
-    return np.minimum(np.log2(counts + 1.0) * 8, 255).astype(np.uint8)
+    return np.minimum(np.log2(counts + 1.0) * 16, min(1023, 4095 // cfg.n)).astype(np.uint16)
 
 
 def postings(docs: DataFrame, levels: np.ndarray, cfg: JoinConfig) -> DataFrame:
@@ -145,20 +169,19 @@ def postings(docs: DataFrame, levels: np.ndarray, cfg: JoinConfig) -> DataFrame:
 
     def part(batches):
         shingler, level = Shingler(cfg), shared.value
-        mask = np.uint64(cfg.counters - 1)
         done: set[int] = set()
         for b in batches:
             found, names = [], []
             for text in b.column(0).to_pylist():
-                m = shingler.members(text)
-                if not len(m) or (name := _name(m)) in done:
+                h = shingler.words(text)
+                if not len(h):
+                    continue
+                m, rare = shingler.rarest(h, level)
+                if (name := _name(m)) in done:
                     continue
                 done.add(name)  # copies in one task post once
-                keep = len(m) - -(-cfg.percent * len(m) // 100) + 1
-                # Ordered by level, then by hash: the order is the same for every document.
-                order = (level[(m & mask).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (m >> np.uint64(8))
-                found.append(m[np.argpartition(order, keep - 1)[:keep]] if keep < len(m) else m)
-                names.append(np.full(len(found[-1]), name, np.int64))
+                found.append(rare)
+                names.append(np.full(len(rare), name, np.int64))
             if len(done) > 1_000_000:
                 done.clear()
             if found:
@@ -284,15 +307,36 @@ def _links(group: pd.DataFrame, cfg: JoinConfig) -> list[tuple[int, int]]:
     return [(int(reps[a]), int(reps[b])) for a, b in out]
 
 
+def _meetings(posted: DataFrame, docs: DataFrame, cfg: JoinConfig) -> DataFrame:
+    """Edges (u, v) between classes that must share a tree.
+
+    If a pair reaches the similarity, the prefix whose range ends first is short of the other set by no more members
+    than the whole set may be; so the pair shares at least ``need + 1 - ceil(percent * size)`` prefix members. Members
+    of few classes are counted pair by pair (a bounded number for each) and pairs below that number go. The classes of
+    a member that more share are linked to the least of them, whatever their counts.
+    """
+    shared = posted.groupBy("member").agg(F.min("class").alias("hub"), F.max("class").alias("other"), F.count("*").alias("k")).where("hub < other")
+    met = posted.join(shared, "member")
+    stars = met.where((F.col("k") > cfg.small_group) & (F.col("class") != F.col("hub"))).select(F.col("hub").alias("u"), F.col("class").alias("v")).distinct()
+    few = met.where(F.col("k") <= cfg.small_group).groupBy("member").agg(F.array_sort(F.collect_set("class")).alias("c"))
+    each = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.struct(x.alias("u"), y.alias("v")))))
+    pairs = few.select(F.explode(each).alias("p")).groupBy("p.u", "p.v").agg(F.count("*").alias("common"))
+    sizes = docs.where("n > 0").groupBy("class").agg(F.first("n").alias("n"))
+    pairs = pairs.join(sizes.select(F.col("class").alias("u"), F.col("n").alias("a")), "u").join(sizes.select(F.col("class").alias("v"), F.col("n").alias("b")), "v")
+    p = cfg.percent
+    up = lambda x, d: F.expr(f"({x} + {d} - 1) div {d}")
+    need, most = up(f"{p} * (a + b)", 100 + p), F.greatest(up(f"{p} * a", 100), up(f"{p} * b", 100))
+    fits = (100 * F.least("a", "b") >= p * F.greatest("a", "b")) & (F.col("common") >= need + 1 - most)
+    return stars.unionAll(pairs.where(fits).select("u", "v"))
+
+
 def jaccard_components(documents: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of (doc_id, text)."""
     known = profile(documents, cfg)
     docs = known.where("slot is null").select("doc_id", "n", "class")
     classes = docs.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
     posted = stash(postings(documents, _counters(known, cfg), cfg), "join-postings")
-    hubs = posted.groupBy("member").agg(F.min("class").alias("hub"), F.max("class").alias("other")).where("hub < other").select("member", "hub")
-    met = posted.join(hubs, "member").where("class <> hub").select(F.col("hub").alias("u"), F.col("class").alias("v")).distinct()
-    trees = components(met)
+    trees = components(_meetings(posted, docs, cfg))
     drop(posted)
     trees = trees.unionAll(trees.select(F.col("root").alias("id"), "root").distinct())
     wanted = stash(trees.join(classes, trees.id == classes["class"]).select("rep", "class", F.col("root").alias("tree")), "join-wanted")
@@ -308,7 +352,7 @@ def jaccard_components(documents: DataFrame, cfg: JoinConfig = JoinConfig()) ->
             for text, rep, name, tree in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if (rep, name) in done:
                     continue
-                m = shingler.members(text)
+                m = shingler.members(shingler.words(text))
                 if len(m) and _name(m) == name:  # rows that share a doc_id may hold other texts
                     done.add((rep, name))
                     rows.append((rep, name, tree, m.tobytes()))
