@@ -1,16 +1,17 @@
 """Operator 9: WARC archives with revisit resolution.
 
 Headers (id, payload digest, length) are shuffled by digest; the smallest page of a digest becomes the response and
-the others are joined to it as revisits. Archives are written by Spark's text writer, whose line separator is the end
-of a WARC record, into any file system Spark reaches; they are read back as whole files and parsed by length.
+the others are joined to it as revisits. Archives are written by Spark's gzip text writer, whose line separator is the
+end of a WARC record, into any file system Spark reaches; they are read back as whole files and parsed by length.
 
 Defined cases: a null payload is empty; payloads below ``least_bytes`` are always responses; a repeated page_id counts
-once, with the least (html, url); a null page_id is a page like others; a null url leaves the header out, line breaks
+once, with the least (html, url); a page with a null page_id is always a response; a null url leaves the header out, line breaks
 in it become blanks; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from dataclasses import dataclass
 
@@ -39,7 +40,8 @@ def resolve(pages: DataFrame, cfg: WarcConfig = WarcConfig()) -> DataFrame:
     first = heads.where(F.col("bytes") >= cfg.least_bytes).groupBy("digest").agg(F.min("page_id").alias("response_id"))
     # Only pages that are not their digest's response are joined back by id.
     moved = heads.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("response_id"))).select(F.col("page_id").alias("id"), "response_id")
-    return full.join(moved, full.page_id.eqNullSafe(moved.id), "left").drop("id")
+    # The pages are dealt by page_id already, so this join moves no payload again.
+    return full.join(moved, full.page_id == moved.id, "left").drop("id")
 
 
 def _uuid(column) -> F.Column:
@@ -70,7 +72,7 @@ def records(resolved: DataFrame, cfg: WarcConfig = WarcConfig()) -> DataFrame:
 
 
 def write(resolved: DataFrame, path: str, cfg: WarcConfig = WarcConfig()) -> str:
-    records(resolved, cfg).write.option("lineSep", END.decode()).option("maxRecordsPerFile", cfg.records_per_file).text(path)
+    records(resolved, cfg).write.option("lineSep", END.decode()).option("maxRecordsPerFile", cfg.records_per_file).option("compression", "gzip").text(path)
     return path
 
 
@@ -99,7 +101,7 @@ def read(spark, path: str, page_kind: str = "bigint") -> DataFrame:
         for b in batches:
             for data in b.column(0):
                 rows = []
-                for h, block in parse(data.as_buffer().to_pybytes()):
+                for h, block in parse(gzip.decompress(data.as_buffer().to_pybytes())):
                     cut = block.index(END) + 4
                     payload, digest = block[cut:], h["WARC-Payload-Digest"].removeprefix("sha256:")
                     if h["WARC-Type"] == "response":
