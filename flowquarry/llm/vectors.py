@@ -38,12 +38,12 @@ class SearchConfig:
     rows_per_block: int = 8192
     queries_per_block: int = 2048
     #: operator 3
-    projections: int = 48
-    collide: float = 0.6
+    projections: int = 96
+    collide: float = 0.7
     #: share of a block, beyond k, that must collide before a query's windows stop growing
-    verify: float = 0.06
-    first: float = 0.08
-    grow: float = 1.5
+    verify: float = 0.16
+    first: float = 0.3
+    grow: float = 1.12
     seed: int = 11
 
 
@@ -118,26 +118,34 @@ class CollisionIndex:
         self.order = np.argsort(places, axis=0).T.copy().astype(np.int32)
         self.sorted = np.take_along_axis(places, self.order.T.astype(np.int64), axis=0).T.copy()
 
-    def candidates(self, query: np.ndarray) -> np.ndarray:
-        """Vectors that collide with the query on enough lines."""
+    def candidates(self, queries: np.ndarray) -> list[np.ndarray]:
+        """For each query the vectors that collide with it on enough lines; all queries' windows grow together."""
         cfg, n, m = self.cfg, len(self.vectors), self.cfg.projections
-        own = query / np.sqrt((query * query).sum()) @ self.lines
+        own = (queries / np.sqrt((queries * queries).sum(1, keepdims=True)) @ self.lines).T
         wanted, need = min(n, int(cfg.k + cfg.verify * n) + 1), int(np.ceil(cfg.collide * m))
-        middle = np.array([np.searchsorted(self.sorted[j], own[j]) for j in range(m)])
-        lo, hi, counts = middle.copy(), middle.copy(), np.zeros(n, np.int32)
-        # The first width takes in about a share ``first`` of the block on a line.
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
+        active = np.arange(len(queries))
+        lo = np.stack([np.searchsorted(self.sorted[j], own[j]) for j in range(m)])
+        hi, counts = lo.copy(), np.zeros((len(queries), n), np.int16)
+        # The first width takes in about a share ``first`` of a line's range.
         width = max(0.05, cfg.first * float(np.mean(self.sorted[:, -1] - self.sorted[:, 0])) / 2)
-        while True:
-            left = np.array([np.searchsorted(self.sorted[j], own[j] - width) for j in range(m)])
-            right = np.array([np.searchsorted(self.sorted[j], own[j] + width, "right") for j in range(m)])
-            met = [self.order[j, a:b] for j in range(m) for a, b in ((left[j], lo[j]), (hi[j], right[j])) if b > a]
-            if met:
-                counts += np.bincount(np.concatenate(met), minlength=n).astype(np.int32)
-            lo, hi = np.minimum(lo, left), np.maximum(hi, right)
-            some = np.flatnonzero(counts >= need)
-            if len(some) >= wanted or ((lo == 0).all() and (hi == n).all()):
-                return some
+        while len(active):
+            left = np.stack([np.searchsorted(self.sorted[j], own[j, active] - width) for j in range(m)])
+            right = np.stack([np.searchsorted(self.sorted[j], own[j, active] + width, "right") for j in range(m)])
+            going = []
+            for i, q in enumerate(active.tolist()):
+                bounds = zip(left[:, i].tolist(), lo[:, q].tolist(), hi[:, q].tolist(), right[:, i].tolist(), strict=True)
+                met = [x for j, (a, b, c, d) in enumerate(bounds) for x in (self.order[j, a:b], self.order[j, c:d])]
+                counts[q] += np.bincount(np.concatenate(met), minlength=n).astype(np.int16)
+                some = np.flatnonzero(counts[q] >= need)
+                if len(some) >= wanted or (not left[:, i].any() and (right[:, i] == n).all()):
+                    out[q] = some
+                else:
+                    going.append(q)
+            lo[:, active], hi[:, active] = left, right
+            active = np.array(going, np.int64)
             width *= cfg.grow
+        return out
 
 
 def approximate_search(embeddings: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
@@ -149,8 +157,8 @@ def approximate_search(embeddings: DataFrame, cfg: SearchConfig = SearchConfig()
         by = np.argsort(inverse, kind="stable")  # ids ascend within a vector
         starts = np.searchsorted(inverse[by], np.arange(len(distinct) + 1))
         index, rows = CollisionIndex(distinct, cfg), []
-        for q, x in zip(query_ids.tolist(), queries, strict=True):
-            some = index.candidates(x)
+        found = (c for lo in range(0, len(queries), 256) for c in index.candidates(queries[lo : lo + 256]))
+        for q, x, some in zip(query_ids.tolist(), queries, found, strict=True):
             # Summed in one fixed order for every vector, so equal vectors have equal scores in every block.
             scores = np.einsum("ij,j->i", distinct[some], x)
             # k + 1 ids of a vector are enough: one may be the query's own.
