@@ -36,8 +36,6 @@ class LangConfig:
     order: int = 4
     #: n-grams of the highest order that are kept for a language, the most frequent first: bounds the model's size.
     max_grams_per_lang: int = 250_000
-    #: labelled rows used to calibrate the rejection, at most about so many.
-    calibration_rows: int = 2_000
     #: standard deviations above the usual cross-entropy at which a text is rejected.
     reject_z: float = 8.0
     memo_words: int = 400_000
@@ -271,24 +269,48 @@ def train(docs: DataFrame, cfg: LangConfig = LangConfig()) -> LangModel | None:
     drop(table)
     if model is None:
         return None
-    total = rows.select("lang").count()
-    share = min(1.0, cfg.calibration_rows / max(total, 1))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    _calibrate(model, _score(sample, model, cfg, ["lang"]).where("__n > 0").toPandas())
+    _calibrate(model, _histograms(_score(rows, model, cfg, ["lang"]), model).toPandas())
     return model
 
 
+#: Width of a bin of cross-entropies, and bins of text lengths for each doubling.
+CE_BIN, N_BINS = 0.001, 16
+
+
+def _histograms(seen: DataFrame, model: LangModel) -> DataFrame:
+    """(lang, kind, bin, n) of all rows with letters that get their own language: cross-entropies (ce) and lengths (n)."""
+    names = F.array(*[F.lit(x) for x in model.langs])
+    own = seen.where((F.col("__n") > 0) & (F.col("lang") == F.get(names, F.col("__best"))))
+    ce, n = F.floor(F.col("__ce") / CE_BIN), F.floor(F.log2("__n") * N_BINS)
+    each = F.array(F.struct(F.lit("ce").alias("kind"), ce.alias("bin")), F.struct(F.lit("n").alias("kind"), n.alias("bin")))
+    return own.select("lang", F.explode(each).alias("x")).groupBy("lang", "x.kind", "x.bin").agg(F.count("*").alias("n"))
+
+
+def _median(values: np.ndarray, weights: np.ndarray) -> float:
+    by = np.argsort(values)
+    total = np.cumsum(weights[by])
+    return float(values[by][np.searchsorted(total, total[-1] / 2)])
+
+
 def _calibrate(model: LangModel, seen: pd.DataFrame) -> None:
-    """Mean and variances of the cross-entropy of rows that get their own language."""
-    usual = []
-    all_ce = seen["__ce"].to_numpy() if len(seen) else np.array([3.0])
-    for i, lang in enumerate(model.langs):
-        s = seen[(seen.lang == lang) & (seen["__best"] == i)]
-        ce, n = (s["__ce"].to_numpy(), s["__n"].to_numpy()) if len(s) >= 20 else (all_ce, np.full(len(all_ce), 50.0))
-        mid = float(np.median(ce))
-        spread = max(0.05, 1.4826 * float(np.median(np.abs(ce - mid))))
-        usual.append((mid, spread**2, 4.0 + spread**2 * float(np.median(n))))
-    model.usual = np.array(usual)
+    """Median and spread of the cross-entropy of each language, from histograms of all its labelled rows."""
+
+    def usual(s: pd.DataFrame) -> tuple[float, float, float]:
+        ce, n = s[s.kind == "ce"], s[s.kind == "n"]
+        x, w = (ce.bin.to_numpy() + 0.5) * CE_BIN, ce.n.to_numpy()
+        mid = _median(x, w)
+        return mid, max(0.05, 1.4826 * _median(np.abs(x - mid), w)), float(2 ** _median((n.bin.to_numpy() + 0.5) / N_BINS, n.n.to_numpy()))
+
+    pooled = usual(seen) if len(seen) else (3.0, 0.05, 50.0)
+    found = []
+    for lang in model.langs:
+        s = seen[seen.lang == lang]
+        mid, spread, n = usual(s) if len(s) else pooled
+        # So few rows in the whole table tell no spread: such a language is judged no more strictly than all together.
+        if s[s.kind == "ce"].n.sum() < 20:
+            mid, spread = max(mid, pooled[0]), max(spread, pooled[1])
+        found.append((mid, spread**2, 4.0 + spread**2 * n))
+    model.usual = np.array(found)
 
 
 def _score(docs: DataFrame, model: LangModel, cfg: LangConfig, keep: list[str]) -> DataFrame:

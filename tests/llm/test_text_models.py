@@ -29,6 +29,21 @@ def test_language_accuracy_and_odd_rows(spark, docs, odd_docs, no_docs):
     assert langid.train(no_docs) is None and set(r.lang_pred for r in langid.identify(odd_docs, None).collect()) == {"und"}
 
 
+def test_rare_language_has_its_own_threshold(spark):
+    rnd = np.random.default_rng(5)
+    latin = ["".join(rnd.choice(list("abcdefgh"), 5)) for _ in range(60)]
+    han = [chr(0x4E00 + i) for i in range(2500)]
+    rows = [(i, " ".join(rnd.choice(latin, 60)), "aa") for i in range(6000)]
+    # Half a per cent of the rows: about ten in a sample of 2,000, and of a far higher cross-entropy.
+    rows += [(10000 + i, " ".join("".join(rnd.choice(han, 6)) for _ in range(60)), "zz") for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.train(table)
+    got = langid.identify(table.where("lang = 'zz'"), model).collect()
+    assert len(got) == 30 and all(r.lang_pred == "zz" and r.accepted for r in got)
+    ce = np.array([r.cross_entropy for r in got])
+    assert abs(model.usual[model.langs.index("zz"), 0] - np.median(ce)) < 0.1
+
+
 def test_kneser_ney_probabilities_sum_to_one(spark, docs):
     cfg = langid.LangConfig(order=3)
     model = langid.build_model(langid.count_grams(docs, cfg).toPandas(), cfg)
