@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import capped_ratio, char_entropy, count_of, guarded, is_private, longest_run, ramp, severity
+from ..functions.scalars import capped_ratio, char_entropy, count_of, domain_parts, guarded, is_private, longest_run, normal_domain, ramp, severity
 from ..operators.history import baseline, beacon_stats
 
 
@@ -140,6 +140,61 @@ def tunnel(stats: DataFrame, least_n: int = 8, least: float = 0.65) -> DataFrame
     return stats.where(F.col("n") >= least_n).select("query_id", "src_ip", "registered", F.round(s, 6).alias("score"), (s >= least).cast("int").alias("alert"))
 
 
+@dataclass(frozen=True)
+class TunnelConfig:
+    """Fixed values of the tunnel detector."""
+
+    window_us: int = 120_000_000
+    window_queries: int = 256
+    least_n: int = 8
+    least: float = 0.65
+    popular: int = 25
+    damping: float = 0.6
+    least_label: int = 8
+    suffixes: tuple[str, ...] = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "co.in", "co.jp")
+
+
+def tunnel_alerts(queries: DataFrame, cfg: TunnelConfig = TunnelConfig()) -> DataFrame:
+    """The whole tunnel score of (query_id, ts_us, src_ip, domain, qtype), queries only, from ``least_n`` payload labels on.
+
+    The payload is the longest label below the registered name; queries whose payload is short or not alphanumeric are
+    skipped, but their sources count for the name's popularity. Alerts are not thinned out by a cooldown here.
+    """
+    q = queries.select("query_id", "ts_us", F.coalesce("src_ip", F.lit("?")).alias("src_ip"), "qtype", normal_domain("domain").alias("fqdn")).where("fqdn <> ''")
+    q = q.withColumn("d", domain_parts("fqdn", cfg.suffixes)).select("query_id", "ts_us", "src_ip", "qtype", "d.registered", F.split("d.subdomain", r"\.").alias("sub"))
+    # The moment at which the name has met its ``popular``-th source.
+    first = q.groupBy("registered", "src_ip").agg(F.min(F.struct("ts_us", "query_id")).alias("at"))
+    nth = F.row_number().over(Window.partitionBy("registered").orderBy("at"))
+    known = first.withColumn("nth", nth).where(F.col("nth") == cfg.popular).select("registered", F.col("at").alias("popular_at"))
+    longest = F.aggregate("sub", F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    p = q.withColumn("label", longest).where((F.length("label") >= cfg.least_label) & F.col("label").rlike(r"^[\p{L}\p{N}]+$"))
+    order = Window.partitionBy("src_ip", "registered").orderBy("ts_us", "query_id")
+    p = p.withColumns({"h": char_entropy("label"), "gap": (F.col("ts_us") - F.lag("ts_us").over(order)) / 1e6, "is_txt": F.coalesce(F.col("qtype").isin(16, 10), F.lit(False)).cast("double")})
+    ring = F.collect_list(F.struct("ts_us", "label", "h", "gap", "is_txt")).over(order.rowsBetween(1 - cfg.window_queries, 0))
+    p = p.select("query_id", "ts_us", "src_ip", "registered", ring.alias("ring"))
+    p = p.withColumn("x", F.filter("ring", lambda x: F.col("ts_us") - x["ts_us"] <= cfg.window_us)).withColumn("n", F.size("x")).where(F.col("n") >= cfg.least_n)
+
+    def mean(items, value) -> Column:
+        return F.aggregate(items, F.lit(0.0), lambda a, y: a + value(y)) / F.greatest(F.size(items), F.lit(1))
+
+    p = p.withColumn("gaps", F.filter(F.transform(F.slice("x", 2, F.col("n")), lambda y: y["gap"]), lambda g: g > 0))
+    p = p.withColumn("gap", mean(F.col("gaps"), lambda g: g))
+    spread = F.sqrt(mean(F.col("gaps"), lambda g: (g - F.col("gap")) * (g - F.col("gap"))))
+    cadence = F.when(F.col("gap") > 0, F.greatest(F.lit(0.0), 1 - spread / F.col("gap") / 0.75)).otherwise(0.0)
+    span = (F.col("ts_us") - F.get("x", F.lit(0))["ts_us"]) / 1e6
+    x = F.col("x")
+    p = p.select(
+        "query_id", "ts_us", "src_ip", "registered", F.col("n").cast("long").alias("n"), cadence.alias("cadence"),
+        mean(x, lambda y: F.length(y["label"]).cast("double")).alias("mean_len"), mean(x, lambda y: y["h"]).alias("mean_h"), mean(x, lambda y: y["is_txt"]).alias("txt"),
+        (F.size(F.array_distinct(F.transform(x, lambda y: y["label"]))) / F.col("n")).alias("uniq"), (F.col("n") / F.greatest(span, F.lit(1.0))).alias("rate"),
+    )
+    raw = 0.25 * ramp("mean_len", 20.0, 50.0) + 0.25 * ramp("mean_h", 2.5, 3.8) + 0.25 * ramp("uniq", 0.5, 0.95) + 0.10 * ramp("rate", 0.1, 5.0) + 0.10 * F.col("cadence") + 0.05 * F.col("txt")
+    p = p.withColumn("raw", raw).join(known, "registered", "left")
+    popular = F.coalesce(F.struct("ts_us", "query_id") >= F.col("popular_at"), F.lit(False))
+    score = F.round(F.least(F.lit(1.0), F.col("raw") * F.when(popular, cfg.damping).otherwise(1.0)), 4)
+    return p.select("query_id", "src_ip", "registered", "n", score.alias("score"), (score >= cfg.least).cast("int").alias("alert"), severity(score, ((0.92, "CRITICAL"), (0.80, "HIGH")), "MEDIUM").alias("severity"))
+
+
 def dga_terms(names: DataFrame, label: str = "label") -> DataFrame:
     """The lexical terms of the generated-domain score that need neither model nor dictionary."""
     n = F.length(label).cast("double")

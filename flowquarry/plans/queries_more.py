@@ -326,6 +326,12 @@ def dns_tunnel_detect(spark: SparkSession, sf: str) -> DataFrame:
     return scores.tunnel(scores.tunnel_stats(q, 120_000_000), least_n=2)
 
 
+@query("DET-04", "AGG-12", "WIN-06", "FIL-06", "SET-02")
+def dns_tunnel_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole detector; dns_tunnel_detect is the part of its score that its SQL states."""
+    return scores.tunnel_alerts(A.dns(spark, sf))
+
+
 @query("AGG-14", sql="SELECT o.o_orderkey, CAST(coalesce(c.n, 0) AS BIGINT) AS freq FROM orders o LEFT JOIN (SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderkey % 5 < 3 GROUP BY ALL) c USING (o_orderpriority)")
 def freq_encoding(spark: SparkSession, sf: str) -> DataFrame:
     o = A.table(spark, sf, "orders")
