@@ -1,11 +1,12 @@
 """Operator 9: WARC archives with revisit resolution.
 
-Headers (id, payload digest, length) are shuffled by digest; the smallest page of a digest becomes the response and
-the others are joined to it as revisits. Archives are written by Spark's gzip text writer, whose line separator is the
+Every row of pages becomes one record. Headers (id, payload digest) are shuffled by digest; the smallest page of a
+digest becomes the response and the others are joined to it as revisits. Archives are written by Spark's gzip text writer, whose line separator is the
 end of a WARC record, into any file system Spark reaches; they are read back as whole files and parsed by length.
 
-Defined cases: a null payload is empty; payloads below ``least_bytes`` are always responses; a repeated page_id counts
-once, with the least (html, url); a page with a null page_id is always a response; a null url leaves the header out, line breaks
+Defined cases: a null payload is empty; payloads below ``least_bytes`` are always responses; rows that
+share a page_id are resolved each by its own payload, and rows that share that too are revisits of the first (by url);
+a page with a null page_id is always a response; a null url leaves the header out, line breaks
 in it become blanks; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -16,7 +17,7 @@ import hashlib
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path
@@ -33,19 +34,27 @@ class WarcConfig:
 
 
 def resolve(pages: DataFrame, cfg: WarcConfig = WarcConfig()) -> DataFrame:
-    """(page_id, html, url, digest, bytes, response_id): response_id is the page's own id unless it is a revisit."""
-    clean = pages.groupBy("page_id").agg(F.min(F.struct(F.coalesce("html", F.lit("")).alias("html"), "url")).alias("p")).select("page_id", "p.html", "p.url")
-    full = clean.withColumns({"digest": F.sha2(F.col("html").cast("binary"), 256), "bytes": F.octet_length("html").cast("long")})
-    heads = full.select("page_id", "digest", "bytes")
-    first = heads.where(F.col("bytes") >= cfg.least_bytes).groupBy("digest").agg(F.min("page_id").alias("response_id"))
-    # Only pages that are not their digest's response are joined back by id.
-    moved = heads.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("response_id"))).select(F.col("page_id").alias("id"), "response_id")
-    # The pages are dealt by page_id already, so this join moves no payload again.
-    return full.join(moved, full.page_id == moved.id, "left").drop("id")
-
-
-def _uuid(column) -> F.Column:
-    h = F.md5(F.coalesce(column.cast("string"), F.lit("null")).cast("binary"))
+    """(page_id, html, url, digest, bytes, key, copy, response_id) of every row; response_id is null unless it is a revisit."""
+    html = F.coalesce("html", F.lit(""))
+    digest, size = F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes")
+    name = F.concat(F.lit("p"), F.col("page_id").cast("string"))
+    # Rows without an id are always responses; the number of their input partition keeps them from one key.
+    key = F.coalesce(name, F.concat(F.lit("n"), F.spark_partition_id().cast("string")))
+    heads = pages.where(F.col("page_id").isNotNull()).select("page_id", digest, size).where(F.col("bytes") >= cfg.least_bytes).select("page_id", "digest").distinct()
+    first = heads.groupBy("digest").agg(F.min("page_id").alias("response_id"), F.count("*").alias("ids")).where("ids > 1")
+    # Only pages that are not their digest's response are joined back, by key and digest.
+    moved = heads.join(first, "digest").where("page_id <> response_id").select(name.alias("moved_key"), F.col("digest").alias("moved_digest"), "response_id")
+    full = pages.select("page_id", html.alias("html"), "url", digest, size, key.alias("key"))
+    full = full.withColumn("copy", F.row_number().over(Window.partitionBy("key", "digest").orderBy("url")))
+    # The pages are dealt by key and digest already, so this join moves no payload again.
+    out = full.join(moved, (full.key == moved.moved_key) & (full.digest == moved.moved_digest), "left").drop("moved_key", "moved_digest")
+    again = (F.col("copy") > 1) & F.col("page_id").isNotNull() & (F.col("bytes") >= cfg.least_bytes)
+    return out.withColumn("response_id", F.coalesce("response_id", F.when(again, F.col("page_id"))))
+
+
+def _uuid(key, copy) -> F.Column:
+    """The record id of a row: of its key, its payload's digest and its number among the rows that share both."""
+    h = F.md5(F.concat_ws("|", key, F.col("digest"), copy.cast("string")).cast("binary"))
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
@@ -58,12 +67,12 @@ def records(resolved: DataFrame, cfg: WarcConfig = WarcConfig()) -> DataFrame:
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: "), _uuid(F.col("page_id"))),
+        F.concat(F.lit("WARC-Record-ID: "), _uuid(F.col("key"), F.col("copy"))),
         F.lit(f"WARC-Date: {cfg.date}"),
         F.concat(F.lit("WARC-Target-URI: "), url),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _uuid(F.col("response_id")))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _uuid(F.concat(F.lit("p"), F.col("response_id").cast("string")), F.lit(1)))),
         F.concat(F.lit("X-Page-ID: "), F.col("page_id").cast("string")),
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), block.cast("string")),

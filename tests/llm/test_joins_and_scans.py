@@ -149,3 +149,22 @@ def test_warc_round_trip(spark, sf):
         want[i] = (len(data), hashlib.sha256(data).hexdigest(), "response" if key == i else "revisit", None if key == i else key)
     assert got == want
     assert warc.roundtrip(table.limit(0)).count() == 0
+
+
+def test_warc_keeps_every_row(spark):
+    big, other = "<p>" + "y" * 200, "<p>" + "z" * 200
+    rows = [(None, "u", big), (None, "v", big), (None, "u", other), (None, "u", None), (None, "u", None), (None, "u", big)]
+    rows += [(5, "u", big), (5, "u", other), (5, "a", "small"), (5, "a", "small"), (3, "u", other), (3, "v", other), (3, "u", other), (9, None, other), (9, "w", big)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = sorted(((r.page_id or -1, r.payload_digest, r.payload_bytes, r.record_type, r.refers_to) for r in warc.roundtrip(table).collect()), key=repr)
+    want, seen = [], set()
+    least = {h: min(i for i, _, x in rows if x == h and i is not None) for h in (big, other)}
+    for i, _, html in rows:
+        html = html or ""
+        own = i is None or html not in least or (least[html] == i and (i, html) not in seen)
+        seen.add((i, html))
+        want.append((i or -1, hashlib.sha256(html.encode()).hexdigest(), len(html), "response" if own else "revisit", None if own else least[html]))
+    assert got == sorted(want, key=repr)
+    path = warc.write(warc.resolve(table), warc.fresh_path(spark, "warc"))
+    archive = warc.read(spark, path)
+    assert archive.count() == archive.select("record_id").distinct().count() == len(rows)
