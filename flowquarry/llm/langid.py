@@ -34,8 +34,6 @@ MULT = splitmix(np.arange(64, dtype=np.uint64)) | np.uint64(1)
 @dataclass(frozen=True)
 class LangConfig:
     order: int = 4
-    #: n-grams of the highest order that are kept for a language, the most frequent first: bounds the model's size.
-    max_grams_per_lang: int = 250_000
     #: standard deviations above the usual cross-entropy at which a text is rejected.
     reject_z: float = 8.0
     memo_words: int = 400_000
@@ -70,9 +68,28 @@ def _hash(codes: np.ndarray, last: np.ndarray, k: int) -> np.ndarray:
     return h[last - (k - 1)]
 
 
+def _codes(grams: list[str], k: int) -> np.ndarray:
+    """Code points of grams of k symbols, one row for each."""
+    return np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, k)
+
+
+def _keys(codes: np.ndarray) -> np.ndarray:
+    k = codes.shape[1]
+    return _hash(codes.astype(np.uint64).ravel(), np.arange(k - 1, codes.size, k), k)
+
+
 def _spell(grams: list[str], k: int) -> np.ndarray:
-    codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    return _hash(codes, np.arange(k - 1, len(codes), k), k)
+    return _keys(_codes(grams, k))
+
+
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of codes, and the place of each row among them."""
+    key = np.zeros(len(codes), np.uint64)
+    for symbols in codes.T:
+        # A place takes less than 43 bits, a code point 21.
+        key = np.unique(key, return_inverse=True)[1].astype(np.uint64) << np.uint64(21) | symbols.astype(np.uint64)
+    _, first, at = np.unique(key, return_index=True, return_inverse=True)
+    return codes[first], at
 
 
 def count_grams(docs: DataFrame, cfg: LangConfig) -> DataFrame:
@@ -164,43 +181,49 @@ def build_model(table: pd.DataFrame, cfg: LangConfig) -> LangModel | None:
     """Interpolated Kneser-Ney from (lang, gram, n) of the highest order: continuation counts below it."""
     if table.empty:
         return None
-    langs, order = sorted(table.lang.unique()), cfg.order
-    col = table.lang.map({x: i for i, x in enumerate(langs)}).to_numpy()
-    counts: dict[int, tuple[list[str], np.ndarray]] = {}
-    grams, at = np.unique(table.gram.to_numpy(dtype=object), return_inverse=True)
+    return _build(table.lang.to_numpy(dtype=object), _codes(table.gram.tolist(), cfg.order), table.n.to_numpy())
+
+
+def _build(lang: np.ndarray, codes: np.ndarray, n: np.ndarray) -> LangModel:
+    langs, col = np.unique(lang.astype(str), return_inverse=True)
+    langs, order = langs.tolist(), codes.shape[1]
+    grams, at = _distinct(codes)
     c = np.zeros((len(grams), len(langs)))
-    np.add.at(c, (at, col), table.n.to_numpy())
-    counts[order] = (list(grams), c)
-    for k in range(order - 1, 0, -1):
-        above, c = counts[k + 1]
-        grams, at = np.unique(np.array([g[1:] for g in above], dtype=object), return_inverse=True)
-        below = np.zeros((len(grams), len(langs)))
+    np.add.at(c, (at, col), n)
+    #: by order: grams, counts, and the place of each gram without its first symbol in the order below
+    counts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    for k in range(order, 0, -1):
+        if k == 1:
+            counts[1] = (grams, c, np.zeros(len(grams), np.int64))
+            break
+        fewer, at = _distinct(grams[:, 1:])
+        counts[k] = (grams, c, at)
+        below = np.zeros((len(fewer), len(langs)))
         np.add.at(below, at, (c > 0).astype(float))
-        counts[k] = (list(grams), below)
-    symbols = len(counts[1][0]) + 1
+        grams, c = fewer, below
+    symbols = len(grams) + 1
     model = LangModel(langs, order, np.log(np.full(len(langs), 1 / symbols, np.float32)))
-    lower = {"": np.full(len(langs), 1 / symbols)}
+    lower = np.full((1, len(langs)), 1 / symbols)
     for k in range(1, order + 1):
-        grams, c = counts[k]
+        grams, c, shorter = counts.pop(k)
         once, twice = (c == 1).sum(0), (c == 2).sum(0)
         d = np.clip(once / np.maximum(once + 2 * twice, 1), 0.1, 0.95)
-        heads, at = np.unique(np.array([g[:-1] for g in grams], dtype=object), return_inverse=True)
+        heads, at = _distinct(grams[:, :-1])
         total, kinds = np.zeros((len(heads), len(langs))), np.zeros((len(heads), len(langs)))
         np.add.at(total, at, c)
         np.add.at(kinds, at, (c > 0).astype(float))
         gamma = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-        below = np.array([lower[g[1:]] for g in grams])
-        p = np.maximum(c - d, 0) / np.maximum(total[at], 1) + gamma[at] * below
-        keys = _spell(grams, k)
+        p = np.maximum(c - d, 0) / np.maximum(total[at], 1) + gamma[at] * lower[shorter]
+        keys = _keys(grams)
         by = np.argsort(keys)
         model.grams[k] = (keys[by], np.log(p[by]).astype(np.float32))
         if k > 1:
-            keys = _spell(list(heads), k - 1)
+            keys = _keys(heads)
             by = np.argsort(keys)
             model.contexts[k] = (keys[by], np.log(gamma[by]).astype(np.float32))
         else:
             model.floor = np.log(gamma[0] / symbols).astype(np.float32)
-        lower = dict(zip(grams, p, strict=True))
+        lower = p
     return model
 
 
@@ -250,25 +273,25 @@ class Scorer:
         return out[:, :-1], out[:, -1]
 
 
+def _part(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Languages, code points and counts of a batch of (lang, gram, n)."""
+    lang = batch.column(0).dictionary_encode()
+    grams = batch.column(1).to_pylist()
+    return lang.dictionary.to_numpy(zero_copy_only=False)[lang.indices.to_numpy()], _codes(grams, len(grams[0])), batch.column(2).to_numpy()
+
+
 def train(docs: DataFrame, cfg: LangConfig = LangConfig()) -> LangModel | None:
     """Learn from the text and lang of all rows with both."""
     spark = docs.sparkSession
     rows = docs.where("text is not null and lang is not null").select("text", "lang")
     grams = count_grams(rows, cfg)
-    # The least count kept, so that no language has more n-grams than the bound: from counts by powers of two.
+    # Every n-gram is kept, so that discounts and continuation counts are those of the whole table.
     table = stash(grams, "langid-grams")
-    sizes = table.groupBy("lang", F.floor(F.log2("n")).cast("int").alias("b")).agg(F.count("*").alias("n")).toPandas()
-    least = {}
-    for lang, g in sizes.sort_values("b", ascending=False).groupby("lang"):
-        fits = g[g.n.cumsum() <= cfg.max_grams_per_lang]
-        least[lang] = 2 ** int(fits.b.min()) if len(fits) else 2 ** int(g.b.max())
-    keep = F.lit(False)
-    for lang, n in least.items():
-        keep |= (F.col("lang") == lang) & (F.col("n") >= n)
-    model = build_model(table.where(keep).toPandas(), cfg)
+    parts = [_part(b) for b in table.toArrow().to_batches(max_chunksize=100_000) if b.num_rows]
     drop(table)
-    if model is None:
+    if not parts:
         return None
+    model = _build(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
     _calibrate(model, _histograms(_score(rows, model, cfg, ["lang"]), model).toPandas())
     return model
 

@@ -44,6 +44,20 @@ def test_rare_language_has_its_own_threshold(spark):
     assert abs(model.usual[model.langs.index("zz"), 0] - np.median(ce)) < 0.1
 
 
+def test_every_gram_reaches_the_model(spark):
+    rnd = np.random.default_rng(8)
+    words = ["".join(w) for w in rnd.choice(list("abcdefghijklmnopqrstuvwxyzäöüéèñçßåøæíóú"), (45_000, 8))]
+    rows = [(i, " ".join(words[i * 90 : i * 90 + 90]), "aa") for i in range(500)] + [(1000 + i, "one two three four five", "bb") for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.train(table)
+    pads = ["\x02\x02\x02" + w + "\x03" for r in rows for w in r[1].split()]
+    grams = {p[i : i + 4] for p in pads for i in range(len(p) - 3)}
+    assert len(grams) > 250_000 and (np.sort(langid._spell(sorted(grams), 4)) == model.grams[4][0]).all()
+    # The discount of the hot language comes from its singletons: an unseen symbol after a seen context weighs 0.9 or so.
+    aa = model.langs.index("aa")
+    assert np.median(np.exp(model.contexts[4][1][:, aa])) > 0.8
+
+
 def test_kneser_ney_probabilities_sum_to_one(spark, docs):
     cfg = langid.LangConfig(order=3)
     model = langid.build_model(langid.count_grams(docs, cfg).toPandas(), cfg)
