@@ -15,7 +15,7 @@ the sum over the lists at the current depth cannot reach the kth best score.
 
 Defined cases: vectors that are null, hold null or non-finite components (operator 3: or are zero) take no part, as
 queries or candidates; vectors whose length differs from the most common one take no part; a repeated vec_id counts
-once, with the least vector; a null vec_id takes no part; equal scores go to the smaller vec_id; an empty table gives
+once, with the least of its valid vectors; a null vec_id takes no part; equal scores go to the smaller vec_id; an empty table gives
 no rows; extra columns are ignored. Components whose product could leave 53 bits raise an error in operator 6.
 """
 
@@ -53,8 +53,9 @@ def usable(embeddings: DataFrame, zero: bool) -> DataFrame:
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & (F.size(v) > 0)
     if not zero:
         fine &= F.exists(v, lambda x: x != 0)
-    one = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("embedding").alias("embedding"))
-    return one.where(F.coalesce(fine, F.lit(False))).select("vec_id", v.alias("v"))
+    # Validity comes first: an invalid vector must not stand for its id.
+    valid = embeddings.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
+    return valid.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("embedding").alias("embedding")).select("vec_id", v.alias("v"))
 
 
 def _meet(rows: DataFrame, cfg: SearchConfig, search, schema: str) -> DataFrame:

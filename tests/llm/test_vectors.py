@@ -57,3 +57,10 @@ def test_few_rows_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0], 1, 0.0), (1, [2.0, 1.0], 1, 0.0), (100, [0.0, -1.0], 1, 0.0)], SCHEMA)
     assert vectors.approximate_search(few).count() == 4 and vectors.exact_search(few).count() == 4
     assert vectors.approximate_search(few.limit(0)).count() == 0 and vectors.exact_search(few.limit(0)).count() == 0
+
+
+def test_an_invalid_vector_does_not_hide_a_valid_one(spark):
+    rows = [(1, [None, 1.0]), (1, [3.0, 4.0]), (1, [2.0, 9.0]), (2, [float("-inf"), 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (3, [5.0, 0.0]), (4, None), (4, [None, None])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r.vec_id: list(r.v) for r in vectors.usable(table, False).collect()} == {1: [2.0, 9.0], 2: [1.0, 1.0], 3: [5.0, 0.0]}
+    assert {r.vec_id: list(r.v) for r in vectors.usable(table, True).collect()} == {1: [2.0, 9.0], 2: [1.0, 1.0], 3: [0.0, 0.0]}
