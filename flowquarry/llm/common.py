@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,24 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def by_batches(df: DataFrame, rows: int = 2_000) -> DataFrame:
+    """``df``, whose whole texts Python is about to read: a session that still has Spark's Arrow batches of 10,000 rows
+    gets smaller ones, since a batch of texts is held several times over in the executor and in its workers."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(rows))
+    return df
+
+
+def trim() -> None:
+    """Give memory that is no longer used back to the system: Python workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the id's decimal text, modulo n (null ids count as the empty string)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -2,11 +2,17 @@
 
 A document's set holds the 64-bit hashes of its distinct word n-grams. Documents with equal sets form a class. Classes
 that can reach the similarity share one of the rarest few members of their sets (the prefix bound), so the postings of
-those members route them to the same tree; one root over the whole corpus would compare all blocks with all. Within a
-tree the classes are sorted by size and hierarchical nodes hold OR-combined bitmaps of their members and size ranges;
-a dual traversal drops node pairs whose largest possible overlap is too small, and what remains is checked exactly.
-Trees above ``most_leaves`` are dealt out as pairs of blocks, so no task holds a whole hot group, and each task returns
-a spanning forest of its links, never all pairs.
+those members route them to the same tree; one root over the whole corpus would compare all blocks with all. Postings
+travel as columns, one row for each task and hash range, and every task reduces what it holds before the shuffle: copies
+post once, and of a member that many classes share only a few postings leave the task, the others being linked there.
+
+Within a tree the classes are sorted by size and hierarchical nodes hold OR-combined bitmaps of their members and size
+ranges; a dual traversal drops node pairs whose largest possible overlap is too small, and what remains is checked
+exactly. A tree that is too large for one task is joined in two steps. First its classes meet in groups of equal
+minimum hashes, split to a bounded size; that links nearly all that is similar, with a fixed number of copies of a set.
+Then the classes are dealt into blocks that are uniform in what they are linked to, a traversal over the blocks' nodes
+names the pairs of blocks that may still hold a link between different parts, and only those meet. Each task returns a
+spanning forest of its links, never all pairs.
 
 Rarity is estimated from the frequencies of a member's words, which a fixed-size counter array holds for all documents;
 it only orders the members, and any common order keeps the result exact.
@@ -28,8 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, slices, splitmix, stash
-from .graph import components
+from .common import by_batches, drop, slices, splitmix, stash, trim
+from .graph import components, stars
 
 
 @dataclass(frozen=True)
@@ -37,16 +43,23 @@ class JoinConfig:
     n: int = 5
     #: the least similarity, in hundredths
     percent: int = 80
-    counters: int = 1 << 22
-    counter_slices: int = 128
+    counters: int = 1 << 20
+    counter_slices: int = 64
+    #: classes, and members of their sets, that one task joins at most.
     most_leaves: int = 1536
+    most_members: int = 3_000_000
     #: members that at most so many classes share are counted pair by pair; beyond, all their classes share a tree.
-    small_group: int = 8
+    small_group: int = 64
+    #: postings that a task holds before it deals them out, and postings of a hash range.
+    flush: int = 1_000_000
+    range_size: int = 500_000
+    #: independent minimum hashes by which the classes of a large tree meet first.
+    passes: int = 3
     leaf: int = 16
     fan: int = 8
-    #: candidates whose ids are broadcast to the documents, at most; above, the join shuffles.
+    #: rows that are broadcast, at most; above, the join shuffles.
     broadcast_rows: int = 200_000
-    memo_words: int = 400_000
+    memo_words: int = 150_000
 
 
 class _Hashes(dict):
@@ -126,7 +139,7 @@ def profile(docs: DataFrame, cfg: JoinConfig) -> DataFrame:
                 names.append(_name(m) if len(m) else None)
                 waiting.append(h)
                 size += len(h)
-                if size > 2_000_000:
+                if size > 500_000:
                     add()
                     size = 0
             none = [None] * len(n)
@@ -136,6 +149,8 @@ def profile(docs: DataFrame, cfg: JoinConfig) -> DataFrame:
             cut = np.array_split(counts, cfg.counter_slices)
             none = pa.array([None] * len(cut), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(len(cut)), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], ["doc_id", "n", "class", "slot", "counts"])
+        del counts, shingler
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary"))
     return stash(rows.mapInArrow(part, "doc_id long, n long, class long, slot int, counts binary"), "join-profile")
@@ -163,15 +178,71 @@ def _counters(profile: DataFrame, cfg: JoinConfig) -> np.ndarray:
     return np.minimum(np.log2(counts + 1.0) * 16, min(1023, 4095 // cfg.n)).astype(np.uint16)
 
 
-def postings(docs: DataFrame, levels: np.ndarray, cfg: JoinConfig) -> DataFrame:
-    """(member, class): the rarest members of each set, as many as the prefix bound asks for."""
+#: The member of a posting travels as its upper 48 bits: one that equals another there only adds a candidate.
+MEMBER_BYTES = 6
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The upper bytes of numbers, place by place: sorted numbers share the highest, which the shuffle compresses."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize)[:, x.itemsize - width :].T.tobytes()
+
+
+def _unplanes(x: bytes, kind, width: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    out = np.zeros((len(x) // width, size), np.uint8)
+    out[:, size - width :] = np.frombuffer(x, np.uint8).reshape(width, -1).T
+    return out.view(kind).ravel()
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    return starts, np.diff(np.r_[starts, len(x)])
+
+
+def _order(member: np.ndarray, name: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct postings by member, then class."""
+    by = np.lexsort((name, member))
+    member, name, size = member[by], name[by], size[by]
+    if len(member):
+        new = np.r_[True, (member[1:] != member[:-1]) | (name[1:] != name[:-1])]
+        member, name, size = member[new], name[new], size[new]
+    return member, name, size
+
+
+POSTING = "deal int, kind int, a binary, b binary, c binary"
+
+
+def postings(docs: DataFrame, levels: np.ndarray, ranges: int, cfg: JoinConfig) -> DataFrame:
+    """Columns of postings by hash range (kind 0: members, classes, set sizes), and of links between classes that share
+    a member with many others in the task (kind 1: hub, class)."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
+    def deal(found, names, sizes):
+        each = [len(x) for x in found]
+        member, name, size = _order(np.concatenate(found), np.repeat(np.array(names, np.int64), each), np.repeat(np.array(sizes, np.int32), each))
+        starts, lengths = _runs(member)
+        rank = np.arange(len(member)) - np.repeat(starts, lengths)
+        # Of a group of many classes the first few stand for all: enough for the reader to see that it is large.
+        spare = rank > cfg.small_group
+        if spare.any():
+            hub = np.repeat(name[starts], lengths)
+            u, v = stars(hub[spare], name[spare])
+            at = int(v[0] % ranges) if len(v) else 0
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([1], pa.int32()), pa.array([u.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["deal", "kind", "a", "b", "c"])
+            member, name, size = member[~spare], name[~spare], size[~spare]
+        place = ((member >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        starts, lengths = _runs(place)
+        for lo in range(0, len(starts), 256):
+            cut = [slice(s, s + n) for s, n in zip(starts[lo : lo + 256].tolist(), lengths[lo : lo + 256].tolist(), strict=True)]
+            cols = [pa.array([_planes(x[i], w) for i in cut], pa.binary()) for x, w in ((member, MEMBER_BYTES), (name, 8), (size, 4))]
+            yield pa.RecordBatch.from_arrays([pa.array([int(place[i.start]) for i in cut], pa.int32()), pa.array([0] * len(cut), pa.int32()), *cols], ["deal", "kind", "a", "b", "c"])
+
     def part(batches):
         shingler, level = Shingler(cfg), shared.value
         done: set[int] = set()
+        found, names, sizes, held = [], [], [], 0
         for b in batches:
-            found, names = [], []
             for text in b.column(0).to_pylist():
                 h = shingler.words(text)
                 if not len(h):
@@ -181,13 +252,69 @@ def postings(docs: DataFrame, levels: np.ndarray, cfg: JoinConfig) -> DataFrame:
                     continue
                 done.add(name)  # copies in one task post once
                 found.append(rare)
-                names.append(np.full(len(rare), name, np.int64))
-            if len(done) > 1_000_000:
+                names.append(name)
+                sizes.append(len(m))
+                held += len(rare)
+                if held > cfg.flush:
+                    yield from deal(found, names, sizes)
+                    found, names, sizes, held = [], [], [], 0
+            if len(done) > 200_000:
                 done.clear()
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(names))], ["member", "class"])
-
-    return docs.select(F.col("text").cast("binary")).mapInArrow(part, "member long, class long")
+        if found:
+            yield from deal(found, names, sizes)
+        del found, names, sizes, shingler, done
+        trim()
+
+    return docs.select(F.col("text").cast("binary")).mapInArrow(part, POSTING)
+
+
+def _meet(table: pa.Table, cfg: JoinConfig) -> pa.Table:
+    """Columns (u, v, p, q, common) of one hash range: pairs of classes of like size, their sizes and the number of
+    members that both share with few others, and, with common 0, links between the classes of a member that many share."""
+    kind = table.column("kind").to_numpy()
+    a, b, c = (table.column(x).to_pylist() for x in "abc")
+    posts, links = np.flatnonzero(kind == 0).tolist(), np.flatnonzero(kind == 1).tolist()
+    kinds = ((np.uint64, MEMBER_BYTES), (np.int64, 8), (np.int32, 4))
+    cols = [np.concatenate([np.zeros(0, k), *(_unplanes(x[i], k, w) for i in posts)]) for (k, w), x in zip(kinds, (a, b, c), strict=True)]
+    member, name, size = _order(*cols)
+    starts, lengths = _runs(member)
+    own = np.repeat(lengths, lengths)
+    big = own > cfg.small_group
+    u, v = stars(np.concatenate([np.repeat(name[starts], lengths)[big], *(np.frombuffer(a[i], np.int64) for i in links)]), np.concatenate([name[big], *(np.frombuffer(b[i], np.int64) for i in links)]))
+    few = (own > 1) & ~big
+    own, name, size, member = own[few], name[few], size[few], member[few]
+    tables, held = [], 0
+    # A slice holds whole groups, so that no more than a bounded number of pairs is in memory.
+    lo = 0
+    while lo < len(member):
+        hi = min(len(member), lo + 40_000)
+        hi = lo + int(np.searchsorted(member[lo:], member[hi - 1], "right")) if hi < len(member) else hi
+        m, s, left, right = member[lo:hi], size[lo:hi], [], []
+        for gap in range(1, int(own[lo:hi].max())):
+            i = np.flatnonzero(m[gap:] == m[:-gap])
+            x, y = s[i].astype(np.int64), s[i + gap].astype(np.int64)
+            i = i[100 * np.minimum(x, y) >= cfg.percent * np.maximum(x, y)]
+            left.append(lo + i)
+            right.append(lo + i + gap)
+        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+        tables.append((name[i], name[j], size[i], size[j], np.ones(len(i), np.int32)))
+        held += len(i)
+        if held > 2_000_000:
+            tables = [_summed(tables)]
+            held = len(tables[0][0])
+        lo = hi
+    none = np.zeros(len(u), np.int32)
+    found = _summed([*tables, (name[:0], name[:0], size[:0], size[:0], none[:0])])
+    return pa.table([pa.array(np.concatenate(x)) for x in zip((u, v, none, none, none), found, strict=True)], ["u", "v", "p", "q", "common"])
+
+
+def _summed(tables: list[tuple]) -> tuple:
+    """Pairs (u, v, p, q, common) with their counts summed."""
+    u, v, p, q, common = (np.concatenate(x) for x in zip(*tables, strict=True))
+    by = np.lexsort((v, u))
+    u, v = u[by], v[by]
+    new = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])]) if len(by) else np.zeros(0, np.int64)
+    return u[new], v[new], p[by[new]], q[by[new]], np.add.reduceat(common[by], new).astype(np.int32) if len(by) else common
 
 
 class _Forest:
@@ -258,9 +385,13 @@ class SignatureTree:
         order = np.argsort(q - p, kind="stable")
         return p[order], q[order]
 
-    def links(self, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-        """A spanning forest of the links; with side, links between different sides or within both as side says."""
+    def links(self, part: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """A spanning forest of the links. Sets of one part are linked already; with side, only sets of different sides
+        are compared."""
         forest, out = _Forest(len(self.sets)), []
+        if part is not None:
+            _, first, at = np.unique(part, return_index=True, return_inverse=True)
+            forest.up = first[at].tolist()
         *_, starts, ends = self.levels[0]
         step = max(1, (1 << 22) // (self.words * 256))
         p, q = self.leaf_pairs()
@@ -290,8 +421,8 @@ class SignatureTree:
         return out
 
 
-def _links(group: pd.DataFrame, cfg: JoinConfig) -> list[tuple[int, int]]:
-    """Links of one tree's rows (rep, members, block, lo, hi)."""
+def _links(group: pd.DataFrame, cfg: JoinConfig, parted: bool = False) -> list[tuple[int, int]]:
+    """Links between the rows (rep, name, members) that meet; parted: rows of one ``part`` are linked already, and rows of one ``side`` do not meet."""
     group = group.drop_duplicates(["rep", "name"])
     sets = [np.frombuffer(x, np.uint64) for x in group.members]
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), sets[i][0]))
@@ -301,51 +432,35 @@ def _links(group: pd.DataFrame, cfg: JoinConfig) -> list[tuple[int, int]]:
         (x, y), need = sets, int(_need(np.int64(len(sets[0])), np.int64(len(sets[1])), cfg.percent))
         out = [(0, 1)] if len(np.intersect1d(x, y, assume_unique=True)) >= need else []
     elif len(sets) > 2:
-        block = group.block.to_numpy()[order]
-        across = group.lo.iloc[0] != group.hi.iloc[0]
-        out = SignatureTree(sets, cfg.percent, cfg.leaf, cfg.fan).links(block if across else None)
+        part = group.part.to_numpy()[order] if parted else None
+        side = group.side.to_numpy()[order] if parted else None
+        if side is not None and (side == side[0]).all():
+            side = None
+        out = SignatureTree(sets, cfg.percent, cfg.leaf, cfg.fan).links(part, side)
     return [(int(reps[a]), int(reps[b])) for a, b in out]
 
 
-def _meetings(posted: DataFrame, docs: DataFrame, cfg: JoinConfig) -> DataFrame:
+def _meetings(met: DataFrame, cfg: JoinConfig) -> DataFrame:
     """Edges (u, v) between classes that must share a tree.
 
     If a pair reaches the similarity, the prefix whose range ends first is short of the other set by no more members
     than the whole set may be; so the pair shares at least ``need + 1 - ceil(percent * size)`` prefix members. Members
     of few classes are counted pair by pair (a bounded number for each) and pairs below that number go. The classes of
-    a member that more share are linked to the least of them, whatever their counts.
+    a member that more share are linked, whatever their counts.
     """
-    shared = posted.groupBy("member").agg(F.min("class").alias("hub"), F.max("class").alias("other"), F.count("*").alias("k")).where("hub < other")
-    met = posted.join(shared, "member")
-    stars = met.where((F.col("k") > cfg.small_group) & (F.col("class") != F.col("hub"))).select(F.col("hub").alias("u"), F.col("class").alias("v")).distinct()
-    few = met.where(F.col("k") <= cfg.small_group).groupBy("member").agg(F.array_sort(F.collect_set("class")).alias("c"))
-    each = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.struct(x.alias("u"), y.alias("v")))))
-    pairs = few.select(F.explode(each).alias("p")).groupBy("p.u", "p.v").agg(F.count("*").alias("common"))
-    sizes = docs.where("n > 0").groupBy("class").agg(F.first("n").alias("n"))
-    pairs = pairs.join(sizes.select(F.col("class").alias("u"), F.col("n").alias("a")), "u").join(sizes.select(F.col("class").alias("v"), F.col("n").alias("b")), "v")
+    pairs = met.where("common > 0").groupBy("u", "v").agg(F.min("p").alias("a"), F.min("q").alias("b"), F.sum("common").alias("common"))
     p = cfg.percent
     up = lambda x, d: F.expr(f"({x} + {d} - 1) div {d}")
     need, most = up(f"{p} * (a + b)", 100 + p), F.greatest(up(f"{p} * a", 100), up(f"{p} * b", 100))
     fits = (100 * F.least("a", "b") >= p * F.greatest("a", "b")) & (F.col("common") >= need + 1 - most)
-    return stars.unionAll(pairs.where(fits).select("u", "v"))
+    return met.where("common = 0").select("u", "v").unionAll(pairs.where(fits).select("u", "v"))
 
 
-def jaccard_components(documents: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of (doc_id, text)."""
-    known = profile(documents, cfg)
-    docs = known.where("slot is null").select("doc_id", "n", "class")
-    classes = docs.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
-    posted = stash(postings(documents, _counters(known, cfg), cfg), "join-postings")
-    trees = components(_meetings(posted, docs, cfg))
-    drop(posted)
-    trees = trees.unionAll(trees.select(F.col("root").alias("id"), "root").distinct())
-    wanted = stash(trees.join(classes, trees.id == classes["class"]).select("rep", "class", F.col("root").alias("tree")), "join-wanted")
-    count = wanted.count()
-    few = F.broadcast(wanted) if count <= cfg.broadcast_rows else wanted
-    sizes = stash(wanted.groupBy("tree").agg(F.count("*").alias("size")).where(F.col("size") > cfg.most_leaves), "join-large")
-    buckets = max(1, -(-count // 1000))
+def _sets(texts: DataFrame, cfg: JoinConfig) -> DataFrame:
+    """(rep, name, tree, members, keys) of rows (text, rep, class, tree): sorted members and minimum hashes of the set."""
+    seeds = splitmix(np.arange(900, 900 + cfg.passes, dtype=np.uint64))
 
-    def sets(batches):
+    def part(batches):
         shingler, done = Shingler(cfg), set()
         for b in batches:
             rows = []
@@ -355,29 +470,148 @@ def jaccard_components(documents: DataFrame, cfg: JoinConfig = JoinConfig()) ->
                 m = shingler.members(shingler.words(text))
                 if len(m) and _name(m) == name:  # rows that share a doc_id may hold other texts
                     done.add((rep, name))
-                    rows.append((rep, name, tree, m.tobytes()))
+                    rows.append((rep, name, tree, m.tobytes(), [int(splitmix(m ^ s).min().view(np.int64)) for s in seeds]))
             for lo, hi in slices([len(r[3]) for r in rows], 16_000_000):
                 cols = list(zip(*rows[lo:hi], strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["rep", "name", "tree", "members"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.list_(pa.int64()))], ["rep", "name", "tree", "members", "keys"])
+        del shingler, done
+        trim()
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    rows = texts.join(few, F.col("id") == F.col("rep")).select("text", "rep", "class", "tree").mapInArrow(sets, "rep long, name long, tree long, members binary")
-    # Small trees share buckets; a large one is dealt out as pairs of blocks.
-    large = sizes.count()
-    if large:
-        some = sizes.select(F.col("tree"), F.ceil(F.col("size") / F.lit(cfg.most_leaves / 2)).cast("long").alias("blocks"))
-        rows = rows.join(F.broadcast(some) if large <= cfg.broadcast_rows else some, "tree", "left")
-    else:
-        rows = rows.withColumn("blocks", F.lit(None).cast("long"))
-    rows = rows.withColumn("block", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("name"), "blocks")))
-    rows = rows.withColumn("with", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
-    rows = rows.select("rep", "name", "tree", "members", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("tree"), F.lit(buckets))).otherwise(F.xxhash64("tree", F.least("block", "with"), F.greatest("block", "with"))).alias("deal"))
+    return texts.select("text", "rep", "class", "tree").mapInArrow(part, "rep long, name long, tree long, members binary, keys array<long>")
+
+
+def _hinted(df: DataFrame, rows: int, cfg: JoinConfig) -> DataFrame:
+    return F.broadcast(df) if rows <= cfg.broadcast_rows else df
+
+
+def _join_by(rows: DataFrame, cfg: JoinConfig, parted: bool = False) -> DataFrame:
+    """(u, v): links within the rows of each (deal, meeting); a deal is a bounded number of meetings in one task."""
+    keep = ["rep", "name", "members", "deal", "meeting", *(("part", "side") if parted else ())]
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        found = [x for _, g in group.groupby(["tree", "lo", "hi"]) for x in _links(g, cfg)]
+        found = [x for _, g in group.groupby("meeting") for x in _links(g, cfg, parted)]
+        trim()
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    linked = components(rows.groupBy("deal").applyInPandas(join, "u long, v long").where("u <> v"))
-    named = classes.join(linked, classes.rep == linked.id, "left").select("class", F.coalesce("root", "rep").alias("component"))
-    out = docs.join(named, "class", "left")
+    return rows.select(*keep).groupBy("deal").applyInPandas(join, "u long, v long").where("u <> v")
+
+
+def _pieces(count, size, cfg: JoinConfig):
+    """Into how many pieces so many sets with so many members are cut."""
+    return F.greatest(F.ceil(count / F.lit(cfg.most_leaves / 2)), F.ceil(size / F.lit(cfg.most_members / 2))).cast("long")
+
+
+def _large_trees(sets: DataFrame, cfg: JoinConfig) -> DataFrame:
+    """(u, v): links within the trees that no single task can hold; see the module's text."""
+    n = F.length("members") / 8
+    keyed = sets.select("*", F.posexplode("keys").alias("pass", "key"))
+    light = sets.select("tree", n.alias("n"), F.posexplode("keys").alias("pass", "key"))
+    spread = light.groupBy("tree", "pass", "key").agg(F.count("*").alias("k"), F.sum("n").alias("m")).where(F.col("k") > 1)
+    spread = stash(spread.select("tree", "pass", "key", "m", _pieces(F.col("k"), F.col("m"), cfg).alias("cuts")), "join-keys")
+    shape = spread.agg(F.count("*").alias("rows"), F.sum("m").alias("m")).first()
+    deals = max(1, int(shape.m or 0) // (cfg.most_members // 3) + 1)
+    met = keyed.join(_hinted(spread.drop("m"), shape.rows, cfg), ["tree", "pass", "key"])
+    met = met.withColumn("meeting", F.xxhash64("tree", "pass", "key", F.pmod(F.xxhash64("name", "pass"), F.col("cuts"))))
+    first = stash(_join_by(met.withColumn("deal", F.when(F.col("cuts") > 1, F.col("meeting")).otherwise(F.pmod("meeting", F.lit(deals)))), cfg), "join-first")
+    drop(spread)
+    parts = components(first)
+    ids = sets.select("rep", "tree", "name", n.alias("n"))
+    count = parts.count()
+    known = ids.join(_hinted(parts, count, cfg), F.col("rep") == F.col("id"), "left").select("rep", "name", "tree", "n", F.coalesce("root", "rep").alias("part"))
+    known = stash(known, "join-parts")
+    # Trees that are one part are done.
+    trees = known.groupBy("tree").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("tree")
+    left = known.join(trees, "tree", "left_semi")
+    sums = left.groupBy("tree", "part").agg(F.count("*").alias("k"), F.sum("n").alias("m"))
+    own = sums.where(F.col("k") >= cfg.most_leaves // 8).select("tree", F.col("part").alias("__part"), _pieces(F.col("k"), F.col("m"), cfg).alias("cuts"))
+    own = stash(own, "join-own")
+    placed = left.join(_hinted(own, own.count(), cfg).withColumnRenamed("tree", "__tree"), (F.col("tree") == F.col("__tree")) & (F.col("part") == F.col("__part")), "left")
+    # Parts of many classes have blocks of their own; the others share blocks with sets of about their size.
+    band = F.floor(F.log("n") / F.log(F.lit(1.12)))
+    placed = placed.withColumn("band", F.when(F.col("cuts").isNull(), band))
+    bands = placed.where("band is not null").groupBy("tree", "band").agg(F.count("*").alias("k"), F.sum("n").alias("m")).select(F.col("tree").alias("__t"), F.col("band").alias("__b"), _pieces(F.col("k"), F.col("m"), cfg).alias("wide"))
+    placed = placed.join(bands, (F.col("tree") == F.col("__t")) & (F.col("band") == F.col("__b")), "left")
+    block = F.when(F.col("cuts").isNotNull(), F.xxhash64("tree", "part", F.lit(1), F.pmod(F.xxhash64("name"), "cuts"))).otherwise(F.xxhash64("tree", "band", F.lit(2), F.pmod(F.xxhash64("part"), "wide")))
+    placed = stash(placed.select("rep", "name", "part", block.alias("side")), "join-blocks")
+    size = placed.count()
+    if not size:
+        return first
+    rows = stash(sets.select("rep", "name", "tree", "members").join(_hinted(placed, size, cfg), ["rep", "name"]), "join-block-sets")
+
+    def node(group: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, np.uint64) for x in group.members]
+        t = SignatureTree(sets, cfg.percent, max(1, len(sets)), cfg.fan)
+        bits = 1 << 15
+        at = np.zeros(bits, bool)
+        worst = 0
+        for s in sets:
+            x = (s & np.uint64(bits - 1)).astype(np.int64)
+            at[x] = True
+            worst = max(worst, len(x) - len(np.unique(x)))
+        parts = group.part.unique()
+        return pd.DataFrame({"tree": [group.tree.iloc[0]], "side": [group.side.iloc[0]], "part": [parts[0] if len(parts) == 1 else None], "low": [t.sizes.min()], "high": [t.sizes.max()], "hidden": [worst], "bits": [np.packbits(at).tobytes()]}).astype({"part": "Int64"})
+
+    nodes = rows.groupBy("side").applyInPandas(node, "tree long, side long, part long, low long, high long, hidden long, bits binary")
+    nodes = stash(nodes, "join-nodes")
+
+    def traverse(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["low", "high"], kind="stable")
+        maps = np.stack([np.frombuffer(x, np.uint64) for x in group.bits])
+        low, high, hidden, side = (group[c].to_numpy() for c in ("low", "high", "hidden", "side"))
+        part = group.part.fillna(0).to_numpy(np.int64)
+        mixed = group.part.isna().to_numpy()
+        out = []
+        for i in range(len(low)):
+            j = np.arange(i, len(low))
+            j = j[(100 * high[i] >= cfg.percent * low[j]) & (100 * high[j] >= cfg.percent * low[i]) & (mixed[i] | mixed[j] | (part[i] != part[j])) & ((j > i) | mixed[i])]
+            most = np.bitwise_count(maps[j] & maps[i]).sum(1, dtype=np.int64) + np.minimum(hidden[i], hidden[j])
+            j = j[most >= _need(low[i], low[j], cfg.percent)]
+            out += [(side[i], side[k]) for k in j.tolist()]
+        return pd.DataFrame(out, columns=["x", "y"], dtype="int64")
+
+    pairs = stash(nodes.groupBy("tree").applyInPandas(traverse, "x long, y long"), "join-block-pairs")
+    both = pairs.select(F.col("x").alias("side"), "x", "y").unionAll(pairs.where("x <> y").select(F.col("y").alias("side"), "x", "y"))
+    met = rows.join(_hinted(both, 2 * pairs.count(), cfg), "side").withColumn("meeting", F.xxhash64("x", "y")).withColumn("deal", F.col("meeting"))
+    second = stash(_join_by(met, cfg, True), "join-second")
+    for t in (known, own, placed, rows, nodes, pairs):
+        drop(t)
+    return first.unionAll(second)
+
+
+def jaccard_components(documents: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of (doc_id, text)."""
+    known = profile(by_batches(documents), cfg)
+    docs = known.where("slot is null").select("doc_id", "n", "class")
+    classes = docs.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("n").alias("size"))
+    total = docs.agg(F.sum(F.expr(f"n - ({cfg.percent} * n + 99) div 100 + 1")).alias("n")).first().n or 0
+    ranges = max(8, -(-total // cfg.range_size))
+    posted = postings(documents, _counters(known, cfg), ranges, cfg)
+    met = stash(posted.groupBy("deal").applyInArrow(lambda t: _meet(t, cfg), "u long, v long, p int, q int, common int"), "join-meetings")
+    trees = components(_meetings(met, cfg))
+    drop(met)
+    trees = trees.unionAll(trees.select(F.col("root").alias("id"), "root").distinct())
+    wanted = stash(trees.join(classes, trees.id == classes["class"]).select("rep", "class", F.col("root").alias("tree"), "size"), "join-wanted")
+    shape = wanted.agg(F.count("*").alias("rows"), F.sum("size").alias("m")).first()
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+    # Small trees share tasks; see ``_large_trees`` for the others.
+    large = wanted.groupBy("tree").agg(F.count("*").alias("k"), F.sum("size").alias("m")).where((F.col("k") > cfg.most_leaves) | (F.col("m") > cfg.most_members)).select("tree")
+    large = stash(large, "join-large")
+    n_large = large.count()
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        return _sets(texts.join(_hinted(some, shape.rows, cfg), F.col("id") == F.col("rep")), cfg)
+
+    deals = max(4, int(shape.m or 0) // (cfg.most_members // 6) + 1)
+    small = sets_of(wanted.join(_hinted(large, n_large, cfg), "tree", "left_anti") if n_large else wanted)
+    linked = _join_by(small.withColumn("meeting", F.col("tree")).withColumn("deal", F.pmod(F.xxhash64("tree"), F.lit(deals))), cfg)
+    if n_large:
+        some = stash(sets_of(wanted.join(_hinted(large, n_large, cfg), "tree", "left_semi")), "join-large-sets")
+        linked = linked.unionAll(_large_trees(some, cfg))
+        drop(some)
+    # Written first: two Python steps in one task would need two workers.
+    linked = components(stash(linked, "join-links"))
+    # Classes of one document that is linked with nothing name themselves.
+    named = classes.join(linked, classes.rep == linked.id, "left").where("rep < last or root is not null").select("class", F.coalesce("root", "rep").alias("component"))
+    named = stash(named, "join-named")
+    out = docs.join(_hinted(named, named.count(), cfg), "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -60,6 +60,26 @@ def test_jaccard_against_brute_force(spark, n, percent, leaves):
     assert {tuple(r) for r in got.collect()} == brute_components(rows, n, percent)
 
 
+def test_jaccard_of_large_trees(spark):
+    # Parts of a tree that only the last step can link: chains of copies with few equal minimum hashes.
+    rnd = random.Random(8)
+    rows = []
+    for g in range(6):
+        words = [f"w{rnd.randrange(60)}" for _ in range(60)]
+        for _ in range(40):
+            words = list(words)
+            for _ in range(2):
+                words[rnd.randrange(60)] = f"w{rnd.randrange(60)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows) + i, rows[0][1]) for i in range(30)]
+    for cfg in (
+        ngramjoin.JoinConfig(n=2, percent=70, most_leaves=12, leaf=4, fan=2, flush=300, range_size=100, small_group=2, passes=1, broadcast_rows=0),
+        ngramjoin.JoinConfig(n=2, percent=80, most_leaves=40, most_members=500, leaf=4, fan=2, flush=1000, range_size=300, small_group=3, passes=2),
+    ):
+        got = ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), cfg)
+        assert {tuple(r) for r in got.collect()} == brute_components(rows, cfg.n, cfg.percent)
+
+
 def test_jaccard_odd_rows(spark, odd_docs, no_docs):
     got = ngramjoin.jaccard_components(odd_docs, ngramjoin.JoinConfig(n=3, percent=90)).collect()
     assert len(got) == odd_docs.count()

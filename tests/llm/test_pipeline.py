@@ -33,6 +33,8 @@ def test_jaccard_stage_tells_rows_apart(spark):
     plain = lambda rs: sorted(((i, "c" if (t or "").startswith(c) else t) for i, t in rs), key=repr)
     assert plain(got) == plain(stay)
     assert (5, b) in got and (2, d + " end") in got and len([r for r in got if r[0] is None]) == 4
+    twice = C.jaccard_join(spark, table(spark, [(1, a), (1, a), (1, a), (2, b), (4, ""), (4, "")]), "").collect()
+    assert sorted((r.doc_id, r.text) for r in twice) == sorted([(1, a), (2, b), (4, ""), (4, "")])
 
 
 def test_secret_stage_redacts_without_an_id(spark):
