@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, drop, slices, splitmix, stash
+from .common import by_batches, crc_mod, drop, slices, splitmix, stash, trim
 
 RUN = re.compile(r"[^\W\d_]+")
 START, END = "\x02", "\x03"
@@ -36,7 +36,7 @@ class LangConfig:
     order: int = 4
     #: standard deviations above the usual cross-entropy at which a text is rejected.
     reject_z: float = 8.0
-    memo_words: int = 400_000
+    memo_words: int = 150_000
     slice_chars: int = 8_000_000
 
 
@@ -103,12 +103,13 @@ def count_grams(docs: DataFrame, cfg: LangConfig) -> DataFrame:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if text is not None and lang is not None:
                     words.setdefault(lang, Counter()).update(text.split())
-            if sum(map(len, words.values())) > 500_000:
+            if sum(map(len, words.values())) > 200_000:
                 gather(words, found)
-                if sum(map(len, found.values())) > 1_000_000:
+                if sum(map(len, found.values())) > 500_000:
                     yield from flush(found)
         gather(words, found)
         yield from flush(found)
+        trim()
 
     def gather(words, found):
         for lang, c in words.items():
@@ -133,7 +134,7 @@ def count_grams(docs: DataFrame, cfg: LangConfig) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.string()), pa.array([c[k] for k in some], pa.int64())], ["lang", "gram", "n"])
         found.clear()
 
-    return docs.select("text", "lang").mapInArrow(part, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return by_batches(docs).select("text", "lang").mapInArrow(part, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -292,6 +293,8 @@ def train(docs: DataFrame, cfg: LangConfig = LangConfig()) -> LangModel | None:
     if not parts:
         return None
     model = _build(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
+    del parts
+    trim()
     _calibrate(model, _histograms(_score(rows, model, cfg, ["lang"]), model).toPandas())
     return model
 
@@ -360,8 +363,10 @@ def _score(docs: DataFrame, model: LangModel, cfg: LangConfig, keep: list[str])
                 cols = [b.column(i).slice(lo, hi - lo) for i in range(len(keep))]
                 cols += [pa.array(np.where(none, -1, best), pa.int32()), pa.array(np.where(none, 0.0, low)), pa.array(n), pa.array(np.where(none, 0.0, np.clip(post, 0, 1)))]
                 yield pa.RecordBatch.from_arrays(cols, [*keep, "__best", "__ce", "__n", "__score"])
+        del scorer
+        trim()
 
-    return docs.select(*[F.col(f"`{k}`") for k in sent]).mapInArrow(part, schema)
+    return by_batches(docs).select(*[F.col(f"`{k}`") for k in sent]).mapInArrow(part, schema)
 
 
 def identify(docs: DataFrame, model: LangModel | None, cfg: LangConfig = LangConfig(), keep: tuple[str, ...] = ("doc_id",), made: tuple[str, ...] = ("lang_pred", "score", "cross_entropy", "accepted")) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stash
+from .common import by_batches, slices, stash, trim
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,7 @@ class PackConfig:
     ranks: str | None = "byte_bpe_50k.tiktoken"
     end_id: int = 1
     length: int = 2048
-    memo_chunks: int = 400_000
+    memo_chunks: int = 120_000
 
 
 class Encoder:
@@ -108,14 +108,16 @@ def tokenize(docs: DataFrame, cfg: PackConfig = PackConfig()) -> DataFrame:
                 starts = before + np.cumsum(n) - n
                 before += int(n.sum())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array(n), pa.array([number] * (hi - lo), pa.int32()), pa.array(starts)], ["doc_id", "ids", "n", "part", "before"])
+        del encoder
+        trim()
 
     kind = dict(docs.dtypes)["doc_id"]
-    return stash(docs.select("doc_id", "text").mapInArrow(part, f"doc_id {kind}, ids binary, n long, part int, before long"), "pack-ids")
+    return stash(by_batches(docs).select("doc_id", "text").mapInArrow(part, f"doc_id {kind}, ids binary, n long, part int, before long"), "pack-ids")
 
 
 def pack(docs: DataFrame, cfg: PackConfig = PackConfig()) -> DataFrame:
     """Boundary records: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
-    tokens = tokenize(docs, cfg)
+    tokens = by_batches(tokenize(docs, cfg))
     base, total = {}, 0
     for row in tokens.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("n")).orderBy("part").collect():
         base[row.part] = total

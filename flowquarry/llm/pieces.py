@@ -27,7 +27,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, splitmix
+from .common import by_batches, slices, splitmix
 
 BLANK = "▁"
 MULT = splitmix(np.arange(100, 400, dtype=np.uint64)) | np.uint64(1)
@@ -267,7 +267,7 @@ def encode(docs: DataFrame, cfg: PieceConfig = PieceConfig()) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat), mask=null)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), lists, pa.array(same, pa.bool_())], ["doc_id", "ids", "decoded_same"])
 
-    return docs.select("doc_id", "text").mapInArrow(part, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, decoded_same boolean")
+    return by_batches(docs).select("doc_id", "text").mapInArrow(part, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, decoded_same boolean")
 
 
 def decode(encoded: DataFrame, cfg: PieceConfig = PieceConfig()) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices, splitmix
+from .common import by_batches, crc_mod, slices, splitmix
 
 WORD = re.compile(r"\w+|[^\w\s]+")
 
@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = QualityConfig
                 idx, x = hasher.features(text)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([y], pa.int32()), pa.array([idx.astype("<i4").tobytes()]), pa.array([x.astype("<f4").tobytes()])], ["doc_id", "y", "idx", "x"])
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    joined = by_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     kind = dict(docs.dtypes)["doc_id"]
     rows = joined.select("doc_id", "text", "quality").mapInArrow(part, f"doc_id {kind}, y int, idx binary, x binary").toPandas().sort_values(["doc_id", "y"], kind="stable")
     if rows.empty:
@@ -143,7 +143,7 @@ def score(docs: DataFrame, weights: np.ndarray | None, cfg: QualityConfig = Qual
                     dots.append(float(w[idx] @ x))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(1 / (1 + np.exp(-np.clip(dots, -35, 35))))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(part, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
+    return by_batches(docs).select("doc_id", "text").mapInArrow(part, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
 
 
 def quality(documents: DataFrame, labels: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
