@@ -1,143 +1,61 @@
-"""Detector scores as expressions over feature columns."""
+"""Exfiltration and DNS-tunnel scores as expressions over feature columns."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import capped_ratio, char_entropy, count_of, domain_parts, guarded, is_private, longest_run, normal_domain, ramp, severity
-from ..operators.history import baseline, beacon_stats
+from ..functions.scalars import capped_ratio, char_entropy, domain_parts, guarded, is_private, normal_domain, ramp, severity
+from ..operators.alerts import cooldown, evidence
+from ..operators.history import baseline
+from ..operators.sliding import sliding_counts
 
 
 @dataclass(frozen=True)
 class ExfilConfig:
-    """Thresholds and weights of the exfiltration score."""
-
-    baseline_ratio: float = 10.0
-    byte_ratio: float = 20.0
-    deviation: float = 3.0
-    rate_ratio: float = 5.0
-    burst: int = 2
+    """Thresholds and weights of the exfiltration score; the weights sum to 110."""
+
+    baseline_ratio: tuple[float, int] = (10.0, 30)
+    byte_ratio: tuple[float, int] = (20.0, 20)
+    deviation: tuple[float, int] = (3.0, 20)
+    rate_ratio: tuple[float, int] = (5.0, 15)
+    burst: tuple[int, int] = (2, 15)
+    new_external: int = 10
+    burst_bytes: int = 10 * 1024 * 1024
+    window_us: int = 300_000_000
     detect: int = 60
 
 
+def exfil_features(flows: DataFrame, cfg: ExfilConfig = ExfilConfig()) -> DataFrame:
+    """Features of each flow against its source's previous thirty and the bursts of its last window; half-duplex flows
+    have no byte ratio, and a source without history no baseline."""
+    seconds = F.greatest(F.col("duration_us") / 1e6, F.lit(1.0))
+    f = baseline(flows.withColumn("rate", F.col("bytes_out") / seconds))
+    mean, std, rate = (F.coalesce(c, F.lit(0.0)) for c in ("base_mean", "base_std", "base_rate"))
+    f = f.withColumns({
+        "outbound_vs_baseline": guarded("bytes_out", mean), "byte_ratio": F.when(F.col("bytes_in") == 0, 0.0).otherwise(capped_ratio("bytes_out", "bytes_in")),
+        "deviation": guarded(F.abs(F.col("bytes_out") - mean), std), "rate_vs_baseline": guarded("rate", rate), "external": (~is_private("dst_ip")).cast("int"),
+    })
+    big = f.where(F.col("bytes_out") >= cfg.burst_bytes).select("src_ip", "ts_us", "flow_id")
+    times = f.select("src_ip", "ts_us").distinct()
+    counted = sliding_counts(big, ["src_ip"], cfg.window_us, {"burst_count": ["flow_id"]}, probes=times)
+    return f.join(counted.select(F.col("src_ip").alias("__s"), F.col("ts_us").alias("__t"), "burst_count"), f.src_ip.eqNullSafe(F.col("__s")) & (f.ts_us == F.col("__t"))).drop("__s", "__t")
+
+
 def exfil(flows: DataFrame, cfg: ExfilConfig = ExfilConfig()) -> DataFrame:
-    """Risk score of each flow against its source's previous thirty; half-duplex flows have no byte ratio."""
-    f = baseline(flows)
-    mean, std = F.coalesce("base_mean", F.lit(0.0)), F.coalesce("base_std", F.lit(0.0))
-    out_base = guarded("bytes_out", mean)
-    ratio = F.when(F.col("bytes_in") == 0, 0.0).otherwise(capped_ratio("bytes_out", "bytes_in"))
-    dev = F.when(std > 0, F.abs(F.col("bytes_out") - mean) / F.nullif(std, F.lit(0.0))).otherwise(0.0)
-    fresh = (F.col("novel") == 1) & ~is_private("dst_ip")
-    pts = lambda c, n: F.when(c, n).otherwise(0)
-    score = pts(out_base >= cfg.baseline_ratio, 30) + pts(ratio >= cfg.byte_ratio, 20) + pts(dev >= cfg.deviation, 20) + pts(out_base >= cfg.rate_ratio, 15) + pts(fresh, 10)
+    """Risk score, severity and reasons of each flow."""
+    f = exfil_features(flows, cfg)
+    hit = {
+        "outbound_vs_baseline": F.col("outbound_vs_baseline") >= cfg.baseline_ratio[0], "byte_ratio": F.col("byte_ratio") >= cfg.byte_ratio[0], "deviation": F.col("deviation") >= cfg.deviation[0],
+        "rate_vs_baseline": F.col("rate_vs_baseline") >= cfg.rate_ratio[0], "burst_count": F.col("burst_count") >= cfg.burst[0], "novel": (F.col("novel") == 1) & (F.col("external") == 1),
+    }
+    points = dict(zip(hit, (cfg.baseline_ratio[1], cfg.byte_ratio[1], cfg.deviation[1], cfg.rate_ratio[1], cfg.burst[1], cfg.new_external), strict=True))
+    score = sum((F.when(c, points[k]).otherwise(0) for k, c in hit.items()), F.lit(0))
     level = F.when(score >= 80, "CRITICAL").when(score >= 60, "HIGH").when(score >= 30, "MEDIUM").otherwise("LOW")
-    return f.select("flow_id", "src_ip", "dst_ip", "ts_us", score.alias("risk_score"), level.alias("severity"), (score >= cfg.detect).cast("int").alias("suspicious"))
-
-
-def ddos_subscores(w: DataFrame) -> DataFrame:
-    """Source, protocol and volume terms of each destination window."""
-    total = F.greatest("pkts", F.lit(1)).cast("double")
-    source = 0.6 * ramp("src_entropy", 3.0, 6.5) + 0.4 * ramp(F.col("unique_src").cast("double"), 5.0, 50.0)
-    tcp = 0.4 * ramp(F.col("syn_pkts").cast("double"), 1.5, 5.0) + 0.35 * ramp(F.col("syn_pkts").cast("double"), 500.0, 2000.0) + 0.25 * ramp(F.col("syn_pkts") / total, 0.4, 0.7)
-    udp = 0.45 * ramp(F.col("udp_pkts").cast("double"), 1000.0, 3000.0) + 0.35 * ramp(F.col("udp_pkts") / total, 0.3, 0.75)
-    return w.select("bucket", "dst_ip", F.round(source, 6).alias("source_score"), F.round(tcp, 6).alias("tcp_score"), F.round(udp, 6).alias("udp_score"))
-
-
-def _ramp(x: float, low: float, high: float) -> float:
-    return max(0.0, min(1.0, (x - low) / (high - low)))
-
-
-def ddos_fold(rows: list[dict], n: int = 30) -> list[dict]:
-    """One victim's windows in order: z against the last n quiet windows, scores, class, persistence."""
-    quiet, state, streak, out = [], 0.0, 0, []
-    for r in rows:
-        mean, std = 1000.0, 100.0
-        if len(quiet) >= 5:
-            s = pd.Series(quiet)
-            mean, std = float(s.mean()), max(1.0, float(s.std(ddof=1)))
-        rate = round(_ramp(round((r["pps"] - mean) / std, 2), 1.5, 6), 4)
-        total = max(r["pkts"], 1)
-        source = round(0.6 * round(_ramp(r["src_entropy"], 3, 6.5), 4) + 0.4 * round(_ramp(r["unique_src"], 5, 50), 4), 4)
-        tcp = round(0.4 * round(_ramp(r["syn_pkts"], 1.5, 5), 4) + 0.35 * round(_ramp(r["syn_pkts"], 500, 2000), 4) + 0.25 * round(_ramp(r["syn_pkts"] / total, 0.4, 0.7), 4), 4)
-        udp = round(0.45 * round(_ramp(r["udp_pkts"], 1000, 3000), 4) + 0.35 * round(_ramp(r["udp_pkts"] / total, 0.3, 0.75), 4) + 0.2 * round(_ramp(r.get("ratio", 0.0), 1.5, 4), 4), 4)
-        now = 0.25 * rate + 0.2 * source + 0.2 * tcp + 0.15 * udp + 0.1 * r.get("temporal", 0.0)
-        hit = now >= 0.45
-        streak = streak + 1 if hit else max(0, streak - 1)
-        state = round(state * 0.35 + (min(1.0, streak / 3) if hit else 0.0) * 0.65, 2)
-        r2, s2, t2, u2 = (round(x, 2) for x in (rate, source, tcp, udp))
-        if t2 >= 0.7 and r2 >= 0.5:
-            kind, sure = "SYN_FLOOD", 0.6 * t2 + 0.4 * r2
-        elif u2 >= 0.7 and r2 >= 0.5:
-            big = r.get("ratio", 0.0) >= 4
-            kind, sure = ("UDP_REFLECTION_AMPLIFICATION", 0.6 * u2 + 0.4 * r2) if big else ("UDP_FLOOD", 0.55 * u2 + 0.45 * r2)
-        elif s2 >= 0.75 and r2 >= 0.65:
-            kind, sure = "SPOOFED_SOURCE_FLOOD", 0.55 * s2 + 0.45 * r2
-        elif r2 >= 0.6:
-            kind, sure = "SUSPICIOUS_FLOOD", r2
-        else:
-            kind, sure = "NORMAL", 0.0
-        score = 0.9 * now + 0.1 * state
-        found = kind != "NORMAL" and score >= 0.45
-        conf = min(1.0, 0.7 * round(sure, 2) + 0.3 * state) if found else 0.0
-        level = "CRITICAL" if conf >= 0.92 or (conf >= 0.8 and r["pps"] >= 50000) else "HIGH" if conf >= 0.82 else "MEDIUM" if conf >= 0.65 else "LOW"
-        if not (found or rate >= 0.5):
-            quiet = [*quiet, r["pps"]][-n:]
-        out.append({"attack_class": kind, "detected": int(found), "confidence": round(conf, 4), "persistence": state, "severity": level})
-    return out
-
-
-def ddos(windows: DataFrame) -> DataFrame:
-    """The fold over each destination's windows; windows are aggregates, so a victim's rows are few whatever its traffic."""
-
-    def part(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("bucket")
-        return pd.concat([g[["bucket", "dst_ip"]].reset_index(drop=True), pd.DataFrame(ddos_fold(g.to_dict("records")))], axis=1)
-
-    return windows.groupBy("dst_ip").applyInPandas(part, "bucket long, dst_ip string, attack_class string, detected int, confidence double, persistence double, severity string")
-
-
-def beacon(rows: DataFrame, key: str, sources: DataFrame | None = None) -> DataFrame:
-    """C2 score of each channel from its gap statistics; sources holds (key, n_src), 1 if missing."""
-    s = beacon_stats(rows, key)
-    s = s.join(sources, key, "left") if sources is not None else s.withColumn("n_src", F.lit(1))
-    n_src = F.coalesce("n_src", F.lit(1)).cast("double")
-    rcv = 1.4826 * F.col("mad_us") / F.col("median_us")
-    cons = F.col("near") / F.col("gaps").cast("double")
-    clip = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
-    raw = 0.35 * clip(1 - rcv / 0.4) + 0.30 * cons + 0.15 * clip(1 - F.col("size_cv") / 0.5) + 0.10 * clip(F.col("n") / 20.0) + 0.10 * clip(1 - (n_src - 1) / 24.0)
-    score = raw * F.when(cons < 0.6, 0.5).otherwise(1.0) * F.when(n_src >= 25, 0.6).otherwise(1.0)
-    return s.select(key, "n", "median_us", "mad_us", "near", F.round(score, 6).alias("confidence"), (score >= 0.60).cast("int").alias("alert"), severity(score, ((0.9, "HIGH"), (0.75, "MEDIUM")), "LOW").alias("severity"))
-
-
-def recon(flows: DataFrame, us: int, answered: DataFrame, horizontal: int = 20, vertical: int = 20, least: float = 0.5) -> DataFrame:
-    """Scan score of each flow's source over the last ``us``; answered holds the flow_ids with a reply."""
-    f = flows.join(answered.select("flow_id", F.lit(1).alias("ok")), "flow_id", "left")
-    w = Window.partitionBy("src_ip").orderBy("ts_us").rangeBetween(-us, 0)
-    m = f.select("flow_id", "src_ip", "ts_us", F.size(F.collect_set("dst_ip").over(w)).alias("nd"), F.size(F.collect_set("dst_port").over(w)).alias("np"), F.count("*").over(w).alias("attempts"), F.count("ok").over(w).alias("answered"))
-    hor, ver = F.col("nd") >= horizontal, F.col("np") >= vertical
-    fan = F.least(F.lit(1.0), F.greatest(F.when(hor, F.col("nd") / (2.0 * horizontal)).otherwise(0.0), F.when(ver, F.col("np") / (2.0 * vertical)).otherwise(0.0)))
-    vol = F.least(F.lit(1.0), F.col("attempts") / (4.0 * max(horizontal, vertical)))
-    failed = (F.col("attempts") - F.col("answered")) / F.col("attempts")
-    conf = F.least(F.lit(1.0), 0.55 * fan + 0.30 * failed + 0.15 * vol)
-    kind = F.when(hor & ver, "combined_scan").when(hor, "horizontal_scan").otherwise("vertical_scan")
-    return m.where((hor | ver) & (conf >= least)).select("flow_id", "src_ip", "ts_us", kind.alias("sub_type"), F.round(conf, 6).alias("confidence"), severity(conf, ((0.9, "critical"), (0.75, "high"), (0.6, "medium")), "low").alias("severity"))
-
-
-def tunnel_stats(queries: DataFrame, us: int) -> DataFrame:
-    """Per (src, registered) and query: the last ``us`` of payload labels."""
-    w = Window.partitionBy("src_ip", "registered").orderBy("ts_us").rangeBetween(-us, 0)
-    span = (F.max("ts_us").over(w) - F.min("ts_us").over(w)) / 1e6
-    n = F.count("*").over(w)
-    return queries.select("query_id", "src_ip", "registered", n.alias("n"), F.avg(F.length("label")).over(w).alias("mean_len"), F.avg("h").over(w).alias("mean_h"), (F.size(F.collect_set("label").over(w)) / n).alias("uniq"), (n / F.greatest(span, F.lit(1.0))).alias("rate"), F.avg((F.col("qtype").isin(16, 10)).cast("double")).over(w).alias("txt"))
-
-
-def tunnel(stats: DataFrame, least_n: int = 8, least: float = 0.65) -> DataFrame:
-    s = 0.25 * ramp("mean_len", 20.0, 50.0) + 0.25 * ramp("mean_h", 2.5, 3.8) + 0.25 * ramp("uniq", 0.5, 0.95) + 0.10 * ramp("rate", 0.1, 5.0) + 0.05 * F.col("txt")
-    return stats.where(F.col("n") >= least_n).select("query_id", "src_ip", "registered", F.round(s, 6).alias("score"), (s >= least).cast("int").alias("alert"))
+    texts = {"outbound_vs_baseline": "outbound volume %d times the baseline", "byte_ratio": "%d times as much sent as received", "deviation": "%d deviations from the baseline", "rate_vs_baseline": "transfer rate %d times the baseline", "burst_count": "%d large transfers in the window", "novel": "%d new external destination"}
+    return f.select("flow_id", "src_ip", "dst_ip", "ts_us", score.alias("risk_score"), level.alias("severity"), (score >= cfg.detect).cast("int").alias("suspicious"), evidence(*((hit[k], texts[k], k) for k in hit)).alias("reasons"))
 
 
 @dataclass(frozen=True)
@@ -151,14 +69,16 @@ class TunnelConfig:
     popular: int = 25
     damping: float = 0.6
     least_label: int = 8
+    cooldown_us: int = 300_000_000
+    rise: float = 0.1
     suffixes: tuple[str, ...] = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "co.in", "co.jp")
 
 
-def tunnel_alerts(queries: DataFrame, cfg: TunnelConfig = TunnelConfig()) -> DataFrame:
+def tunnel_scores(queries: DataFrame, cfg: TunnelConfig = TunnelConfig()) -> DataFrame:
     """The whole tunnel score of (query_id, ts_us, src_ip, domain, qtype), queries only, from ``least_n`` payload labels on.
 
     The payload is the longest label below the registered name; queries whose payload is short or not alphanumeric are
-    skipped, but their sources count for the name's popularity. Alerts are not thinned out by a cooldown here.
+    skipped, but their sources count for the name's popularity.
     """
     q = queries.select("query_id", "ts_us", F.coalesce("src_ip", F.lit("?")).alias("src_ip"), "qtype", normal_domain("domain").alias("fqdn")).where("fqdn <> ''")
     q = q.withColumn("d", domain_parts("fqdn", cfg.suffixes)).select("query_id", "ts_us", "src_ip", "qtype", "d.registered", F.split("d.subdomain", r"\.").alias("sub"))
@@ -192,15 +112,10 @@ def tunnel_alerts(queries: DataFrame, cfg: TunnelConfig = TunnelConfig()) -> Dat
     p = p.withColumn("raw", raw).join(known, "registered", "left")
     popular = F.coalesce(F.struct("ts_us", "query_id") >= F.col("popular_at"), F.lit(False))
     score = F.round(F.least(F.lit(1.0), F.col("raw") * F.when(popular, cfg.damping).otherwise(1.0)), 4)
-    return p.select("query_id", "src_ip", "registered", "n", score.alias("score"), (score >= cfg.least).cast("int").alias("alert"), severity(score, ((0.92, "CRITICAL"), (0.80, "HIGH")), "MEDIUM").alias("severity"))
-
-
-def dga_terms(names: DataFrame, label: str = "label") -> DataFrame:
-    """The lexical terms of the generated-domain score that need neither model nor dictionary."""
-    n = F.length(label).cast("double")
-    digits = count_of(label, "0-9") / F.greatest(n, F.lit(1.0))
-    hexes = F.col(label).rlike("^[0-9a-f]{12,}$").cast("int")
-    run = longest_run(label, "bcdfghjklmnpqrstvwxyz").cast("double")
-    h = char_entropy(label)
-    part = 0.15 * ramp(run, 3.0, 6.0) + 0.10 * ramp(h, 3.0, 3.9) + 0.15 * ramp(n, 8.0, 14.0) + 0.15 * ramp(digits, 0.1, 0.4) + 0.10 * hexes
-    return names.select(label, run.cast("int").alias("consonant_run"), F.round(h, 6).alias("entropy"), F.round(digits, 6).alias("digit_ratio"), hexes.alias("hex_like"), F.round(part, 6).alias("lexical_score"))
+    return p.select("query_id", "ts_us", "src_ip", "registered", "n", score.alias("score"), (score >= cfg.least).cast("int").alias("alert"), severity(score, ((0.92, "CRITICAL"), (0.80, "HIGH")), "MEDIUM").alias("severity"))
+
+
+def tunnel_alerts(queries: DataFrame, cfg: TunnelConfig = TunnelConfig()) -> DataFrame:
+    """Alerts left by the cooldown of each source and name, which a risen score breaks."""
+    a = tunnel_scores(queries, cfg).where("alert = 1").withColumn("confidence", F.col("score"))
+    return cooldown(a, ["src_ip", "registered"], cfg.cooldown_us, cfg.rise, tie="query_id").drop("confidence", "alert")

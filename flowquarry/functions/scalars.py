@@ -46,17 +46,23 @@ def _quad(ip: str) -> int:
 
 
 def in_ranges(number: Column, ranges) -> Column:
-    out = F.lit(False)
-    for ip, bits in ranges:
-        out |= number.between(_quad(ip), _quad(ip) + 2 ** (32 - bits) - 1)
-    return out
+    """Whether a number lies in one of the ranges. The number is computed once, as the one element of an array; as a
+    plain expression every range test would hold a copy of it and the generated code would outgrow its limit."""
+
+    def test(n: Column) -> Column:
+        out = F.lit(False)
+        for ip, bits in ranges:
+            out |= n.between(_quad(ip), _quad(ip) + 2 ** (32 - bits) - 1)
+        return out
+
+    return F.get(F.transform(F.array(number), test), F.lit(0))
 
 
 def is_internal(ip) -> Column:
     """Addresses never looked up; unparsable ones count as internal. IPv6 ranges are told by their first digits."""
-    v6 = F.lower(_c(ip)).rlike(r"^(f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|ff[0-9a-f]{2}:|::1$)")
-    number = ipv4_number(ip)
-    return F.when(number.isNotNull(), in_ranges(number, INTERNAL_V4)).when(_c(ip).contains(":"), v6).otherwise(True)
+    shape = F.lower(_c(ip)).rlike(r"^(?=.*:)[0-9a-f:.]{2,45}$")
+    v6 = F.lower(_c(ip)).rlike(r"^(f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|ff[0-9a-f]{2}:|(0{0,4}:){2,7}0{0,3}1$)")
+    return F.coalesce(in_ranges(ipv4_number(ip), INTERNAL_V4), F.when(shape, v6), F.lit(True))
 
 
 def is_private(ip) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +60,7 @@ def trigram_counts(words: DataFrame, column: str) -> DataFrame:
     return at.groupBy(F.expr("substring(w, i - 2, 2)").alias("ctx"), F.expr("substring(w, i, 1)").alias("ch")).agg(F.count("*").alias("n"), F.sum(F.log1p(F.col("count").cast("double"))).alias("weight"))
 
 
-def trigram_logp(names: DataFrame, lm: DataFrame, column: str, add: float = 0.05, symbols: int = 38) -> DataFrame:
+def trigram_logp(names: DataFrame, lm: DataFrame, column: str, add: float = 0.05, symbols: int = 38, digits: int | None = 5) -> DataFrame:
     """Mean log probability of each name's trigrams; the model is joined to the distinct names' trigrams."""
     w = F.concat(F.lit("^^"), F.col(column), F.lit("$"))
     g = names.select(column, w.alias("w")).select(column, "w", F.explode(F.sequence(F.lit(3), F.length("w"))).alias("i"))
@@ -69,29 +68,24 @@ def trigram_logp(names: DataFrame, lm: DataFrame, column: str, add: float = 0.05
     total = lm.groupBy("ctx").agg(F.sum("weight").alias("tot"))
     j = g.join(lm, ["ctx", "ch"], "left").join(total, "ctx", "left")
     p = F.log((F.coalesce("weight", F.lit(0.0)) + add) / (F.coalesce("tot", F.lit(0.0)) + add * symbols))
-    return j.groupBy(column).agg(F.round(F.avg(p), 5).alias("trigram_logp"))
-
-
-def coverage(text: str, words: set[str], least: int = 3, most: int = 15) -> int:
-    """Most characters of text that disjoint words cover."""
-    best = [0] * (len(text) + 1)
-    for i in range(1, len(text) + 1):
-        best[i] = max([best[i - 1], *(best[i - k] + k for k in range(least, min(most, i) + 1) if text[i - k : i] in words)])
-    return best[-1]
-
-
-def word_coverage(names: DataFrame, words: DataFrame, column: str, most_words: int = 500_000) -> DataFrame:
-    """Share of each name that dictionary words cover; the dictionary is checked against a bound before it is sent out."""
-    some = [r[0] for r in words.where("length(word) between 3 and 15").limit(most_words + 1).collect()]
-    if len(some) > most_words:
-        raise ValueError(f"the dictionary has over {most_words} words")
-    shared = names.sparkSession.sparkContext.broadcast(set(some))
-
-    def part(frames):
-        for f in frames:
-            yield pd.DataFrame({column: f[column], "coverage": [coverage(x, shared.value) / max(len(x), 1) for x in f[column]]})
-
-    return names.select(column).mapInPandas(part, f"{column} string, coverage double")
+    mean = F.avg(p)
+    return j.groupBy(column).agg((mean if digits is None else F.round(mean, digits)).alias("trigram_logp"))
+
+
+def word_coverage(names: DataFrame, words: DataFrame, column: str, least: int = 3, most: int = 15) -> DataFrame:
+    """Share of each distinct name that disjoint dictionary words cover; symbols other than letters are left out first.
+
+    The names' substrings are joined with the dictionary, and a fold over the name's places keeps the most symbols
+    covered so far, so the dictionary may be of any size.
+    """
+    n = names.select(column).distinct().withColumn("__s", F.regexp_replace(column, r"[^\p{L}]", ""))
+    ends = n.where(F.length("__s") >= least).select("__s").distinct().select("__s", F.explode(F.sequence(F.lit(least), F.length("__s"))).alias("e"))
+    subs = ends.select("__s", "e", F.explode(F.sequence(F.lit(least), F.least(F.lit(most), F.col("e")))).alias("k")).withColumn("word", F.expr("substring(__s, e - k + 1, k)"))
+    hits = subs.join(words.select("word").distinct(), "word").groupBy("__s").agg(F.collect_list(F.struct("e", "k")).alias("hits"))
+    best = F.expr("""aggregate(sequence(1, length(__s)), array(0), (b, i) -> concat(b, array(greatest(element_at(b, -1),
+        array_max(concat(array(0), transform(filter(hits, h -> h.e = i), h -> element_at(b, i - h.k + 1) + h.k)))))), b -> element_at(b, -1))""")
+    out = n.join(hits, "__s", "left")
+    return out.select(column, F.when(F.col("hits").isNull(), 0.0).otherwise(best / F.length(column)).alias("coverage"))
 
 
 def forest_scores(rows: DataFrame, features: list[str], label: str, key: str, trees: int = 10) -> DataFrame:

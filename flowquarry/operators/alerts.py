@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import protocol_name
@@ -45,13 +45,21 @@ def cooldown_fold(times: list[int], scores: list[float], us: int, rise: float |
 
 
 def cooldown(alerts: DataFrame, key: list[str], us: int, rise: float | None = None, tie: str = "flow_id") -> DataFrame:
-    """Alerts left by the cooldown; a key's few columns are folded in time order."""
+    """Alerts left by the cooldown. After a pause of ``us`` the next alert is emitted whatever came before, so the fold
+    runs over the stretches between pauses, and only over each alert's time and score."""
 
     def part(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["ts_us", tie])
         return g[cooldown_fold(g.ts_us.tolist(), g.confidence.tolist(), us, rise)]
 
-    return alerts.groupBy(*key).applyInPandas(part, alerts.schema)
+    return stretches(alerts, key, us, tie).groupBy(*key, "__stretch").applyInPandas(part, stretches(alerts, key, us, tie).schema).drop("__stretch")
+
+
+def stretches(rows: DataFrame, key: list[str], us: int, tie: str = "flow_id") -> DataFrame:
+    """``rows`` with the number of the stretch without a pause of ``us`` that each belongs to."""
+    w = Window.partitionBy(*key).orderBy("ts_us", tie)
+    new = F.coalesce(F.col("ts_us") - F.lag("ts_us").over(w) >= us, F.lit(True)).cast("long")
+    return rows.withColumn("__new", new).withColumn("__stretch", F.sum("__new").over(w)).drop("__new")
 
 
 def rollup_classes(alerts: DataFrame) -> DataFrame:
@@ -59,6 +67,6 @@ def rollup_classes(alerts: DataFrame) -> DataFrame:
 
 
 def evidence(*pairs: tuple[Column, str, str]) -> Column:
-    """Sentences whose condition holds, joined by '; '."""
-    each = [F.when(c, F.format_string(text, F.col(col))) for c, text, col in pairs]
+    """Sentences (with one %d, the whole part of a column) whose condition holds, joined by '; '."""
+    each = [F.when(c, F.format_string(text, F.floor(F.col(col)).cast("long"))) for c, text, col in pairs]
     return F.array_join(F.array_compact(F.array(*each)), "; ")

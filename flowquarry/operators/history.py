@@ -7,26 +7,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sliding import sliding_counts
+
 
 def baseline(flows: DataFrame, n: int = 30) -> DataFrame:
-    """Mean and population deviation over the source's n flows before each flow, and destination novelty."""
+    """Mean and population deviation of volume, and mean rate where there is one, over the source's n flows before each flow, and destination novelty."""
     w = Window.partitionBy("src_ip").orderBy("ts_us", "flow_id").rowsBetween(-n, -1)
     new = F.row_number().over(Window.partitionBy("src_ip", "dst_ip").orderBy("ts_us", "flow_id")) == 1
-    return flows.withColumns({"base_mean": F.avg("bytes_out").over(w), "base_std": F.stddev_pop("bytes_out").over(w), "base_n": F.count("*").over(w), "novel": new.cast("int")})
+    more = {"base_rate": F.avg("rate").over(w)} if "rate" in flows.columns else {}
+    return flows.withColumns({"base_mean": F.avg("bytes_out").over(w), "base_std": F.stddev_pop("bytes_out").over(w), "base_n": F.count("*").over(w), "novel": new.cast("int")} | more)
 
 
 def sliding_fanout(flows: DataFrame, us: int) -> DataFrame:
     """Distinct destinations, distinct ports and attempts of the source in the last ``us`` up to each flow."""
-    w = Window.partitionBy("src_ip").orderBy("ts_us").rangeBetween(-us, 0)
-    return flows.select("flow_id", "src_ip", F.size(F.collect_set("dst_ip").over(w)).cast("long").alias("unique_dst"), F.size(F.collect_set("dst_port").over(w)).cast("long").alias("unique_ports"), F.count("*").over(w).alias("attempts"))
+    rows = flows.select("flow_id", "src_ip", "ts_us", "dst_ip", "dst_port")
+    return sliding_counts(rows, ["src_ip"], us, {"unique_dst": ["dst_ip"], "unique_ports": ["dst_port"], "attempts": []}).select("flow_id", "src_ip", "unique_dst", "unique_ports", "attempts")
 
 
 def sliding_ports(flows: DataFrame, us: int) -> DataFrame:
-    """The most distinct ports on one destination in the last ``us`` up to each flow, by an interval join bucketed in time."""
-    a = flows.select("flow_id", "src_ip", "ts_us").withColumn("cell", F.explode(F.array(F.expr(f"ts_us div {us}"), F.expr(f"ts_us div {us} - 1"))))
-    b = flows.select(F.col("src_ip").alias("s"), F.col("ts_us").alias("t"), "dst_ip", "dst_port", F.expr(f"ts_us div {us}").alias("cell2"))
-    j = a.join(b, (a.src_ip == b.s) & (a.cell == b.cell2) & F.col("t").between(F.col("ts_us") - us, F.col("ts_us")))
-    return j.select("flow_id", "dst_ip", "dst_port").distinct().groupBy("flow_id", "dst_ip").agg(F.count("*").alias("p")).groupBy("flow_id").agg(F.max("p").alias("max_ports"))
+    """The most distinct ports on one destination in the last ``us`` up to each flow."""
+    rows = flows.select("flow_id", "src_ip", "ts_us", "dst_ip", "dst_port")
+    return sliding_counts(rows, ["src_ip"], us, {}, {"max_ports": (["dst_ip"], ["dst_port"])}).select("flow_id", "max_ports")
 
 
 def channel_ring(rows: DataFrame, key: str, n: int = 64, least: int = 8, every: int = 2) -> DataFrame:

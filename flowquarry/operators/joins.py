@@ -21,7 +21,52 @@ def indicators(flows: DataFrame) -> DataFrame:
     return flows.select("flow_id", each.alias("i")).select("flow_id", "i.kind", "i.value").where(~is_internal("value"))
 
 
-def match(rows: DataFrame, iocs: DataFrame, most: int | None = None) -> DataFrame:
+def record_indicators(records: DataFrame) -> DataFrame:
+    """(record_id, pos, kind, value) of typed records: DNS names and their parents; of TLS and flow records the
+    fingerprints, the server name and its parents, and public addresses. pos is the order in which they are looked up."""
+    one = lambda kind, value: F.struct(F.lit(kind).alias("kind"), F.lower(value).alias("value"))
+    names = lambda c: F.transform(candidates(F.lower(F.col(c))), lambda v: F.struct(F.lit("domain").alias("kind"), v.alias("value")))
+    none = F.array().cast("array<struct<kind:string,value:string>>")
+    some = lambda c, x: F.when(F.col(c).isNotNull() & (F.col(c) != ""), x).otherwise(none)
+    address = lambda c: F.when(F.col(c).isNotNull() & ~is_internal(c), F.array(one("ip", F.col(c)))).otherwise(none)
+    tls = F.concat(some("ja3", F.array(one("ja3", F.col("ja3")))), some("ja4", F.array(one("ja4", F.col("ja4")))), some("sni", names("sni")), address("dst_ip"), address("src_ip"))
+    found = F.when(F.col("record_type") == "dns", some("domain", names("domain"))).when(F.col("record_type").isin("tls_hello", "flow_early", "flow"), tls).otherwise(none)
+    return records.select("record_id", F.posexplode(found).alias("pos", "x")).select("record_id", "pos", "x.kind", "x.value")
+
+
+def record_verdicts(records: DataFrame, iocs: DataFrame, early: float = 0.9) -> DataFrame:
+    """Per record with a match: lookups, matches, confidence, early exit, and the surest match (the first looked up of equals)."""
+    found = record_indicators(records)
+    hits = found.join(iocs, ["kind", "value"], "left")
+    hit = F.col("confidence").isNotNull()
+    agg = hits.groupBy("record_id").agg(
+        F.count("*").alias("lookups"), F.count_if(hit).alias("matches"), F.max("confidence").alias("top"), F.count_distinct(F.when(hit, F.col("kind"))).alias("kinds"),
+        F.min_by(F.struct("kind", "value", "category"), F.when(hit, F.struct(-F.col("confidence"), "pos"))).alias("best"),
+        F.array_sort(F.collect_set(F.when(hit, F.concat_ws(":", "kind", "value")))).alias("keys"),
+    )
+    agg = agg.where("matches > 0")
+    return agg.select("record_id", "lookups", "matches", F.col("top").alias("confidence"), ((F.col("top") >= early) | (F.col("kinds") >= 2)).cast("int").alias("early_exit"), F.col("best.kind").alias("ioc_kind"), F.col("best.value").alias("ioc_matched"), F.col("best.category").alias("ioc_category"), F.array_join("keys", ",").alias("indicators"))
+
+
+def memory_keys(records: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(key, ts_us, hit_id, confidence): under which keys a hit is remembered: the pair, each public end, and the source of DNS and hello records."""
+    r = records.join(verdicts.select("record_id", "confidence"), "record_id")
+    public = lambda c: F.when(F.col(c).isNotNull() & ~is_internal(c), F.col(c))
+    host = F.when(F.col("record_type").isin("dns", "tls_hello"), F.col("src_ip"))
+    keys = F.array_distinct(F.array_compact(F.array(F.when(F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull(), F.concat_ws(">", "src_ip", "dst_ip")), public("src_ip"), public("dst_ip"), host)))
+    return r.select(F.explode(keys).alias("key"), "ts_us", F.col("record_id").alias("hit_id"), "confidence")
+
+
+def observe(records: DataFrame, verdicts: DataFrame, us: int = 60_000_000) -> DataFrame:
+    """Alerts of early-exit verdicts: critical, confidence 0.95 at least, one for each source, destination and set of matches in ``us``."""
+    from .alerts import cooldown
+
+    sure = verdicts.where("early_exit = 1").select("record_id", F.greatest("confidence", F.lit(0.95)).alias("confidence"), "ioc_matched", "indicators")
+    rows = records.select("record_id", "ts_us", "src_ip", "dst_ip").join(sure, "record_id")
+    return cooldown(rows, ["src_ip", "dst_ip", "indicators"], us, None, tie="record_id").withColumn("severity", F.lit("CRITICAL")).withColumn("confidence", F.round("confidence", 2))
+
+
+def match(rows: DataFrame, iocs: DataFrame) -> DataFrame:
     """Equi-join of (kind, value) with the indicator table; Spark broadcasts the table while it is small."""
     return rows.join(iocs, ["kind", "value"])
 

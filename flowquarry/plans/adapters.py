@@ -24,10 +24,11 @@ def flows(spark: SparkSession, sf: str) -> DataFrame:
         port.cast("int").alias("dst_port"),
         (F.col("event_id") % 20000 + 1024).cast("int").alias("src_port"),
         F.when(port == 53, 17).otherwise(6).alias("proto"),
-        F.floor(F.col("value") * 100).cast("long").alias("bytes_out"),
+        (F.floor(F.col("value") * 100) * F.when(F.col("event_id") % 53 == 0, 60).otherwise(1)).cast("long").alias("bytes_out"),
         F.when(F.col("event_type") == "error", 0).otherwise((F.col("k") + 1) * 10).cast("long").alias("bytes_in"),
         (F.col("k") % 7 + 1).alias("pkts"),
         F.when(F.col("event_type") == "error", 2).otherwise(18).alias("flags"),
+        (F.col("event_id") % 40 * 500000).alias("duration_us"),
     )
 
 
@@ -85,9 +86,9 @@ CTE = {
   CASE event_type WHEN 'click' THEN 443 WHEN 'view' THEN 80 WHEN 'error' THEN 445 WHEN 'purchase' THEN 8443 ELSE 53 END AS dst_port,
   CAST(event_id % 20000 + 1024 AS INTEGER) AS src_port,
   CASE WHEN event_type IN ('click','view','error','purchase') THEN 6 ELSE 17 END AS proto,
-  CAST(floor(value * 100) AS BIGINT) AS bytes_out,
+  CAST(floor(value * 100) AS BIGINT) * CASE WHEN event_id % 53 = 0 THEN 60 ELSE 1 END AS bytes_out,
   CASE WHEN event_type = 'error' THEN 0 ELSE (k + 1) * 10 END AS bytes_in, k % 7 + 1 AS pkts,
-  CASE WHEN event_type = 'error' THEN 2 ELSE 18 END AS flags
+  CASE WHEN event_type = 'error' THEN 2 ELSE 18 END AS flags, event_id % 40 * 500000 AS duration_us
   FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events))""",
     "packets": """packets AS (SELECT epoch_us(l_shipdate) AS ts_us, CAST(l_suppkey AS VARCHAR) AS dst_ip, CAST(l_partkey % 64 AS VARCHAR) AS src_ip,
   CAST(l_quantity AS INTEGER) AS dst_port, CASE l_linenumber WHEN 3 THEN 17 WHEN 5 THEN 1 ELSE 6 END AS proto,

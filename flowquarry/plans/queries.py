@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..detectors import scores
 from ..functions import scalars as S
-from ..operators import alerts as AL
 from ..operators import flows as FL
 from ..operators import history as H
 from ..operators import joins as J
@@ -116,7 +114,15 @@ def flow_sessions_idle(spark: SparkSession, sf: str) -> DataFrame:
     return FL.idle_sessions(A.flows(spark, sf), "src_ip", 6 * HOUR)
 
 
-@query("STR-04")
+@query("STR-04", sql=oracle(f"""
+, o AS (SELECT src_ip, ts_us, flags, row_number() OVER (PARTITION BY src_ip ORDER BY ts_us, flow_id) AS k, count(*) OVER (PARTITION BY src_ip) AS total FROM flows),
+w AS (SELECT src_ip, k, total, ts_us AS s, ts_us AS e, 1 AS n, flags & 1 AS fins, CASE WHEN flags & 4 <> 0 THEN ts_us END AS closed, CAST(NULL AS STRUCT(s BIGINT, e BIGINT, n INTEGER, r VARCHAR)) AS done FROM o WHERE k = 1
+UNION ALL SELECT src_ip, k, total, CASE WHEN r IS NULL THEN s ELSE t END, CASE WHEN r IS NULL THEN greatest(e, t) ELSE t END, CASE WHEN r IS NULL THEN n + 1 ELSE 1 END, CASE WHEN r IS NULL THEN fins ELSE 0 END + (f & 1),
+  CASE WHEN r IS NULL AND closed IS NOT NULL THEN closed WHEN f & 4 <> 0 OR CASE WHEN r IS NULL THEN fins ELSE 0 END + (f & 1) >= 2 THEN t END, CASE WHEN r IS NOT NULL THEN {{'s': s, 'e': e, 'n': n, 'r': r}} END FROM (
+  SELECT w.* EXCLUDE (k, done), o.k, o.ts_us AS t, o.flags AS f, CASE WHEN o.ts_us - e > {6 * HOUR} THEN CASE WHEN closed IS NOT NULL THEN 'closed' ELSE 'idle' END WHEN closed IS NOT NULL AND o.flags & 2 <> 0 AND o.flags & 16 = 0 THEN 'reuse' WHEN closed IS NOT NULL AND o.ts_us - closed > {HOUR} THEN 'closed' WHEN o.ts_us - s > {DAY} THEN 'active' END AS r
+  FROM w JOIN o ON o.src_ip = w.src_ip AND o.k = w.k + 1)),
+x AS (SELECT src_ip, done.s AS s, done.e AS e, done.n AS n, done.r AS r FROM w WHERE done IS NOT NULL UNION ALL SELECT src_ip, s, e, n, CASE WHEN closed IS NOT NULL THEN 'closed' ELSE 'flush' END FROM w WHERE k = total)
+SELECT src_ip, s AS start_us, e AS end_us, CAST(n AS BIGINT) AS records, r AS end_reason FROM x""", "flows").replace("WITH ", "WITH RECURSIVE ", 1))
 def flow_sessions_full(spark: SparkSession, sf: str) -> DataFrame:
     return FL.full_sessions(A.flows(spark, sf), "src_ip", 6 * HOUR, DAY, HOUR)
 
@@ -210,7 +216,11 @@ def pair_history(spark: SparkSession, sf: str) -> DataFrame:
     return H.pair_history(A.channels(spark, sf), "channel")
 
 
-@query("WIN-13", "STR-12")
+@query("WIN-13", "STR-12", sql=oracle("""
+, o AS (SELECT src_ip, bytes_out >= 8000 AS hit, row_number() OVER (PARTITION BY src_ip ORDER BY ts_us, flow_id) AS k FROM flows),
+w AS (SELECT DISTINCT src_ip, CAST(0 AS BIGINT) AS k, 0e0 AS s, 0 AS streak FROM o
+UNION ALL SELECT o.src_ip, o.k, s * 0.35e0 + CASE WHEN hit THEN least(1e0, (streak + 1) / 3e0) ELSE 0e0 END * (1 - 0.35e0), CASE WHEN hit THEN streak + 1 ELSE greatest(streak - 1, 0) END FROM w JOIN o ON o.src_ip = w.src_ip AND o.k = w.k + 1)
+SELECT src_ip, round(arg_max(s, k), 6) AS persistence, arg_max(streak, k) AS streak FROM w GROUP BY ALL""", "flows").replace("WITH ", "WITH RECURSIVE ", 1))
 def persistence_fold(spark: SparkSession, sf: str) -> DataFrame:
     return H.persistence(A.flows(spark, sf), "src_ip", F.col("bytes_out") >= 8000)
 
@@ -218,55 +228,3 @@ def persistence_fold(spark: SparkSession, sf: str) -> DataFrame:
 @query("AGG-09", "TOP-05")
 def lombscargle(spark: SparkSession, sf: str) -> DataFrame:
     return H.periodicity(A.flows(spark, sf), "src_ip")
-
-
-@query("DET-02", sql=oracle(_BEACON + """
-, t AS (SELECT *, least(1e0, greatest(0e0, 1 - 1.4826e0 * mad_us / median_us / 0.4e0)) AS a, near / gaps AS c, least(1e0, greatest(0e0, 1 - size_cv / 0.5e0)) AS z, least(1e0, n / 20e0) AS e FROM b),
-zz AS (SELECT *, (0.35e0 * a + 0.30e0 * c + 0.15e0 * z + 0.10e0 * e + 0.10e0) * CASE WHEN c < 0.6e0 THEN 0.5e0 ELSE 1e0 END AS s FROM t)
-SELECT channel, n, median_us, mad_us, near, round(s, 6) AS confidence, CAST(s >= 0.6e0 AS INTEGER) AS alert, CASE WHEN s >= 0.9e0 THEN 'HIGH' WHEN s >= 0.75e0 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM zz""", "channels"))
-def c2_detect(spark: SparkSession, sf: str) -> DataFrame:
-    return scores.beacon(A.channels(spark, sf), "channel")
-
-
-@query("DET-05", "SF-12", "SF-14", "WIN-01", "WIN-03", sql=oracle("""
-, f AS (SELECT *, coalesce(avg(bytes_out) OVER w, 0) AS m, coalesce(stddev_pop(bytes_out) OVER w, 0) AS sd, row_number() OVER (PARTITION BY src_ip, dst_ip ORDER BY ts_us, flow_id) = 1 AS novel FROM flows
-WINDOW w AS (PARTITION BY src_ip ORDER BY ts_us, flow_id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
-r AS (SELECT *, CASE WHEN m > 0 THEN bytes_out / m ELSE 0e0 END AS ob, CASE WHEN bytes_in = 0 THEN 0e0 ELSE least(bytes_out / bytes_in, 1000e0) END AS br, CASE WHEN sd > 0 THEN abs(bytes_out - m) / sd ELSE 0e0 END AS dv FROM f),
-s AS (SELECT *, CASE WHEN ob >= 10 THEN 30 ELSE 0 END + CASE WHEN br >= 20 THEN 20 ELSE 0 END + CASE WHEN dv >= 3 THEN 20 ELSE 0 END + CASE WHEN ob >= 5 THEN 15 ELSE 0 END + CASE WHEN novel AND dst_ip LIKE '45.%' THEN 10 ELSE 0 END AS s FROM r)
-SELECT flow_id, src_ip, dst_ip, ts_us, s AS risk_score, CASE WHEN s >= 80 THEN 'CRITICAL' WHEN s >= 60 THEN 'HIGH' WHEN s >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS severity, CAST(s >= 60 AS INTEGER) AS suspicious FROM s""", "flows"))
-def exfil_detect(spark: SparkSession, sf: str) -> DataFrame:
-    return scores.exfil(A.flows(spark, sf))
-
-
-@query("DET-06", "WIN-05", "JOIN-04", "FIL-08", sql=oracle(f"""
-, q AS (SELECT DISTINCT a.flow_id FROM flows a JOIN flows b ON a.dst_ip = b.dst_ip AND b.ts_us > a.ts_us AND b.ts_us <= a.ts_us + {HOUR} AND b.flow_id <> a.flow_id),
-m AS (SELECT flow_id, src_ip, ts_us, count(DISTINCT dst_ip) OVER w AS nd, count(DISTINCT dst_port) OVER w AS np, count(*) OVER w AS a, count(CASE WHEN flow_id IN (SELECT flow_id FROM q) THEN 1 END) OVER w AS ok FROM flows
-WINDOW w AS (PARTITION BY src_ip ORDER BY ts_us RANGE BETWEEN {10 * DAY} PRECEDING AND CURRENT ROW)),
-s AS (SELECT *, nd >= 15 AS h, np >= 5 AS v, least(1e0, 0.55e0 * least(1e0, greatest(CASE WHEN nd >= 15 THEN nd / 30e0 ELSE 0e0 END, CASE WHEN np >= 5 THEN np / 10e0 ELSE 0e0 END)) + 0.30e0 * ((a - ok) / a) + 0.15e0 * least(1e0, a / 60e0)) AS c FROM m)
-SELECT flow_id, src_ip, ts_us, CASE WHEN h AND v THEN 'combined_scan' WHEN h THEN 'horizontal_scan' ELSE 'vertical_scan' END AS sub_type, round(c, 6) AS confidence,
-CASE WHEN c >= 0.9e0 THEN 'critical' WHEN c >= 0.75e0 THEN 'high' WHEN c >= 0.6e0 THEN 'medium' ELSE 'low' END AS severity FROM s WHERE (h OR v) AND c >= 0.5e0""", "flows"))
-def recon_detect(spark: SparkSession, sf: str) -> DataFrame:
-    f = A.flows(spark, sf)
-    # Another flow to the same destination within an hour stands for a reply: the test flows have no reverse legs.
-    w = Window.partitionBy("dst_ip").orderBy("ts_us").rangeBetween(1, HOUR)
-    answered = f.withColumn("later", F.count("*").over(w)).where("later > 0")
-    return scores.recon(f, 10 * DAY, answered, 15, 5)
-
-
-@query("DET-01", sql=oracle(_dst_sql(DAY, 5, "flows").replace("SELECT bucket, dst_ip, CAST(p", ", w AS (SELECT bucket, dst_ip, CAST(p") + """)
-SELECT bucket, dst_ip, round(0.6e0 * least(1e0, greatest(0e0, (src_entropy - 3) / 3.5e0)) + 0.4e0 * least(1e0, greatest(0e0, (unique_src - 5) / 45e0)), 6) AS source_score,
-round(0.4e0 * least(1e0, greatest(0e0, (syn_pkts - 1.5e0) / 3.5e0)) + 0.35e0 * least(1e0, greatest(0e0, (syn_pkts - 500) / 1500e0)) + 0.25e0 * least(1e0, greatest(0e0, (syn_pkts / pkts - 0.4e0) / (0.7e0 - 0.4e0))), 6) AS tcp_score,
-round(0.45e0 * least(1e0, greatest(0e0, (udp_pkts - 1000) / 2000e0)) + 0.35e0 * least(1e0, greatest(0e0, (udp_pkts / pkts - 0.3e0) / (0.75e0 - 0.3e0))), 6) AS udp_score FROM w""", "flows"))
-def ddos_subscores(spark: SparkSession, sf: str) -> DataFrame:
-    return scores.ddos_subscores(W.by_destination(_as_packets(A.flows(spark, sf)), DAY))
-
-
-@query("DET-01", "WIN-02", "WIN-13", "STR-13")
-def ddos_detect(spark: SparkSession, sf: str) -> DataFrame:
-    return scores.ddos(W.by_destination(_as_packets(A.flows(spark, sf)), DAY))
-
-
-@query("SET-04", "SET-01")
-def dedupe_cooldown(spark: SparkSession, sf: str) -> DataFrame:
-    a = scores.exfil(A.flows(spark, sf)).withColumn("confidence", F.col("risk_score") / 110.0).where("risk_score >= 30")
-    return AL.cooldown(a.select("flow_id", "src_ip", "ts_us", "confidence", "severity"), ["src_ip"], DAY, 0.1)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..detectors import scores
 from ..functions import scalars as S
 from ..ml import tabular as ML
 from ..operators import alerts as AL
@@ -77,10 +76,14 @@ def trigram_logp(spark: SparkSession, sf: str) -> DataFrame:
     return ML.trigram_logp(names, ML.trigram_counts(names.withColumn("count", F.lit(1)), "label"), "label")
 
 
-@query("SF-10", "JOIN-12")
+@query("SF-10", "JOIN-12", sql=A.oracle(_LABELS.replace("WITH ", "") + """
+, ws AS (SELECT list(DISTINCT w) AS ws FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part) WHERE length(w) BETWEEN 3 AND 15), s AS (SELECT label, regexp_replace(label, '[^a-z]', '', 'g') AS s FROM labels_),
+cv AS (SELECT DISTINCT s, CAST(0 AS BIGINT) AS i, [CAST(0 AS BIGINT)] AS best FROM s
+UNION ALL SELECT s, i + 1, list_append(best, greatest(best[i + 1], coalesce(list_max(list_transform(list_filter(generate_series(3, least(15, i + 1)), lambda k: list_contains(ws, substr(s, i + 2 - k, k))), lambda k: best[i + 2 - k] + k)), 0))) FROM cv, ws WHERE i < length(s))
+SELECT label, round(best[-1] / length(label), 6) AS coverage FROM s JOIN cv USING (s) WHERE i = length(s)""", "dns").replace("WITH ", "WITH RECURSIVE ", 1))
 def word_coverage(spark: SparkSession, sf: str) -> DataFrame:
     words = A.table(spark, sf, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
-    return ML.word_coverage(_labels(spark, sf), words, "label")
+    return ML.word_coverage(_labels(spark, sf), words, "label").withColumn("coverage", F.round("coverage", 6))
 
 
 @query("SF-12", sql=oracle("""SELECT flow_id, round(CASE WHEN bytes_in > 0 THEN least(bytes_out / bytes_in, 1000e0) WHEN bytes_out > 0 THEN 1000e0 ELSE 0e0 END, 6) AS byte_ratio,
@@ -301,37 +304,17 @@ def top3_targets(spark: SparkSession, sf: str) -> DataFrame:
     return J.top_targets(A.flows(spark, sf))
 
 
-@query("STR-10")
+@query("STR-10", sql=oracle(f"""
+, o AS (SELECT dst_ip AS key, ts_us, CAST(regexp_extract(dst_ip, '([0-9]+)$', 1) AS INTEGER) % 7 = 0 AS listed, row_number() OVER (PARTITION BY dst_ip ORDER BY ts_us, flow_id) AS k FROM flows),
+w AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS until, 0 AS hits, 0 AS negative, 0 AS misses FROM o
+UNION ALL SELECT o.key, o.k, CASE WHEN ts_us < until THEN until ELSE ts_us + CASE WHEN listed THEN {HOUR} ELSE 600000000 END END, hits + CAST(ts_us < until AND listed AS INTEGER), negative + CAST(ts_us < until AND NOT listed AS INTEGER), misses + CAST(ts_us >= until AS INTEGER)
+  FROM w JOIN o ON o.key = w.key AND o.k = w.k + 1)
+SELECT key, CAST(arg_max(hits, k) AS BIGINT) AS hits, CAST(arg_max(negative, k) AS BIGINT) AS negative, CAST(arg_max(misses, k) AS BIGINT) AS misses FROM w GROUP BY ALL""", "flows").replace("WITH ", "WITH RECURSIVE ", 1))
 def cache_sim(spark: SparkSession, sf: str) -> DataFrame:
     f = A.flows(spark, sf).select(F.col("dst_ip").alias("key"), "ts_us", "flow_id", (F.regexp_extract("dst_ip", r"(\d+)$", 1).cast("int") % 7 == 0).alias("listed"))
     return J.cache_classes(f, HOUR, 10 * 60 * 1_000_000)
 
 
-@query("DET-03", "SF-11", sql=oracle(_LABELS + """
-, c AS (SELECT label, ch, count(*) AS c FROM (SELECT label, unnest(string_split(label, '')) AS ch FROM labels_) GROUP BY ALL), e AS (SELECT label, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS h FROM c GROUP BY ALL),
-t AS (SELECT label, h, length(label) AS n, length(regexp_replace(label, '[^0-9]', '', 'g')) / length(label) AS d, coalesce(list_max(list_transform(regexp_extract_all(label, '[bcdfghjklmnpqrstvwxyz]+'), lambda x: length(x))), 0) AS r, CAST(regexp_matches(label, '^[0-9a-f]{12,}$') AS INTEGER) AS x FROM labels_ JOIN e USING (label))
-SELECT label, CAST(r AS INTEGER) AS consonant_run, round(h, 5) AS entropy, round(d, 6) AS digit_ratio, x AS hex_like, round(0.15e0 * least(1e0, greatest(0e0, (r - 3) / 3e0)) + 0.10e0 * least(1e0, greatest(0e0, (h - 3) / (3.9e0 - 3e0))) + 0.15e0 * least(1e0, greatest(0e0, (n - 8) / 6e0)) + 0.15e0 * least(1e0, greatest(0e0, (d - 0.1e0) / (0.4e0 - 0.1e0))) + 0.10e0 * x, 5) AS lexical_score FROM t""", "dns"))
-def dga_score_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return scores.dga_terms(_labels(spark, sf)).withColumns({"entropy": F.round("entropy", 5), "lexical_score": F.round("lexical_score", 5)})
-
-
-@query("DET-04", "AGG-12", "WIN-06", "FIL-06", sql=oracle(f"""
-, l AS (SELECT query_id, ts_us, src_ip, qtype, string_split(domain, '.') AS l FROM dns), p AS (SELECT query_id, ts_us, src_ip, qtype, concat(l[-2], '.', l[-1]) AS registered, l[1] AS label FROM l WHERE len(l) > 2),
-w AS (SELECT query_id, src_ip, registered, count(*) OVER w AS n, avg(length(label)) OVER w AS ml, count(DISTINCT label) OVER w / count(*) OVER w AS u, count(*) OVER w / greatest((max(ts_us) OVER w - min(ts_us) OVER w) / 1e6, 1e0) AS r, avg(CASE WHEN qtype IN (16, 10) THEN 1e0 ELSE 0e0 END) OVER w AS t
-FROM p WINDOW w AS (PARTITION BY src_ip, registered ORDER BY ts_us RANGE BETWEEN 120000000 PRECEDING AND CURRENT ROW))
-SELECT query_id, src_ip, registered, round(0.25e0 * least(1e0, greatest(0e0, (ml - 20) / 30e0)) + 0.25e0 * least(1e0, greatest(0e0, (u - 0.5e0) / (0.95e0 - 0.5e0))) + 0.10e0 * least(1e0, greatest(0e0, (r - 0.1e0) / (5e0 - 0.1e0))) + 0.05e0 * t, 6) AS score, 0 AS alert FROM w WHERE n >= 2""", "dns"))
-def dns_tunnel_detect(spark: SparkSession, sf: str) -> DataFrame:
-    q = A.dns(spark, sf).select("query_id", "ts_us", "src_ip", "qtype", F.split("domain", r"\.").alias("l")).where(F.size("l") > 2)
-    q = q.select("query_id", "ts_us", "src_ip", "qtype", F.concat_ws(".", F.element_at("l", -2), F.element_at("l", -1)).alias("registered"), F.get("l", F.lit(0)).alias("label"), F.lit(0.0).alias("h"))
-    return scores.tunnel(scores.tunnel_stats(q, 120_000_000), least_n=2)
-
-
-@query("DET-04", "AGG-12", "WIN-06", "FIL-06", "SET-02")
-def dns_tunnel_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole detector; dns_tunnel_detect is the part of its score that its SQL states."""
-    return scores.tunnel_alerts(A.dns(spark, sf))
-
-
 @query("AGG-14", sql="SELECT o.o_orderkey, CAST(coalesce(c.n, 0) AS BIGINT) AS freq FROM orders o LEFT JOIN (SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderkey % 5 < 3 GROUP BY ALL) c USING (o_orderpriority)")
 def freq_encoding(spark: SparkSession, sf: str) -> DataFrame:
     o = A.table(spark, sf, "orders")
@@ -379,22 +362,6 @@ def clean_rows(spark: SparkSession, sf: str) -> DataFrame:
     return ML.clean(li).agg(F.count("*").alias("kept"))
 
 
-@query("WIN-07", sql=oracle(f"""SELECT flow_id, CAST(count(DISTINCT CASE WHEN bytes_out > 5000 THEN dst_ip END) OVER (PARTITION BY src_ip ORDER BY ts_us RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW) AS INTEGER) AS burst FROM flows""", "flows"))
-def burst_names(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("src_ip").orderBy("ts_us").rangeBetween(-DAY, 0)
-    return A.flows(spark, sf).select("flow_id", F.size(F.collect_set(F.when(F.col("bytes_out") > 5000, F.col("dst_ip"))).over(w)).alias("burst"))
-
-
-@query("DET-03", "SET-03", "FIL-05", "WIN-07")
-def dga_detect(spark: SparkSession, sf: str) -> DataFrame:
-    from ..detectors.dga import dga
-
-    p = A.table(spark, sf, "part")
-    lm = ML.trigram_counts(p.select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).groupBy("w").agg(F.count("*").alias("count")), "w")
-    names = p.select(F.col("p_partkey").alias("query_id"), (F.col("p_partkey") % 50).cast("string").alias("src_ip"), (F.col("p_partkey") * 1_000_000).alias("ts_us"), F.concat(F.substring(F.md5(F.col("p_partkey").cast("string").cast("binary")), 1, 14), F.lit(".net")).alias("domain"))
-    return dga(names, lm, p.select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct())
-
-
 @query("AGG-07", sql="WITH c AS (SELECT s_suppkey, ch, count(*) AS c FROM (SELECT s_suppkey, unnest(string_split(s_name, '')) AS ch FROM supplier) GROUP BY ALL) SELECT s_suppkey, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 5) AS entropy FROM c GROUP BY ALL")
 def string_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return A.table(spark, sf, "supplier").select("s_suppkey", F.round(S.char_entropy("s_name"), 5).alias("entropy"))

@@ -31,7 +31,7 @@ def test_query(spark, sf, duck, name):
     cols = sorted(got.columns)
     rows = sorted((tuple(plain(r[c]) for c in cols) for r in got.collect()), key=repr)
     if name not in ORACLES:
-        assert rows is not None
+        assert len(rows) > 0
         return
     out = duck.execute(ORACLES[name])
     names = [d[0] for d in out.description]

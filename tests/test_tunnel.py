@@ -50,7 +50,7 @@ def test_tunnel_against_a_fold(spark):
         add(i * 700_000 + rnd.randrange(600_000), f"s{i % 60}" if i % 2 else "t3", f"{text(48)}.cdn.net", 10)
         add(i * 5_000_000, "t4", f"{text(9)}.slow.com")
         add(i * 300_000, "t5", rnd.choice(["abc.ok.com", "with-dash-here.ok.com", "samelabel.ok.com", "ok.com", None, "", "longlabel1.Ok.com"]))
-    got = {r.query_id: r for r in scores.tunnel_alerts(spark.createDataFrame(rows, "query_id long, ts_us long, src_ip string, domain string, qtype int").repartition(5)).collect()}
+    got = {r.query_id: r for r in scores.tunnel_scores(spark.createDataFrame(rows, "query_id long, ts_us long, src_ip string, domain string, qtype int").repartition(5)).collect()}
     want = fold(rows)
     assert set(got) == set(want)
     for i, (src, name, n, score) in want.items():
