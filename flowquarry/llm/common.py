@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,10 +18,13 @@ _MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or where that is unset the warehouse; a temporary
+    folder only in a session whose executors are the driver itself."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     if not _MADE:
         _MADE.append(tempfile.mkdtemp(prefix="flowquarry-"))
         atexit.register(shutil.rmtree, _MADE[0], ignore_errors=True)

@@ -306,8 +306,8 @@ CE_BIN, N_BINS = 0.001, 16
 def _histograms(seen: DataFrame, model: LangModel) -> DataFrame:
     """(lang, kind, bin, n) of all rows with letters that get their own language: cross-entropies (ce) and lengths (n)."""
     names = F.array(*[F.lit(x) for x in model.langs])
-    own = seen.where((F.col("__n") > 0) & (F.col("lang") == F.get(names, F.col("__best"))))
-    ce, n = F.floor(F.col("__ce") / CE_BIN), F.floor(F.log2("__n") * N_BINS)
+    own = seen.select("row.lang", "best", "ce", "n").where((F.col("n") > 0) & (F.col("lang") == F.get(names, F.col("best"))))
+    ce, n = F.floor(F.col("ce") / CE_BIN), F.floor(F.log2("n") * N_BINS)
     each = F.array(F.struct(F.lit("ce").alias("kind"), ce.alias("bin")), F.struct(F.lit("n").alias("kind"), n.alias("bin")))
     return own.select("lang", F.explode(each).alias("x")).groupBy("lang", "x.kind", "x.bin").agg(F.count("*").alias("n"))
 
@@ -343,15 +343,15 @@ def _score(docs: DataFrame, model: LangModel, cfg: LangConfig, keep: list[str])
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(model)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    sent = keep if "text" in keep else [*keep, "text"]
-    at = sent.index("text")
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "__best int, __ce double, __n double, __score double"])
+    # The columns to keep travel as one struct, so that their names cannot clash with what is made here.
+    row = ", ".join(f"`{k}`: {kinds[k]}" for k in keep)
+    schema = f"row struct<{row}>, best int, ce double, n double, score double"
 
     def part(batches):
         m = shared.value
         scorer = Scorer(m, cfg)
         for b in batches:
-            texts = b.column(at).to_pylist()
+            texts = b.column(1).to_pylist()
             for lo, hi in slices([len(t or "") for t in texts], cfg.slice_chars):
                 ll, n = scorer.texts(texts[lo:hi])
                 ce = -ll / np.maximum(n, 1)[:, None]
@@ -360,13 +360,12 @@ def _score(docs: DataFrame, model: LangModel, cfg: LangConfig, keep: list[str])
                 # The posterior of the best language, with the evidence of at most 50 symbols.
                 post = 1 / np.exp(-(ce - low[:, None]) * np.minimum(n, 50)[:, None]).sum(1)
                 none = n == 0
-                cols = [b.column(i).slice(lo, hi - lo) for i in range(len(keep))]
-                cols += [pa.array(np.where(none, -1, best), pa.int32()), pa.array(np.where(none, 0.0, low)), pa.array(n), pa.array(np.where(none, 0.0, np.clip(post, 0, 1)))]
-                yield pa.RecordBatch.from_arrays(cols, [*keep, "__best", "__ce", "__n", "__score"])
+                cols = [b.column(0).slice(lo, hi - lo), pa.array(np.where(none, -1, best), pa.int32()), pa.array(np.where(none, 0.0, low)), pa.array(n), pa.array(np.where(none, 0.0, np.clip(post, 0, 1)))]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "best", "ce", "n", "score"])
         del scorer
         trim()
 
-    return by_batches(docs).select(*[F.col(f"`{k}`") for k in sent]).mapInArrow(part, schema)
+    return by_batches(docs).select(F.struct(*[F.col(f"`{k}`") for k in keep]).alias("row"), "text").mapInArrow(part, schema)
 
 
 def identify(docs: DataFrame, model: LangModel | None, cfg: LangConfig = LangConfig(), keep: tuple[str, ...] = ("doc_id",), made: tuple[str, ...] = ("lang_pred", "score", "cross_entropy", "accepted")) -> DataFrame:
@@ -376,11 +375,12 @@ def identify(docs: DataFrame, model: LangModel | None, cfg: LangConfig = LangCon
         return docs.select(*cols, F.lit("und").alias(made[0]), F.lit(0.0).alias(made[1]), F.lit(None).cast("double").alias(made[2]), F.lit(False).alias(made[3]))
     scored = _score(docs, model, cfg, list(keep))
     names = F.array(*[F.lit(x) for x in model.langs])
-    best, ce, n = F.col("__best"), F.col("__ce"), F.col("__n")
+    best, ce, n = F.col("best"), F.col("ce"), F.col("n")
     mid, wide, each = (F.get(F.array(*[F.lit(float(x)) for x in model.usual[:, i]]), best) for i in range(3))
     fits = ce <= mid + cfg.reject_z * F.sqrt(wide + each / F.greatest(n, F.lit(1.0)))
     some = best >= 0
-    return scored.select(*cols, F.when(some, F.get(names, best)).otherwise("und").alias(made[0]), F.col("__score").alias(made[1]), F.when(some, ce).alias(made[2]), F.when(some, fits).otherwise(False).alias(made[3]))
+    cols = [F.col(f"row.`{k}`") for k in keep]
+    return scored.select(*cols, F.when(some, F.get(names, best)).otherwise("und").alias(made[0]), F.col("score").alias(made[1]), F.when(some, ce).alias(made[2]), F.when(some, fits).otherwise(False).alias(made[3]))
 
 
 def language_id(documents: DataFrame, cfg: LangConfig = LangConfig()) -> DataFrame:

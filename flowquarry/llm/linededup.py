@@ -1,8 +1,8 @@
 """Operator 7: line dedup by site-relative frequency, in DataFrame functions only.
 
 Pages are grouped by host. A line's ratio is the number of the host's pages that contain it, divided by the number of
-the host's pages; lines whose ratio exceeds ``ratio`` (and that lie on ``least_pages`` pages at least) are boilerplate
-and are dropped from every page of the host. Lines are compared by their whole content (MD5); blank lines (blanks
+the host's pages; lines whose ratio exceeds ``ratio`` are boilerplate and are dropped from every page of the host. A
+line of a single page repeats nothing, so ``least_pages`` is two; otherwise every line of a small host would go. Lines are compared by their whole content (MD5); blank lines (blanks
 only) are neither counted nor dropped.
 
 The lines to drop are few for a host whatever its size: their ratios sum to its mean number of distinct lines a page
@@ -11,7 +11,8 @@ broadcast only where all hosts' lines together are below ``broadcast_lines``, el
 execution splits where a host is large.
 
 Defined cases: a null host is one host of its own; null texts stay null and contain no line, but count as pages; empty
-texts stay empty; repeated rows are pages each; an empty table gives no rows; further columns are kept as they are.
+texts stay empty; repeated rows are pages each; an empty table gives no rows; further columns are kept as they are, but
+for columns named like the report's, which it replaces.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .common import stash
 @dataclass(frozen=True)
 class LineConfig:
     ratio: float = 0.1
-    least_pages: int = 3
+    least_pages: int = 2
     broadcast_lines: int = 100_000
 
 
@@ -65,7 +66,8 @@ def strip_lines(pages: DataFrame, host: str = "source", cfg: LineConfig = LineCo
     stay = F.when(F.col("__drop").isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: _blank(x) | ~F.array_contains(F.col("__drop"), _key(x))))
     out = joined.withColumn("__stay", stay)
     text = F.when(F.col("text").isNotNull(), F.array_join("__stay", "\n"))
-    kept = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in pages.columns]
+    made = ("n_lines", "n_dropped") if report else ()
+    kept = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in pages.columns if c not in made]
     if not report:
         return out.select(*kept)
     n = F.coalesce(F.size(all_lines), F.lit(0)).cast("long")
@@ -86,7 +88,7 @@ WITH l AS (
 ), t AS (SELECT source, count(*) AS total FROM documents GROUP BY ALL),
 d AS (
   SELECT c.source, list(line) AS drops FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
-  WHERE pages >= 3 AND pages > 0.1e0 * total GROUP BY ALL
+  WHERE pages >= 2 AND pages > 0.1e0 * total GROUP BY ALL
 ), s AS (
   SELECT l.doc_id, l.source, l.text, string_split(text, chr(10)) AS al, d.drops,
     list_filter(string_split(text, chr(10)), lambda x: trim(x) = '' OR NOT list_contains(coalesce(d.drops, []), x)) AS stay

@@ -2,7 +2,7 @@
 
 A text's words are its lower-cased runs of letters and digits and its runs of marks; its features are the hashed
 single words and word pairs, with weight log(1 + count), scaled to unit length, plus a constant. Training uses a
-bounded sample of the labelled rows (``train_rows``, drawn by a hash of the text, whole texts); FTRL-proximal goes
+bounded sample of the labelled rows (``train_rows``, drawn by a hash of the doc_id, whole texts); FTRL-proximal goes
 over it ``epochs`` times. A score is the logistic of a sparse dot product.
 
 Defined cases: null and empty texts have the constant feature alone. Rows whose label is null or other than 0 or 1

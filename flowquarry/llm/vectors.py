@@ -16,7 +16,8 @@ the sum over the lists at the current depth cannot reach the kth best score.
 Defined cases: vectors that are null, hold null or non-finite components (operator 3: or are zero) take no part, as
 queries or candidates; vectors whose length differs from the most common one take no part; a repeated vec_id counts
 once, with the least of its valid vectors; a null vec_id takes no part; equal scores go to the smaller vec_id; an empty table gives
-no rows; extra columns are ignored. Components whose product could leave 53 bits raise an error in operator 6.
+no rows; extra columns are ignored. Operator 6 scores in 64-bit integers where 53 bits may not be enough, and in
+unbounded ones beyond; components and scores outside 64 bits count as the nearest 64-bit number, so such scores tie.
 """
 
 from __future__ import annotations
@@ -89,10 +90,10 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
     return rows.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
 
-def _frame(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+def _frame(rows: list[tuple[int, np.ndarray, np.ndarray]], kind=np.float64) -> pd.DataFrame:
     if not rows:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-    return pd.DataFrame({"query_id": np.repeat([r[0] for r in rows], [len(r[1]) for r in rows]), "vec_id": np.concatenate([r[1] for r in rows]), "score": np.concatenate([r[2] for r in rows])})
+    return pd.DataFrame({"query_id": np.repeat([r[0] for r in rows], [len(r[1]) for r in rows]), "vec_id": np.concatenate([r[1] for r in rows]), "score": np.concatenate([r[2] for r in rows]).astype(kind)})
 
 
 def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -194,7 +195,7 @@ class ThresholdIndex:
         place = int(np.searchsorted(ids, own))
         if place < n and ids[place] == own:
             seen[place] = True
-        at, scores = np.zeros(0, np.int64), np.zeros(0)
+        at, scores = np.zeros(0, np.int64), np.zeros(0, self.vectors.dtype)
         depth, step = 0, 32
         while depth < n:
             end = min(n, depth + step)
@@ -218,22 +219,32 @@ class ThresholdIndex:
                 break
         if not len(dims):
             rest = np.flatnonzero(~seen)
-            at, scores = np.concatenate([at, rest]), np.concatenate([scores, np.zeros(len(rest))])
+            at, scores = np.concatenate([at, rest]), np.concatenate([scores, np.zeros(len(rest), scores.dtype)])
         best = _top(ids[at], scores, k)
         return ids[at[best]], scores[best]
 
 
 def exact_search(embeddings: DataFrame, cfg: SearchConfig = SearchConfig(k=5, query_step=50)) -> DataFrame:
     """op6: (query_id, rank, vec_id, score) on floor(256 * x)."""
-    rows = usable(embeddings, zero=True).withColumn("v", F.transform("v", lambda x: F.floor(x * 256).cast("double")))
+    rows = usable(embeddings, zero=True).withColumn("v", F.transform("v", lambda x: F.floor(x * 256).cast("long")))
 
     def search(ids, vectors, query_ids, queries):
-        if np.abs(vectors).max() * np.abs(queries).max() * vectors.shape[1] >= 2.0**53:
-            raise ValueError("integer products leave 53 bits")
-        index, out = ThresholdIndex(vectors), []
-        for q, x in zip(query_ids.tolist(), queries, strict=True):
+        most = float(np.abs(vectors.astype(float)).max()) * float(np.abs(queries.astype(float)).max()) * vectors.shape[1]
+        if most >= 2.0**62:
+            return _frame([(q, *unbounded_top(ids, vectors, x, q, cfg.k)) for q, x in zip(query_ids.tolist(), queries, strict=True)], np.int64)
+        kind = np.float64 if most < 2.0**53 else np.int64
+        index, out = ThresholdIndex(vectors.astype(kind)), []
+        for q, x in zip(query_ids.tolist(), queries.astype(kind), strict=True):
             out.append((q, *index.top(ids, x, q, cfg.k)))
-        return _frame(out)
+        return _frame(out, np.int64)
 
-    found = _merge(_meet(rows, cfg, search, "query_id long, vec_id long, score double"), cfg.k)
-    return found.withColumn("score", F.col("score").cast("long"))
+    return _merge(_meet(rows, cfg, search, "query_id long, vec_id long, score long"), cfg.k)
+
+
+def unbounded_top(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best by unbounded integers, for components whose products leave 64 bits."""
+    x = [int(v) for v in query]
+    top = int(np.iinfo(np.int64).max)
+    scores = (sum(a * b for a, b in zip(map(int, row), x, strict=True)) for row in vectors)
+    found = sorted((-max(-top, min(top, s)), i) for i, s in zip(ids.tolist(), scores, strict=True) if i != own)[:k]
+    return np.array([i for _, i in found], np.int64), np.array([-s for s, _ in found], np.int64)

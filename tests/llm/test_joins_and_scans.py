@@ -109,6 +109,10 @@ def test_line_dedup_oracle_and_odd_rows(spark, odd_docs, no_docs):
     assert odd.count() == odd_docs.count() and set(odd_docs.columns) < set(odd.columns)
     assert odd.where("doc_id = 0 and text is null and n_lines = 0").count() == 1
     assert linededup.clean_lines(no_docs).count() == 0
+    clash = linededup.strip_lines(odd_docs.withColumn("n_lines", F.lit("x")))
+    assert clash.columns.count("n_lines") == 1 and dict(clash.dtypes)["n_lines"] == "bigint"
+    small = spark.createDataFrame([(1, "s", "menu\nown one"), (2, "s", "menu\nown two"), (3, "t", "menu")], "doc_id long, source string, text string")
+    assert {r.doc_id: r.text for r in linededup.clean_lines(small).collect()} == {1: "own one", 2: "own two", 3: "menu"}
 
 
 RULES = {

@@ -52,3 +52,23 @@ def test_run_keeps_ids_apart(spark, tmp_path):
     got = C.run(spark, str(tmp_path)).select("doc_id").distinct().collect()
     known = {r.doc_id for r in docs.select("doc_id").collect()} | {None}
     assert got and {r.doc_id for r in got} <= known
+
+
+def test_every_stage_takes_odd_and_empty_tables(spark, odd_docs, no_docs):
+    clashing = odd_docs.withColumns({c: F.lit(1) for c in ("row", "__lang", "group", "spans_", "tree", "members", "ids", "n_lines")})
+    for name, stage in C.STAGES:
+        got = stage(spark, clashing, "")
+        if name != "packing":
+            assert got.columns == clashing.columns, name
+        assert got.count() > 0, name
+        assert stage(spark, no_docs, "").count() == 0, name
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id for r in C.language_id(spark, docs.unionByName(odd_docs.select(docs.columns)), "").collect()}
+    assert {0, 1, 2} - texts or docs.where("doc_id in (0, 1, 2)").count()
+    n = clashing.count()
+    assert C.line_dedup(spark, clashing, "").count() == n == C.secret_scan(spark, clashing, "").count()
+    kept = C.jaccard_join(spark, clashing, "").collect()
+    # The copies 6 and 9 go, and so do the repeats of row 5.
+    assert len(kept) == n - 4 and not {6, 9} & {r.doc_id for r in kept} and sum(r.doc_id == 5 for r in kept) == 1
+    packed = C.pack(spark, clashing, "").where("doc_id = 0").collect()
+    assert [(r.start, r.length, r.doc_tokens) for r in packed] == [(0, 1, 1)]

@@ -1,7 +1,10 @@
 """Vector search: recall against brute force, exact top-k with ties, odd tables."""
 
+import math
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowquarry.llm import vectors
 
@@ -64,3 +67,17 @@ def test_an_invalid_vector_does_not_hide_a_valid_one(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert {r.vec_id: list(r.v) for r in vectors.usable(table, False).collect()} == {1: [2.0, 9.0], 2: [1.0, 1.0], 3: [5.0, 0.0]}
     assert {r.vec_id: list(r.v) for r in vectors.usable(table, True).collect()} == {1: [2.0, 9.0], 2: [1.0, 1.0], 3: [0.0, 0.0]}
+
+
+@pytest.mark.parametrize("size", [3.0, 3e6, 3e9, 3e15])
+def test_large_components_are_exact(spark, size):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=4) * size).tolist(), "b", "p") for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, b string, p string").withColumn("v", F.lit(1)).withColumn("score", F.lit(2))
+    got = vectors.exact_search(df).collect()
+    top = 2**63 - 1
+    clip = lambda s: max(-top, min(top, s))
+    ints = {i: [math.floor(c * 256) for c in v] for i, v, *_ in rows}
+    for q in (0, 50, 100):
+        want = sorted((clip(-sum(a * b for a, b in zip(ints[i], ints[q], strict=True))), i) for i in ints if i != q)[:5]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(i, clip(-s)) for s, i in want]
