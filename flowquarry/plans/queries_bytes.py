@@ -13,8 +13,10 @@ from .registry import query
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder all executors share: below spark.checkpoint.dir, or a temporary one in local tests."""
+    """A folder all executors share: below spark.checkpoint.dir, or the warehouse; a temporary one only where the executors are the driver."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        base = spark.conf.get("spark.sql.warehouse.dir")
     if not base:
         import tempfile
 
