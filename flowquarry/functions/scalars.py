@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Second-level public suffixes of the domain-score path.
@@ -156,6 +156,12 @@ def ja3(version, ciphers, extensions, curves, formats, drop_grease: bool = True)
     return F.struct(text.alias("text"), F.md5(text.cast("binary")).alias("md5"))
 
 
+def ja3s(version, cipher, extensions) -> Column:
+    """struct(text, md5) of a ServerHello: version, chosen cipher, extensions in their order."""
+    text = F.concat_ws(",", _c(version).cast("string"), _c(cipher).cast("string"), F.array_join(F.transform(_c(extensions), lambda x: x.cast("string")), "-"))
+    return F.struct(text.alias("text"), F.md5(text.cast("binary")).alias("md5"))
+
+
 #: Version codes of a ClientHello fingerprint.
 TLS_VERSIONS = {0x0304: "13", 0x0303: "12", 0x0302: "11", 0x0301: "10", 0x0300: "s3"}
 
@@ -186,3 +192,35 @@ def severity(score, levels: tuple[tuple[float, str], ...], otherwise: str) -> Co
     for least, name in sorted(levels):
         out = F.when(_c(score) >= least, name).otherwise(out)
     return out
+
+
+def volume_features(flows: DataFrame) -> DataFrame:
+    """Totals and rates of (flow_id, bytes_out, bytes_in, pkts, duration_us); no rate without a duration."""
+    seconds = F.col("duration_us") / 1e6
+    rate = lambda x, name: F.round(F.when(seconds > 0, x / F.nullif(seconds, F.lit(0.0))).otherwise(0.0), 6).alias(name)
+    total = F.col("bytes_out") + F.col("bytes_in")
+    return flows.select("flow_id", total.alias("total_bytes"), rate(F.col("bytes_out"), "out_rate"), rate(F.col("bytes_in"), "in_rate"), rate(total, "total_rate"), rate(F.col("pkts"), "packet_rate"))
+
+
+def iso_millis(us) -> Column:
+    """Microseconds since the epoch as text in UTC with milliseconds."""
+    us = _c(us)
+    at = F.timestamp_micros(us)
+    return F.concat(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss."), F.lpad((F.floor(us / 1000) % 1000).cast("string"), 3, "0"), F.lit("Z"))
+
+
+def event_micros(value) -> Column:
+    """Microseconds since the epoch of a text: a number of seconds, or an ISO time (UTC if it names no zone); else null."""
+    v = F.trim(_c(value).cast("string"))
+    zoned = v.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    iso = F.when(zoned, v).otherwise(F.concat(v, F.lit("Z")))
+    return F.coalesce(F.round(v.try_cast("double") * 1e6).cast("long"), F.unix_micros(iso.try_cast("timestamp")))
+
+
+def minute_of_day(us) -> Column:
+    return (F.floor(_c(us) / 60_000_000) % 1440).cast("int")
+
+
+def flow_key() -> Column:
+    """src:port>dst:port/protocol."""
+    return F.format_string("%s:%d>%s:%d/%d", "src_ip", "src_port", "dst_ip", "dst_port", "proto")

@@ -33,6 +33,26 @@ def confusion(e: DataFrame, threshold: float) -> DataFrame:
     return c.select("tp", "fp", "fn", "tn", F.round((F.col("tp") + F.col("tn")) / n, 6).alias("accuracy"), F.round(2 * F.col("tp") / F.greatest(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(1)), 6).alias("f1"))
 
 
+def encoded(rows: DataFrame, drop: tuple[str, ...] = ("flow_id", "src_ip", "dst_ip", "path")) -> DataFrame:
+    """Rows for training: TCP 0, UDP 1, other protocols -1; identifiers dropped."""
+    p = F.upper(F.trim("protocol"))
+    return rows.drop(*drop).withColumn("protocol", F.when(p == "TCP", 0).when(p == "UDP", 1).otherwise(-1))
+
+
+def with_split(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """Rows with the split of their capture."""
+    return rows.join(splits.select("capture", "split"), "capture")
+
+
+def report(e: DataFrame, threshold: float) -> DataFrame:
+    """(class, precision, recall, f1, support) of both classes."""
+    c = confusion(e, threshold)
+    part = lambda a, b: F.round(F.when(F.col(a) + F.col(b) > 0, F.col(a) / F.nullif(F.col(a) + F.col(b), F.lit(0))).otherwise(0.0), 6)
+    f1 = lambda a, b, d: F.round(2 * F.col(a) / F.greatest(2 * F.col(a) + F.col(b) + F.col(d), F.lit(1)), 6)
+    rows = [F.struct(F.lit(k).alias("class"), part(a, b).alias("precision"), part(a, d).alias("recall"), f1(a, b, d).alias("f1"), (F.col(a) + F.col(d)).alias("support")) for k, a, b, d in ((0, "tn", "fn", "fp"), (1, "tp", "fp", "fn"))]
+    return c.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def auc(e: DataFrame) -> DataFrame:
     """Rank-sum AUC from the counts of each distinct score: the window runs over score values, not rows."""
     v = e.groupBy("score").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))

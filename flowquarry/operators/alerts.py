@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import protocol_name
+from ..functions.scalars import flow_key, iso_millis, protocol_name
 
 SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 #: Which record types each consumer gets.
@@ -70,3 +70,34 @@ def evidence(*pairs: tuple[Column, str, str]) -> Column:
     """Sentences (with one %d, the whole part of a column) whose condition holds, joined by '; '."""
     each = [F.when(c, F.format_string(text, F.floor(F.col(col)).cast("long"))) for c, text, col in pairs]
     return F.array_join(F.array_compact(F.array(*each)), "; ")
+
+
+def filtered(alerts: DataFrame, severities: list[str], classes: list[str]) -> DataFrame:
+    return alerts.where(F.col("severity").isin(*severities) & F.col("threat_class").isin(*classes))
+
+
+def kpis(alerts: DataFrame, targets: dict[str, int]) -> DataFrame:
+    """One row: alerts, critical ones, early exits, cache hit ratio, and the difference of each target's figure from it."""
+    n = F.count("*")
+    one = alerts.agg(n.alias("alerts"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.count_if(F.col("path") == "EARLY_EXIT_TI_OVERRIDE").alias("early_exits"), F.round(F.count_if("cache_hit") / F.greatest(n, F.lit(1)), 6).alias("hit_ratio"))
+    return one.withColumns({f"{k}_delta": F.col(k) - v for k, v in targets.items()})
+
+
+def merged(parts: list[tuple[str, DataFrame]], record: str) -> DataFrame:
+    """Alerts of several detectors (path, alerts) in one table, each record's in the order of the detectors."""
+    rows = None
+    for i, (path, a) in enumerate(parts):
+        a = a.withColumns({"path": F.lit(path), "__ord": F.lit(i)})
+        rows = a if rows is None else rows.unionByName(a, allowMissingColumns=True)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(record).orderBy("__ord"))).drop("__ord")
+
+
+def envelope(rows: DataFrame, threat_class: str, module: str, evidence_fields: Column, metric: str = "") -> DataFrame:
+    """Detector rows as alerts of the common shape: nested identifier, intelligence, evidence as JSON, telemetry."""
+    conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("confidence").cast("double")))
+    return rows.select(
+        F.concat(F.lit("ALT-"), F.substring(F.md5(F.concat_ws("|", F.lit(module), F.col("flow_id").cast("string"), F.col("ts_us").cast("string")).cast("binary")), 1, 10)).alias("alert_id"), iso_millis("ts_us").alias("timestamp"), F.upper("severity").alias("severity"),
+        F.lit(threat_class).alias("threat_class"), conf.alias("confidence_score"), F.struct("flow_id", flow_key().alias("flow_key"), "src_ip", "dst_ip", "src_port", "dst_port", protocol_name("proto").alias("protocol")).alias("flow_identifier"),
+        F.struct(F.lit(False).alias("cache_hit"), F.lit(None).cast("string").alias("ioc_matched"), F.lit(None).cast("string").alias("ioc_category"), F.lit(False).alias("ti_override_applied")).alias("threat_intelligence"),
+        F.struct(F.lit(metric).alias("primary_metric"), F.to_json(evidence_fields).alias("feature_attributions")).alias("supporting_evidence"), F.struct(F.lit(module).alias("path_taken"), F.lit("PASSIVE_UNIDIRECTIONAL").alias("enclave_mode")).alias("system_telemetry"),
+    )

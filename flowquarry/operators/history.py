@@ -59,6 +59,19 @@ def pair_history(rows: DataFrame, key: str, n: int = 256) -> DataFrame:
     return rows.select(key, "flow_id", c.alias("pair_conn_count"), F.round((F.max("ts_us").over(w) - F.min("ts_us").over(w)) / 1e6 / F.greatest(c - 1, F.lit(1)), 6).alias("pair_iat_mean"))
 
 
+def pair_features(starts: DataFrame, emitted: DataFrame, n: int = 256) -> DataFrame:
+    """``emitted`` (flow_id, emit_us, the channel's columns) with the channel's history at that time: the number of starts
+    in the ring and their mean gap. Both kinds of event go through one window, so no pair of them is joined."""
+    key = ["src_ip", "dst_ip", "dst_port", "proto"]
+    order = Window.partitionBy(*key).orderBy("ts_us", "flow_id")
+    ring = order.rowsBetween(1 - n, 0)
+    own = starts.withColumns({"pair_conn_count": F.count("*").over(ring), "span": (F.max("ts_us").over(ring) - F.min("ts_us").over(ring)) / 1e6})
+    own = own.withColumn("h", F.struct("pair_conn_count", F.when(F.col("pair_conn_count") > 1, F.col("span") / (F.col("pair_conn_count") - 1)).otherwise(0.0).alias("pair_iat_mean")))
+    both = own.select(*key, F.col("ts_us").alias("at"), F.lit(0).alias("kind"), "flow_id", "h").unionByName(emitted.select(*key, F.col("emit_us").alias("at"), F.lit(1).alias("kind"), "flow_id", F.lit(None).cast(own.schema["h"].dataType).alias("h")))
+    seen = F.last("h", ignorenulls=True).over(Window.partitionBy(*key).orderBy("at", "kind", "flow_id"))
+    return both.withColumn("seen", seen).where("kind = 1").select("flow_id", F.coalesce("seen.pair_conn_count", F.lit(0)).alias("pair_conn_count"), F.coalesce("seen.pair_iat_mean", F.lit(0.0)).alias("pair_iat_mean"))
+
+
 def persistence(rows: DataFrame, key: str, hit: Column, decay: float = 0.35) -> DataFrame:
     """Exponential persistence: s <- decay * s + (1 - decay) * gain, gain = min(1, k / 3), k the run of hits (down by 1 on a miss)."""
     seq = F.array_sort(F.collect_list(F.struct("ts_us", "flow_id", hit.alias("h"))))

@@ -113,6 +113,11 @@ def truth_counts(found: DataFrame, truth: DataFrame, keys: list[str]) -> DataFra
     return agg.select("tp", "fp", "fn", F.round(F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1)), 6).alias("precision"), F.round(F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1)), 6).alias("recall"))
 
 
+def first_alerts(alerts: DataFrame, keys: tuple[str, ...] = ("src_ip", "dst_ip")) -> DataFrame:
+    """The time of the first alert of each pair."""
+    return alerts.groupBy(*keys).agg(F.min("ts_us").alias("first_us"))
+
+
 def upsert(rows: DataFrame) -> DataFrame:
     """Normalised (kind, value); the last writer by seq wins; unknown kinds and blank values go."""
     clean = rows.withColumn("value", F.lower(F.trim("value"))).where(F.col("kind").isin("ip", "domain", "ja3", "ja4") & (F.col("value") != ""))

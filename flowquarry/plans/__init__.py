@@ -3,7 +3,7 @@
 
 def all_queries():
     """(queries, oracles) of the whole catalogue."""
-    from . import queries, queries_bytes, queries_detect, queries_more  # noqa: F401  these register
+    from . import queries, queries_bytes, queries_detect, queries_more, queries_records  # noqa: F401  these register
     from .registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES

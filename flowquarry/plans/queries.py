@@ -47,7 +47,7 @@ def window_min_volume(spark: SparkSession, sf: str) -> DataFrame:
     return W.by_destination(_as_packets(A.flows(spark, sf)), DAY).groupBy("bucket").agg(F.count("*").alias("kept"))
 
 
-@query("AGG-02", "STR-08", sql=oracle(f"""
+@query("AGG-02", sql=oracle(f"""
 , p AS (SELECT ts_us // {DAY} AS bucket, src_ip, dst_port, count(*) AS n, sum(bytes_out) AS b FROM flows GROUP BY ALL),
 e AS (SELECT bucket, src_ip, sum(n) AS p, sum(b) AS b, count(*) AS np, greatest(log2(sum(n)) - sum(n * log2(n)) / sum(n), 0) AS h FROM p GROUP BY ALL HAVING sum(n) >= 5),
 t AS (SELECT ts_us // {DAY} AS bucket, src_ip, count(DISTINCT dst_ip) AS nd, least(count(DISTINCT (dst_ip, dst_port)), 20000) AS nt FROM flows GROUP BY ALL)
@@ -210,7 +210,7 @@ def beacon_rarity(spark: SparkSession, sf: str) -> DataFrame:
     return f.join(u, "dst_ip").select("flow_id", F.least("u", F.lit(100)).alias("dst_sources"))
 
 
-@query("WIN-09", "JOIN-06", sql=oracle("""SELECT channel, flow_id, count(*) OVER w AS pair_conn_count, round((max(ts_us) OVER w - min(ts_us) OVER w) / 1e6 / greatest(count(*) OVER w - 1, 1), 6) AS pair_iat_mean
+@query("WIN-09", sql=oracle("""SELECT channel, flow_id, count(*) OVER w AS pair_conn_count, round((max(ts_us) OVER w - min(ts_us) OVER w) / 1e6 / greatest(count(*) OVER w - 1, 1), 6) AS pair_iat_mean
 FROM channels WINDOW w AS (PARTITION BY channel ORDER BY ts_us, flow_id ROWS BETWEEN 255 PRECEDING AND CURRENT ROW)""", "channels"))
 def pair_history(spark: SparkSession, sf: str) -> DataFrame:
     return H.pair_history(A.channels(spark, sf), "channel")

@@ -30,7 +30,7 @@ def _flow_files(spark: SparkSession, sf: str) -> str:
     return path
 
 
-@query("STR-01", "STR-02", "STR-15", "SRC-05", "SRC-08")
+@query("STR-01", "STR-02", "STR-15", "SRC-05")
 def stream_window_available_now(spark: SparkSession, sf: str) -> DataFrame:
     """Windows that the watermark has closed when the input ends; files may come in any order, so the delay covers the span."""
     out = _scratch(spark)
@@ -45,7 +45,7 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(out).select(F.col("session_window.start").cast("double").alias("start_s"), "src_ip", "records")
 
 
-@query("SET-02", "SET-05", "STR-09")
+@query("SET-02", "STR-09")
 def stream_cooldown(spark: SparkSession, sf: str) -> DataFrame:
     out = _scratch(spark)
     alerts = jobs.flow_stream(spark, _flow_files(spark, sf), 100).withWatermark("ts", "0 seconds").withColumn("confidence", F.col("bytes_out") / 50000.0).where("bytes_out > 5000")

@@ -27,7 +27,7 @@ _LABELS = """, labels_ AS (SELECT DISTINCT label FROM (SELECT string_split(domai
 _ENT = "(SELECT -sum(c / t * log2(c / t)) FROM (SELECT count(*) AS c, max(length(label)) AS t FROM (SELECT unnest(string_split(label, '')) AS ch) GROUP BY ch))"
 
 
-@query("SF-01", "SF-03", "SF-04", "SF-05", "SF-08", "FIL-02", "STR-06", sql=oracle(_LABELS + """
+@query("SF-05", "SF-08", sql=oracle(_LABELS + """
 , c AS (SELECT label, ch, count(*) AS c FROM (SELECT label, unnest(string_split(label, '')) AS ch FROM labels_) GROUP BY ALL),
 e AS (SELECT label, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS h FROM c GROUP BY ALL)
 SELECT label, CAST(length(label) AS INTEGER) AS query_len, round(greatest(h, 0), 5) AS char_entropy, round(length(regexp_replace(label, '[^0-9]', '', 'g')) / length(label), 6) AS digit_ratio,
@@ -93,7 +93,7 @@ def ratio_features(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("flow_id", F.round(S.capped_ratio("bytes_out", "bytes_in"), 6).alias("byte_ratio"), F.round(S.guarded("bytes_out", F.col("bytes_out") + F.col("bytes_in")), 6).alias("outbound_share"), F.round(S.guarded("bytes_out", "pkts"), 6).alias("avg_size"))
 
 
-@query("SF-13", "SF-18", sql=oracle("""SELECT flow_id, bytes_out + bytes_in AS total_bytes, round(CASE WHEN pkts > 0 THEN bytes_out / pkts ELSE 0e0 END, 6) AS bytes_rate, coalesce(TRY_CAST(dst_ip AS DOUBLE), -1) AS parsed FROM flows""", "flows"))
+@query("SF-18", sql=oracle("""SELECT flow_id, bytes_out + bytes_in AS total_bytes, round(CASE WHEN pkts > 0 THEN bytes_out / pkts ELSE 0e0 END, 6) AS bytes_rate, coalesce(TRY_CAST(dst_ip AS DOUBLE), -1) AS parsed FROM flows""", "flows"))
 def volume_features(spark: SparkSession, sf: str) -> DataFrame:
     return A.flows(spark, sf).select("flow_id", (F.col("bytes_out") + F.col("bytes_in")).alias("total_bytes"), F.round(S.guarded("bytes_out", "pkts"), 6).alias("bytes_rate"), S.safe_double("dst_ip", -1.0).alias("parsed"))
 
@@ -122,7 +122,7 @@ def _addresses(spark: SparkSession, sf: str) -> DataFrame:
     return own.unionByName(spark.sql(f"SELECT ip FROM {_ADDRESSES}")).distinct()
 
 
-@query("FIL-09", "PAR-12", sql=oracle(f", a AS (SELECT ip, {_NUMBER} AS n FROM (SELECT dst_ip AS ip FROM flows UNION SELECT ip FROM {_ADDRESSES})) SELECT ip, CAST(n IS NULL OR {_ranges(S.INTERNAL_V4)} AS INTEGER) AS internal FROM a", "flows"))
+@query("FIL-09", sql=oracle(f", a AS (SELECT ip, {_NUMBER} AS n FROM (SELECT dst_ip AS ip FROM flows UNION SELECT ip FROM {_ADDRESSES})) SELECT ip, CAST(n IS NULL OR {_ranges(S.INTERNAL_V4)} AS INTEGER) AS internal FROM a", "flows"))
 def cidr_internal(spark: SparkSession, sf: str) -> DataFrame:
     return _addresses(spark, sf).select("ip", S.is_internal("ip").cast("int").alias("internal"))
 
@@ -173,7 +173,7 @@ def alert_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return AL.validate(_alerts(spark, sf))[1].groupBy("threat_class").agg(F.count("*").alias("rejected"))
 
 
-@query("PRJ-04", "PRJ-05", "SF-25", sql=oracle(_ALERTS + " SELECT alert_id, CAST(ts_us AS VARCHAR) AS timestamp, upper(trim(severity)) AS severity, threat_class, round(least(1e0, greatest(0e0, confidence)), 6) AS confidence, src_ip, dst_ip, 443 AS dst_port, CASE proto WHEN 6 THEN 'TCP' ELSE 'UDP' END AS protocol, CAST(NULL AS VARCHAR) AS ioc_matched, 'FULL' AS path FROM al WHERE ok", "flows"))
+@query("PRJ-04", sql=oracle(_ALERTS + " SELECT alert_id, CAST(ts_us AS VARCHAR) AS timestamp, upper(trim(severity)) AS severity, threat_class, round(least(1e0, greatest(0e0, confidence)), 6) AS confidence, src_ip, dst_ip, 443 AS dst_port, CASE proto WHEN 6 THEN 'TCP' ELSE 'UDP' END AS protocol, CAST(NULL AS VARCHAR) AS ioc_matched, 'FULL' AS path FROM al WHERE ok", "flows"))
 def alert_flatten(spark: SparkSession, sf: str) -> DataFrame:
     a = AL.validate(_alerts(spark, sf))[0]
     nested = a.select(
@@ -191,7 +191,7 @@ def evidence_text(spark: SparkSession, sf: str) -> DataFrame:
 _MATCH = """, x AS (SELECT flow_id, dst_ip AS value FROM flows WHERE dst_ip LIKE '45.%' UNION ALL SELECT flow_id, src_ip FROM flows WHERE src_ip LIKE '45.%'), m AS (SELECT flow_id, 'ip' AS kind, value, category, confidence FROM x JOIN iocs USING (value) WHERE kind = 'ip')"""
 
 
-@query("JOIN-01", "JOIN-03", "SRC-07", sql=oracle(_MATCH + " SELECT flow_id, kind, value, category, round(confidence, 6) AS confidence FROM m", "flows", "dns", "iocs"))
+@query("JOIN-01", sql=oracle(_MATCH + " SELECT flow_id, kind, value, category, round(confidence, 6) AS confidence FROM m", "flows", "dns", "iocs"))
 def ioc_ip_match(spark: SparkSession, sf: str) -> DataFrame:
     m = J.match(J.indicators(A.flows(spark, sf)), A.iocs(spark, sf))
     return m.select("flow_id", "kind", "value", "category", F.round("confidence", 6).alias("confidence"))
@@ -243,7 +243,7 @@ def fusion_boost(spark: SparkSession, sf: str) -> DataFrame:
     return J.fuse(alerts, hits, DAY)
 
 
-@query("JOIN-09", "FIL-04", "FIL-05", sql=oracle("SELECT flow_id FROM flows WHERE dst_ip NOT IN (SELECT value FROM iocs) AND dst_port NOT IN (53, 80)", "flows", "dns", "iocs"))
+@query("JOIN-09", "FIL-04", sql=oracle("SELECT flow_id FROM flows WHERE dst_ip NOT IN (SELECT value FROM iocs) AND dst_port NOT IN (53, 80)", "flows", "dns", "iocs"))
 def allowlist_anti(spark: SparkSession, sf: str) -> DataFrame:
     return A.flows(spark, sf).where(~F.col("dst_port").isin(53, 80)).join(A.iocs(spark, sf).select(F.col("value").alias("dst_ip")), "dst_ip", "left_anti").select("flow_id")
 
@@ -281,12 +281,12 @@ def record_routing(spark: SparkSession, sf: str) -> DataFrame:
     return AL.route(A.flows(spark, sf).select(k.alias("record_type"))).groupBy("consumer", "record_type").agg(F.count("*").alias("n"))
 
 
-@query("AGG-15", "SNK-02", sql=oracle(_ALERTS + " SELECT threat_class, upper(trim(severity)) AS severity, count(*) AS n FROM al WHERE ok GROUP BY ALL", "flows"))
+@query("AGG-15", sql=oracle(_ALERTS + " SELECT threat_class, upper(trim(severity)) AS severity, count(*) AS n FROM al WHERE ok GROUP BY ALL", "flows"))
 def alerts_by_class_severity(spark: SparkSession, sf: str) -> DataFrame:
     return AL.rollup_classes(AL.validate(_alerts(spark, sf))[0])
 
 
-@query("AGG-16", "FIL-11", sql=oracle(_ALERTS + " SELECT count(*) AS total, count(*) FILTER (severity = 'critical') AS critical, round(count(*) FILTER (severity = 'critical') / count(*), 6) AS critical_share FROM al WHERE ok", "flows"))
+@query("AGG-16", sql=oracle(_ALERTS + " SELECT count(*) AS total, count(*) FILTER (severity = 'critical') AS critical, round(count(*) FILTER (severity = 'critical') / count(*), 6) AS critical_share FROM al WHERE ok", "flows"))
 def kpi_scalars(spark: SparkSession, sf: str) -> DataFrame:
     c = F.count_if(F.col("severity") == "CRITICAL")
     return AL.validate(_alerts(spark, sf))[0].agg(F.count("*").alias("total"), c.alias("critical"), F.round(c / F.count("*"), 6).alias("critical_share"))
@@ -350,7 +350,7 @@ def capture_split(spark: SparkSession, sf: str) -> DataFrame:
     return ML.split_captures(rows)
 
 
-@query("ML-01", "ML-05", "DET-09", "ML-04")
+@query("ML-01", "ML-05")
 def rf_train_score(spark: SparkSession, sf: str) -> DataFrame:
     f = A.flows(spark, sf).withColumn("label", (F.col("dst_port") == 445).cast("int"))
     return ML.forest_scores(f, ["bytes_out", "bytes_in", "pkts", "flags", "src_port"], "label", "flow_id")
@@ -376,7 +376,7 @@ def baseline_features(spark: SparkSession, sf: str) -> DataFrame:
     return f.join(b, "src_ip").select("flow_id", F.round(S.guarded("bytes_out", "m"), 6).alias("outbound_ratio"), F.round(S.guarded(F.abs(F.col("bytes_out") - F.col("m")), "s"), 5).alias("deviation"))
 
 
-@query("AGG-15", "SET-08", sql=oracle(_ALERTS + """
+@query("AGG-15", sql=oracle(_ALERTS + """
 , p AS (SELECT 'c2' AS path FROM al WHERE ok AND threat_class = 'beacon' UNION ALL SELECT 'recon' FROM al WHERE ok AND threat_class = 'scan' UNION ALL SELECT 'ti' FROM al WHERE ok AND dst_ip LIKE '45.%')
 SELECT path, count(*) AS n FROM p GROUP BY ALL""", "flows"))
 def alerts_by_path(spark: SparkSession, sf: str) -> DataFrame:
@@ -385,7 +385,7 @@ def alerts_by_path(spark: SparkSession, sf: str) -> DataFrame:
     return a.select(F.explode(each).alias("path")).groupBy("path").agg(F.count("*").alias("n"))
 
 
-@query("TOP-07", "SNK-09", sql=_EVAL + """, m AS (SELECT unnest(['low', 'middle', 'high']) AS model, unnest([0.05e0, 0.1e0, 0.2e0]) AS t),
+@query("TOP-07", sql=_EVAL + """, m AS (SELECT unnest(['low', 'middle', 'high']) AS model, unnest([0.05e0, 0.1e0, 0.2e0]) AS t),
 c AS (SELECT model, count(*) FILTER (score >= t AND y = 1) AS tp, count(*) FILTER (score >= t AND y = 0) AS fp, count(*) FILTER (score < t AND y = 1) AS fn FROM e, m GROUP BY ALL)
 SELECT model, round(2 * tp / greatest(2 * tp + fp + fn, 1), 6) AS f1, CAST(row_number() OVER (ORDER BY 2 * tp / greatest(2 * tp + fp + fn, 1) DESC, model) AS INTEGER) AS rank FROM c""")
 def model_rank(spark: SparkSession, sf: str) -> DataFrame:

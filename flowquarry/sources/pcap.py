@@ -94,7 +94,7 @@ def dns_question(data: bytes) -> tuple[str, int, bool, int] | None:
             return None
         labels.append(data[at + 1 : at + 1 + n].decode("ascii", "replace"))
         at += 1 + n
-    if not labels or at + 3 > len(data):
+    if at + 5 > len(data) or data[at]:
         return None
     return ".".join(labels).lower(), struct.unpack(">H", data[at + 1 : at + 3])[0], bool(flags & 0x8000), flags & 15
 
@@ -124,6 +124,9 @@ def parse(link: int, frame: bytes) -> dict | None:
         if fragment:
             return out
         body, room = ip[head:size], size - head
+        # A cut transport header leaves the packet without ports.
+        if len(body) < {6: 14, 17: 8}.get(proto, 0):
+            return out
         if proto == 6:
             offset = (body[12] >> 4) * 4
             out |= {"flags": body[13], "payload_len": max(room - offset, 0), "payload": body[offset:]}
