@@ -41,6 +41,12 @@ def _median(sorted_xs: Column) -> Column:
     return (F.get(sorted_xs, F.floor((n - 1) / 2).cast("int")) + F.get(sorted_xs, F.floor(n / 2).cast("int"))) / 2.0
 
 
+def _once(rows: DataFrame, **made: Column) -> DataFrame:
+    """``rows`` with more columns, each computed once: as plain columns their whole expressions would be repeated in every later use and filter."""
+    one = F.struct(*[c.alias(n) for n, c in made.items()])
+    return rows.select("*", F.explode(F.array(one)).alias("__made")).select("*", "__made.*").drop("__made")
+
+
 def evaluations(flows: DataFrame, cfg: BeaconConfig = BeaconConfig()) -> DataFrame:
     """Statistics of the ring at every evaluated flow of a channel: from the eighth on every second one, where enough
     intervals above a millisecond have a median between a second and six hours."""
@@ -53,13 +59,14 @@ def evaluations(flows: DataFrame, cfg: BeaconConfig = BeaconConfig()) -> DataFra
     rows = rows.where((F.col("rn") >= cfg.least_events) & ((F.col("rn") - cfg.least_events) % cfg.every == 0))
     n = F.size("ring")
     gaps = F.zip_with(F.slice("ring", 2, F.greatest(n - 1, F.lit(1))), F.slice("ring", 1, F.greatest(n - 1, F.lit(1))), lambda b, a: (b["ts_us"] - a["ts_us"]) / 1e6)
-    rows = rows.withColumn("gaps", F.array_sort(F.filter(gaps, lambda g: g > 1e-3))).where(F.size("gaps") >= cfg.least_events - 1)
-    rows = rows.withColumn("med", _median(F.col("gaps"))).where(F.col("med").between(cfg.least_median, cfg.most_median))
-    rows = rows.withColumn("away", F.array_sort(F.transform("gaps", lambda g: F.abs(g - F.col("med"))))).withColumn("rcv", 1.4826 * _median(F.col("away")) / F.col("med"))
+    rows = _once(rows, gaps=F.array_sort(F.filter(gaps, lambda g: g > 1e-3))).where(F.size("gaps") >= cfg.least_events - 1)
+    rows = _once(rows, med=_median(F.col("gaps"))).where(F.col("med").between(cfg.least_median, cfg.most_median))
+    rows = _once(rows, away=F.array_sort(F.transform("gaps", lambda g: F.abs(g - F.col("med")))), mean_size=_mean(F.col("ring"), lambda x: x["size"]))
+    rcv = 1.4826 * _median(F.col("away")) / F.col("med")
     beat = lambda g: F.when(F.abs(g - F.greatest(F.lit(1.0), F.rint(g / F.col("med"))) * F.col("med")) <= cfg.tolerance * F.col("med"), 1.0).otherwise(0.0)
-    rows = rows.withColumn("consistency", _mean(F.col("gaps"), beat)).withColumn("mean_size", _mean(F.col("ring"), lambda x: x["size"]))
     spread = F.sqrt(_mean(F.col("ring"), lambda x: (x["size"] - F.col("mean_size")) * (x["size"] - F.col("mean_size"))))
-    return rows.select("flow_id", "ts_us", *CHANNEL, n.alias("n"), "med", "rcv", "consistency", F.when(F.col("mean_size") > 0, spread / F.col("mean_size")).otherwise(1.0).alias("size_cv"))
+    rows = _once(rows, rcv=rcv, consistency=_mean(F.col("gaps"), beat), size_cv=F.when(F.col("mean_size") > 0, spread / F.col("mean_size")).otherwise(1.0))
+    return rows.select("flow_id", "ts_us", *CHANNEL, n.alias("n"), "med", "rcv", "consistency", "size_cv")
 
 
 def sources_known(flows: DataFrame, at: DataFrame, most: int = 100) -> DataFrame:

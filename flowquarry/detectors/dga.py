@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import char_entropy, count_of, domain_parts, longest_run, normal_domain, ramp, severity
 from ..ml.tabular import trigram_logp, word_coverage
-from ..operators.alerts import stretches
+from ..operators.alerts import in_stretches
 from ..operators.sliding import sliding_counts
 
 #: Names that are never scored.
@@ -81,25 +80,31 @@ def model_score(probability: Column, threshold: float) -> Column:
     return F.when(probability < threshold, F.least(F.lit(1.0), below)).otherwise(above)
 
 
-def emitted(times: list[int], names: list[str], ranks: list[int], cfg: DgaConfig = DgaConfig()) -> list[bool]:
-    """Which alerts of one host are sent: none of a name within the dedupe time, and none within the host's interval unless it is graver than the last."""
-    sent: dict[str, int] = {}
-    until, rank, out = None, -1, []
-    for t, name, r in zip(times, names, ranks, strict=True):
-        ok = sent.get(name, t) <= t and not (until is not None and until > t and r <= rank)
-        if ok:
-            until, rank, sent[name] = t + cfg.host_us, r, t + cfg.dedupe_us
-        out.append(ok)
-    return out
+class Emission:
+    """The fold of one host's alerts: none of a name within the dedupe time, and none within the host's interval unless it is graver than the last."""
+
+    def __init__(self, cfg: DgaConfig):
+        self.cfg = cfg
+        self.start()
+
+    def start(self) -> None:
+        self.sent: dict[str, int] = {}
+        self.until, self.rank = None, -1
+
+    def emits(self, t: int, name: str, rank: int) -> bool:
+        if self.sent.get(name, t) > t or (self.until is not None and self.until > t and rank <= self.rank):
+            return False
+        self.until, self.rank, self.sent[name] = t + self.cfg.host_us, rank, t + self.cfg.dedupe_us
+        if len(self.sent) > 10_000:
+            self.sent = {k: v for k, v in self.sent.items() if v > t}
+        return True
 
 
 def confidences(queries: DataFrame, scores: DataFrame, cfg: DgaConfig = DgaConfig()) -> DataFrame:
     """Each eligible query with its name's score, its host's burst of suspicious names, and the confidence of both."""
     s = eligible(queries, cfg.least_length).join(scores.select("label", "score"), "label")
     marked = s.where(F.col("score") >= cfg.suspicious).select("src_ip", "ts_us", "registered")
-    counted = sliding_counts(marked, ["src_ip"], cfg.burst_us, {"names": ["registered"]}, probes=s.select("src_ip", "ts_us").distinct())
-    per_time = counted.select(F.col("src_ip").alias("__s"), F.col("ts_us").alias("__t"), "names")
-    j = s.join(per_time, s.src_ip.eqNullSafe(F.col("__s")) & (s.ts_us == F.col("__t"))).drop("__s", "__t")
+    j = sliding_counts(marked, ["src_ip"], cfg.burst_us, {"names": ["registered"]}, probes=s)
     burst = F.least(F.lit(1.0), F.col("names") / float(cfg.burst_target))
     return j.withColumn("burst", burst).withColumn("confidence", F.round(F.least(F.lit(1.0), 0.7 * F.col("score") + 0.3 * F.col("burst")), 2))
 
@@ -107,14 +112,22 @@ def confidences(queries: DataFrame, scores: DataFrame, cfg: DgaConfig = DgaConfi
 def dga(queries: DataFrame, lm: DataFrame, words: DataFrame, cfg: DgaConfig = DgaConfig()) -> DataFrame:
     """Alerts of (query_id, src_ip, ts_us, domain): confidence from the least on, thinned out by name and by host."""
     names = eligible(queries, cfg.least_length).select("label").distinct()
-    a = confidences(queries, score_domains(names, lm, words), cfg).where(F.col("confidence") >= cfg.least)
+    # The scores of distinct names are read several times; kept, they are also a plan of their own.
+    scores = score_domains(names, lm, words).select("label", "score").persist()
+    a = confidences(queries, scores, cfg).where(F.col("confidence") >= cfg.least)
     a = a.select("query_id", "src_ip", "registered", "ts_us", "score", "burst", "confidence", severity("confidence", CUTOFFS, "LOW").alias("severity"))
     order = {"LOW": 0, "MEDIUM": 1, "HIGH": 2, "CRITICAL": 3}
 
-    def part(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts_us", "query_id"])
-        return g[emitted(g.ts_us.tolist(), g.registered.tolist(), [order[x] for x in g.severity], cfg)]
+    def part(frames):
+        fold = Emission(cfg)
+        for f in frames:
+            keep = []
+            for new, t, name, level in zip(f["__new"], f["ts_us"], f["registered"], f["severity"], strict=True):
+                if new:
+                    fold.start()
+                keep.append(fold.emits(t, name, order[level]))
+            yield f[keep]
 
     # After a pause as long as the dedupe time nothing is remembered.
-    cut = stretches(a, ["src_ip"], cfg.dedupe_us, "query_id")
-    return cut.groupBy("src_ip", "__stretch").applyInPandas(part, cut.schema).drop("__stretch")
+    cut = in_stretches(a, ["src_ip"], cfg.dedupe_us, "query_id")
+    return cut.mapInPandas(part, cut.schema).drop("__new")

@@ -56,12 +56,11 @@ def attempts(flows: DataFrame, cfg: ReconConfig = ReconConfig()) -> DataFrame:
 
 def recon_metrics(flows: DataFrame, cfg: ReconConfig = ReconConfig()) -> DataFrame:
     """Each attempt with its source's figures over the window."""
-    a = attempts(flows, cfg)
-    answered = a.where("answered_us is not null").select("src_ip", F.col("answered_us").alias("from_us"), (F.col("ts_us") + cfg.window_us).alias("to_us"))
+    a = attempts(flows, cfg).select("flow_id", "src_ip", "dst_ip", "dst_port", "ts_us", "answered_us")
     return sliding_counts(
-        a.select("flow_id", "src_ip", "dst_ip", "dst_port", "ts_us"), ["src_ip"], cfg.window_us,
-        {"unique_dst": ["dst_ip"], "unique_ports": ["dst_port"], "attempts": []}, {"max_ports": (["dst_ip"], ["dst_port"])}, {"answered": answered},
-    )
+        a, ["src_ip"], cfg.window_us, {"unique_dst": ["dst_ip"], "unique_ports": ["dst_port"], "attempts": []},
+        {"max_ports": (["dst_ip"], ["dst_port"])}, {"answered": (F.col("answered_us"), F.col("ts_us") + cfg.window_us)},
+    ).drop("answered_us")
 
 
 def recon_scores(flows: DataFrame, cfg: ReconConfig = ReconConfig()) -> DataFrame:

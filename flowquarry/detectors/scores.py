@@ -39,9 +39,7 @@ def exfil_features(flows: DataFrame, cfg: ExfilConfig = ExfilConfig()) -> DataFr
         "deviation": guarded(F.abs(F.col("bytes_out") - mean), std), "rate_vs_baseline": guarded("rate", rate), "external": (~is_private("dst_ip")).cast("int"),
     })
     big = f.where(F.col("bytes_out") >= cfg.burst_bytes).select("src_ip", "ts_us", "flow_id")
-    times = f.select("src_ip", "ts_us").distinct()
-    counted = sliding_counts(big, ["src_ip"], cfg.window_us, {"burst_count": ["flow_id"]}, probes=times)
-    return f.join(counted.select(F.col("src_ip").alias("__s"), F.col("ts_us").alias("__t"), "burst_count"), f.src_ip.eqNullSafe(F.col("__s")) & (f.ts_us == F.col("__t"))).drop("__s", "__t")
+    return sliding_counts(big, ["src_ip"], cfg.window_us, {"burst_count": ["flow_id"]}, probes=f)
 
 
 def exfil(flows: DataFrame, cfg: ExfilConfig = ExfilConfig()) -> DataFrame:

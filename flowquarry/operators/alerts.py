@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,33 +32,52 @@ def route(records: DataFrame, routes: dict[str, tuple[str, ...]] = ROUTES) -> Da
     return records.withColumn("consumer", F.explode(F.array_compact(F.array(*pairs))))
 
 
-def cooldown_fold(times: list[int], scores: list[float], us: int, rise: float | None) -> list[bool]:
-    """Which alerts are emitted: none within us of the last emitted one, unless the score has risen by ``rise``."""
-    out, last, score = [], None, 0.0
-    for t, s in zip(times, scores, strict=True):
-        emit = last is None or t - last >= us or (rise is not None and s >= score + rise)
-        if emit:
-            last, score = t, s
-        out.append(emit)
-    return out
+class Cooldown:
+    """The fold of one key's alerts: none within ``us`` of the last emitted one, unless the score has risen by ``rise``."""
 
+    def __init__(self, us: int, rise: float | None):
+        self.us, self.rise = us, rise
+        self.start()
 
-def cooldown(alerts: DataFrame, key: list[str], us: int, rise: float | None = None, tie: str = "flow_id") -> DataFrame:
-    """Alerts left by the cooldown. After a pause of ``us`` the next alert is emitted whatever came before, so the fold
-    runs over the stretches between pauses, and only over each alert's time and score."""
+    def start(self) -> None:
+        self.last, self.score = None, 0.0
 
-    def part(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts_us", tie])
-        return g[cooldown_fold(g.ts_us.tolist(), g.confidence.tolist(), us, rise)]
+    def emits(self, t: int, score: float) -> bool:
+        if self.last is None or t - self.last >= self.us or (self.rise is not None and score >= self.score + self.rise):
+            self.last, self.score = t, score
+            return True
+        return False
 
-    return stretches(alerts, key, us, tie).groupBy(*key, "__stretch").applyInPandas(part, stretches(alerts, key, us, tie).schema).drop("__stretch")
+
+def cooldown_fold(times: list[int], scores: list[float], us: int, rise: float | None) -> list[bool]:
+    """Which of one key's alerts are emitted."""
+    fold = Cooldown(us, rise)
+    return [fold.emits(t, s) for t, s in zip(times, scores, strict=True)]
 
 
-def stretches(rows: DataFrame, key: list[str], us: int, tie: str = "flow_id") -> DataFrame:
-    """``rows`` with the number of the stretch without a pause of ``us`` that each belongs to."""
+def in_stretches(rows: DataFrame, key: list[str], us: int, tie: str = "flow_id") -> DataFrame:
+    """``rows`` with ``__new``: whether a key's first row, or one after a pause of ``us``, comes here. Each key's rows lie
+    together and in order, so a fold can run over them as they stream by, starting anew where ``__new`` is set."""
     w = Window.partitionBy(*key).orderBy("ts_us", tie)
-    new = F.coalesce(F.col("ts_us") - F.lag("ts_us").over(w) >= us, F.lit(True)).cast("long")
-    return rows.withColumn("__new", new).withColumn("__stretch", F.sum("__new").over(w)).drop("__new")
+    return rows.withColumn("__new", F.coalesce(F.col("ts_us") - F.lag("ts_us").over(w) >= us, F.lit(True))).sortWithinPartitions(*key, "ts_us", tie)
+
+
+def cooldown(alerts: DataFrame, key: list[str], us: int, rise: float | None = None, tie: str = "flow_id") -> DataFrame:
+    """Alerts left by the cooldown. After a pause of ``us`` the next alert is emitted whatever came before; the fold holds
+    one alert's time and score, however many a key has."""
+
+    def part(frames):
+        fold = Cooldown(us, rise)
+        for f in frames:
+            keep = []
+            for new, t, s in zip(f["__new"], f["ts_us"], f["confidence"], strict=True):
+                if new:
+                    fold.start()
+                keep.append(fold.emits(t, s))
+            yield f[keep]
+
+    cut = in_stretches(alerts, key, us, tie)
+    return cut.mapInPandas(part, cut.schema).drop("__new")
 
 
 def rollup_classes(alerts: DataFrame) -> DataFrame:

@@ -56,69 +56,97 @@ def idle_sessions(rows: DataFrame, key: str, idle_us: int, tie: str = "flow_id")
     return rows.withColumn("new", new).withColumn("session", F.sum("new").over(w)).groupBy(key, "session").agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"), F.count("*").alias("records"))
 
 
-def fold_sessions(times: list[int], flags: list[int], idle: int, active: int, grace: int) -> list[tuple[int, int, int, str]]:
-    """(start, end, records, reason) of one key's records in time order: idle and active timeouts, FIN twice or RST closes
-    after a grace, SYN on a closed flow starts another, what is left is flushed."""
-    out, start, last, n, fins, closed = [], None, 0, 0, 0, None
-    for t, f in zip(times, flags, strict=True):
-        if start is not None:
+class SessionFold:
+    """The flow of one key that is open: idle and active timeouts, FIN twice or RST closes after a grace, SYN on a closed
+    flow starts another."""
+
+    def __init__(self, idle: int, active: int, grace: int):
+        self.idle, self.active, self.grace = idle, active, grace
+        self.start = None
+
+    def feed(self, t: int, flags: int) -> tuple | None:
+        """Take a record in; returns (start, end, records, reason) of the flow that it ended, if it did."""
+        done = None
+        if self.start is not None:
             reason = None
-            if closed is not None and f & 2 and not f & 16:
+            if self.closed is not None and flags & 2 and not flags & 16:
                 reason = "reuse"
-            elif closed is not None and t - closed > grace:
+            elif self.closed is not None and t - self.closed > self.grace:
                 reason = "closed"
-            elif t - last > idle:
+            elif t - self.last > self.idle:
                 reason = "idle"
-            elif t - start > active:
+            elif t - self.start > self.active:
                 reason = "active"
             if reason:
-                out.append((start, last, n, reason))
-                start = None
-        if start is None:
-            start, n, fins, closed = t, 0, 0, None
-        last, n = max(last, t), n + 1
-        fins += f & 1
-        if closed is None and (f & 4 or fins >= 2):
-            closed = t
-    if start is not None:
-        out.append((start, last, n, "closed" if closed is not None else "flush"))
-    return out
+                done, self.start = (self.start, self.last, self.n, reason), None
+        if self.start is None:
+            self.start, self.last, self.n, self.fins, self.closed = t, t, 0, 0, None
+        self.last, self.n = max(self.last, t), self.n + 1
+        self.fins += flags & 1
+        if self.closed is None and (flags & 4 or self.fins >= 2):
+            self.closed = t
+        return done
+
+    def end(self, reason: str) -> tuple:
+        out = (self.start, self.last, self.n, "closed" if self.closed is not None else reason)
+        self.start = None
+        return out
+
+
+def fold_sessions(times: list[int], flags: list[int], idle: int, active: int, grace: int) -> list[tuple[int, int, int, str]]:
+    """(start, end, records, reason) of one key's records in time order; what is left is flushed."""
+    fold = SessionFold(idle, active, grace)
+    out = [x for t, f in zip(times, flags, strict=True) if (x := fold.feed(t, f))]
+    return [*out, fold.end("flush")] if times else out
 
 
 def full_sessions(rows: DataFrame, key: str, idle_us: int = 15_000_000, active_us: int = 120_000_000, grace_us: int = 2_000_000, tie: str = "flow_id") -> DataFrame:
-    """Flow expiry with every end reason. Idle gaps are cut first in SQL, so the sequential part sees one busy stretch at a time."""
+    """Flow expiry with every end reason. A key's rows stream through the fold in order; it holds one open flow, however
+    long the key's history is."""
     w = Window.partitionBy(key).orderBy("ts_us", tie)
-    new = (F.coalesce(F.col("ts_us") - F.lag("ts_us").over(w), F.lit(idle_us + 1)) > idle_us).cast("long")
-    rows = rows.withColumn("new", new).withColumn("stretch", F.sum("new").over(w))
-    ends = rows.groupBy(key).agg(F.max("stretch").alias("final"))
+    nxt = F.lead("ts_us").over(w)
+    # What follows a row: 0 more of the stretch, 1 a gap that ends it, 2 nothing.
+    ends = F.when(nxt.isNull(), 2).when(nxt - F.col("ts_us") > idle_us, 1).otherwise(0)
+    dealt = rows.select(key, "ts_us", "flags", tie, ends.alias("ends")).sortWithinPartitions(key, "ts_us", tie)
     kind = dict(rows.dtypes)[key]
 
-    def part(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts_us", tie])
-        found = fold_sessions(g.ts_us.tolist(), g["flags"].tolist(), idle_us, active_us, grace_us)
-        out = pd.DataFrame(found, columns=["start_us", "end_us", "records", "end_reason"])
-        out.insert(0, key, g[key].iloc[0])
-        # A stretch that another one follows ends by the idle timeout.
-        if g["stretch"].iloc[0] < g["final"].iloc[0] and out.end_reason.iloc[-1] == "flush":
-            out.loc[out.index[-1], "end_reason"] = "idle"
-        return out
+    def part(frames):
+        fold = SessionFold(idle_us, active_us, grace_us)
+        for g in frames:
+            out = []
+            for k, t, f, e in zip(g[key], g["ts_us"], g["flags"], g["ends"], strict=True):
+                if done := fold.feed(t, f):
+                    out.append((k, *done))
+                if e:
+                    out.append((k, *fold.end("idle" if e == 1 else "flush")))
+            yield pd.DataFrame(out, columns=[key, "start_us", "end_us", "records", "end_reason"])
 
-    return rows.join(ends, key).groupBy(key, "stretch").applyInPandas(part, f"{key} {kind}, start_us long, end_us long, records long, end_reason string")
+    return dealt.mapInPandas(part, f"{key} {kind}, start_us long, end_us long, records long, end_reason string")
 
 
 def anchored_windows(rows: DataFrame, key: str, us: int, tie: str = "flow_id") -> DataFrame:
     """Windows that open at a key's first record and close when ``us`` have passed; the next record opens another."""
-    seq = F.array_sort(F.collect_list(F.struct("ts_us", tie)))
-    start = F.struct(F.lit(None).cast("long").alias("anchor"), F.array().cast("array<struct<start_us:bigint,records:bigint>>").alias("out"))
-
-    def step(acc, x):
-        fresh = acc["anchor"].isNull() | (x["ts_us"] - acc["anchor"] >= us)
-        last = F.element_at(acc["out"], -1)
-        grown = F.concat(F.slice(acc["out"], F.lit(1), F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(F.struct(last["start_us"].alias("start_us"), (last["records"] + 1).alias("records"))))
-        opened = F.concat(acc["out"], F.array(F.struct(x["ts_us"].alias("start_us"), F.lit(1).cast("long").alias("records"))))
-        return F.struct(F.when(fresh, x["ts_us"]).otherwise(acc["anchor"]).alias("anchor"), F.when(fresh, opened).otherwise(grown).alias("out"))
+    w = Window.partitionBy(key).orderBy("ts_us", tie)
+    dealt = rows.select(key, "ts_us", tie, (F.lead("ts_us").over(w).isNull()).alias("final")).sortWithinPartitions(key, "ts_us", tie)
+    kind = dict(rows.dtypes)[key]
 
-    return rows.groupBy(key).agg(seq.alias("seq")).select(key, F.explode(F.aggregate("seq", start, step, lambda a: a["out"])).alias("w")).select(key, "w.start_us", "w.records")
+    def part(frames):
+        start, n = None, 0
+        for g in frames:
+            out = []
+            for k, t, final in zip(g[key], g["ts_us"], g["final"], strict=True):
+                if start is not None and t - start >= us:
+                    out.append((k, start, n))
+                    start = None
+                if start is None:
+                    start, n = t, 0
+                n += 1
+                if final:
+                    out.append((k, start, n))
+                    start = None
+            yield pd.DataFrame(out, columns=[key, "start_us", "records"])
+
+    return dealt.mapInPandas(part, f"{key} {kind}, start_us long, records long")
 
 
 def lag1_autocorrelation(rows: DataFrame, key: str, tie: str = "flow_id") -> DataFrame:
