@@ -27,7 +27,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batches, slices, splitmix
+from .common import by_batches, drop, slices, splitmix, stash
 
 BLANK = "▁"
 MULT = splitmix(np.arange(100, 400, dtype=np.uint64)) | np.uint64(1)
@@ -216,6 +216,14 @@ class Model:
         return np.array(ids, self.kind).tobytes()
 
 
+def split_words(text: str | None) -> list[str]:
+    """The words of a text, each without the blank that starts it; more blanks in a row, or at an end, belong to one word."""
+    parts = text.split(" ") if text else []
+    if "" in parts or (text and BLANK in text):
+        return [w[1:] for w in re.findall(f"{BLANK}+[^{BLANK}]*", BLANK + text.replace(" ", BLANK))]
+    return parts
+
+
 class Encoder:
     """Ids of texts; keeps the ids of words met before, up to a bound."""
 
@@ -223,14 +231,7 @@ class Encoder:
         self.cfg, self.model, self.seen = cfg, Model(public_tokenizers.path(cfg.model)), {}
 
     def texts(self, texts: list[str | None]) -> list[bytes | None]:
-        found = []
-        for t in texts:
-            parts = t.split(" ") if t else []
-            if "" in parts:  # several blanks in a row, or at an end, belong to one word
-                parts = [w[1:] for w in re.findall(f"{BLANK}+[^{BLANK}]*", BLANK + t.replace(" ", BLANK))]
-            elif t and BLANK in t:
-                parts = [w[1:] for w in re.findall(f"{BLANK}+[^{BLANK}]*", BLANK + t.replace(" ", BLANK))]
-            found.append(parts)
+        found = list(map(split_words, texts))
         seen = self.seen
         new = [w for w in set().union(*found) if w not in seen] if found else []
         short = [w for w in new if len(w) < LONG]
@@ -282,26 +283,93 @@ def decode(encoded: DataFrame, cfg: PieceConfig = PieceConfig()) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(part, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
-def piece_table(spark: SparkSession, cfg: PieceConfig = PieceConfig()) -> DataFrame:
+def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     """(piece, id, score): a few ten thousand rows, whatever the input."""
-    m = Model(public_tokenizers.path(cfg.model))
-    return spark.createDataFrame([(n, i, float(m.scores[i])) for n, i in m.ids.items()], "piece string, id int, score double")
-
-
-def relational_words(words: DataFrame, pieces: DataFrame, most: int = 16) -> DataFrame:
-    """(word, bounds, edges) of distinct (word): the lattice by explode, join and group; the merges by ``aggregate``."""
-    n = F.length("word")
-    place = words.select("word", F.explode(F.sequence(F.lit(1), n)).alias("s"))
-    sub = place.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), n - F.col("s") + 1))).alias("k")).withColumn("piece", F.expr("substring(word, s, k)"))
-    edges = sub.join(F.broadcast(pieces), "piece").groupBy("word").agg(F.collect_list(F.struct((F.col("s") - 1).alias("s"), (F.col("s") - 1 + F.col("k")).alias("e"), "score", "id")).alias("edges"))
-    all_words = words.join(edges, "word", "left").withColumn("edges", F.coalesce("edges", F.expr("cast(array() as array<struct<s:int,e:int,score:double,id:int>>)")))
-    # A merge joins two neighbouring symbols: an edge over exactly one bound. The best one drops that bound.
-    bounds = F.expr("""aggregate(sequence(1, length(word)), sequence(0, length(word)), (b, i) -> aggregate(
-        filter(edges, x -> array_position(b, x.s) > 0 and array_position(b, x.e) = array_position(b, x.s) + 2),
-        struct(cast(null as double) as score, cast(-1 as int) as s, cast(-1 as int) as e),
-        (a, x) -> if(a.score is null or x.score > a.score or (x.score = a.score and x.s < a.s), struct(x.score as score, x.s as s, x.e as e), a),
-        a -> filter(b, y -> not (y > a.s and y < a.e))))""")
-    return all_words.select("word", bounds.alias("bounds"), "edges")
+    return spark.createDataFrame([(n, i, float(model.scores[i])) for n, i in model.ids.items()], "piece string, id int, score double")
+
+
+def relational_words(words: DataFrame, model: Model) -> DataFrame:
+    """(word, ids) of distinct (word): the lattice by explode, equi-join with the piece table and group by word; a fold
+    by ``aggregate`` applies the merges: of the edges over two neighbouring symbols the best, leftmost first, drops the
+    bound between them.
+
+    Every substring is kept in the group, with a null id where it is no piece, so the edge from a place over a length is
+    found by its position and a step of the fold is linear in the symbols that are left.
+    """
+    most = model.most
+    pieces = piece_table(words.sparkSession, model)
+    place = words.select("word", F.length("word").alias("n"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
+    sub = place.select("word", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.col("n") - F.col("s") + 1))).alias("k")).withColumn("piece", F.expr("substring(word, s, k)"))
+    found = sub.join(F.broadcast(pieces), "piece", "left").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("s", "k", "score", "id"))).alias("e"))
+    # Where the edges from place s (from 0 on) begin: all places before have ``most`` edges, but for the last ones of the word.
+    first = "s * {m} - if(s > n - {m}, (s - greatest(n - {m}, 0)) * (s - greatest(n - {m}, 0) - 1) div 2 + if(n < {m}, s * ({m} - n), 0), 0)".format(m=most)
+    edge = lambda a, z: f"element_at(e, cast({first.replace('s ', f'{a} ').replace('(s', f'({a}')} as int) + {z} - {a})"
+    step = f"""(b, i) -> if(b.done, b, aggregate(
+        transform(sequence(0, greatest(size(b.at) - 3, 0)), j -> if(j + 2 < size(b.at) and b.at[j + 2] - b.at[j] <= {most}, struct({edge('b.at[j]', 'b.at[j + 2]')}.score as score, -j as j), struct(cast(null as double) as score, -j as j))),
+        struct(cast(null as double) as score, 0 as j), (x, y) -> if(y.score is not null and (x.score is null or y > x), y, x),
+        x -> if(x.score is null, struct(b.at as at, true as done), struct(concat(slice(b.at, 1, 1 - x.j), slice(b.at, 3 - x.j, size(b.at))) as at, false as done))))"""
+    bounds = F.expr(f"aggregate(sequence(1, n), struct(sequence(0, n) as at, false as done), {step}, b -> b.at)")
+    raw = "transform(sequence(1, octet_length(c)), z -> conv(substring(hex(c), 2 * z - 1, 2), 16, 10))"
+    spelled = f"transform({raw}, y -> element_at(array({', '.join(str(model.byte.get(x, model.unknown)) for x in range(256))}), cast(y as int) + 1))" if model.byte else f"array({model.unknown})"
+    ids = F.expr(f"flatten(transform(sequence(0, size(at) - 2), j -> if({edge('at[j]', 'at[j + 1]')}.id is not null, array({edge('at[j]', 'at[j + 1]')}.id), transform(array(substring(word, at[j] + 1, at[j + 1] - at[j])), c -> {spelled})[0])))")
+    return found.withColumn("n", F.length("word")).select("word", "n", "e", bounds.alias("at")).select("word", ids.alias("ids"))
+
+
+def relational_encode(docs: DataFrame, cfg: PieceConfig = PieceConfig(), broadcast_words: int = 300_000) -> DataFrame:
+    """(doc_id, ids) of (doc_id, text) by the relational form: the distinct words of each task are made distinct by a
+    shuffle, their lattices are joined and folded, and the ids go back to the texts, from a broadcast of the word table
+    while it is small, else by a join of every row's distinct words. Long words are folded from a queue."""
+    model = Model(public_tokenizers.path(cfg.model))
+    by_batches(docs)
+
+    def distinct(batches):
+        seen: set[str] = set()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                seen.update(split_words(t))
+            if len(seen) > cfg.memo_words:
+                yield pa.RecordBatch.from_arrays([pa.array([BLANK + w for w in seen], pa.string())], ["word"])
+                seen = set()
+        yield pa.RecordBatch.from_arrays([pa.array([BLANK + w for w in seen], pa.string())], ["word"])
+
+    def long(batches):
+        for b in batches:
+            found = [np.frombuffer(model.fold_long(w), model.kind).tolist() for w in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["word", "ids"])
+
+    words = stash(docs.select("text").mapInArrow(distinct, "word string").distinct(), "piece-words")
+    short = F.length("word") < LONG
+    table = relational_words(words.where(short), model).unionByName(words.where(~short).mapInArrow(long, "word string, ids array<int>"))
+    table = stash(table, "piece-table")
+    drop(words)
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def compose(text: str | None, ids: dict) -> list[int] | None:
+        return None if text is None else [x for w in split_words(text) for x in ids[w]]
+
+    if table.count() <= broadcast_words:
+        shared = docs.sparkSession.sparkContext.broadcast({r.word[1:]: r.ids for r in table.collect()})
+
+        def part(batches):
+            for b in batches:
+                found = [compose(t, shared.value) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+        return docs.select("doc_id", "text").mapInArrow(part, f"doc_id {kind}, ids array<int>")
+
+    def pairs(batches):
+        for b in batches:
+            own = [[BLANK + w for w in set(split_words(t))] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), list(map(len, own)))), pa.array([w for x in own for w in x], pa.string())], ["row", "word"])
+
+    def joined(batches):
+        for b in batches:
+            found = [compose(t, {x["word"][1:]: x["ids"] for x in m or ()}) for t, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    rows = stash(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "piece-rows")
+    met = rows.select("row", "text").mapInArrow(pairs, "row long, word string").join(table, "word").groupBy("row").agg(F.collect_list(F.struct("word", "ids")).alias("m"))
+    return rows.join(met, "row", "left").select("doc_id", "text", "m").mapInArrow(joined, f"doc_id {kind}, ids array<int>")
 
 
 def piece_ids(documents: DataFrame, cfg: PieceConfig = PieceConfig()) -> DataFrame:

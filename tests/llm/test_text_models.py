@@ -128,8 +128,18 @@ def test_relational_lattice_equals_the_library(spark, docs):
     sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     words = docs.select(F.explode(F.split("text", "[ \n]+")).alias("w")).where("w <> ''").distinct().orderBy(F.xxhash64("w")).limit(300)
     table = words.select(F.concat(F.lit("▁"), "w").alias("word"))
-    for r in pieces.relational_words(table, pieces.piece_table(spark)).collect():
-        edges = {(e.s, e.e): e.id for e in r.edges}
-        cuts = list(zip(r.bounds, r.bounds[1:], strict=False))
-        if all(c in edges for c in cuts):
-            assert [edges[c] for c in cuts] == sp.encode(r.word[1:])
+    odd = ["x", "zzzz", "日本語", "a😀b", "naïveté", "abc" * 15, "▁▁", "0123456789", "\u0001"]
+    table = table.unionByName(spark.createDataFrame([("▁" + w,) for w in odd], "word string"))
+    got = pieces.relational_words(table, pieces.Model(P.path("piece_bpe_32k.model"))).collect()
+    assert len(got) == 300 + len(odd)
+    for r in got:
+        assert list(r.ids) == sp.encode(r.word[1:]), r.word
+
+
+@pytest.mark.parametrize("bound", [300_000, 0])
+def test_relational_form_equals_the_query(spark, docs, odd_docs, bound):
+    some = docs.select("doc_id", "text").where("length(text) < 1500").orderBy("doc_id").limit(60).unionByName(odd_docs.where("length(text) < 1000 or text is null").select("doc_id", "text"))
+    want = sorted(((r.doc_id, r.ids) for r in pieces.encode(some).collect()), key=repr)
+    got = sorted(((r.doc_id, r.ids) for r in pieces.relational_encode(some, broadcast_words=bound).collect()), key=repr)
+    assert got == want
+
