@@ -53,11 +53,15 @@ def report(e: DataFrame, threshold: float) -> DataFrame:
     return c.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def auc(e: DataFrame) -> DataFrame:
-    """Rank-sum AUC from the counts of each distinct score: the window runs over score values, not rows."""
+def auc(e: DataFrame, cells: int = 4096) -> DataFrame:
+    """Rank-sum AUC from the counts of each distinct score. The scores (0 to 1) are cut into cells; a first prefix sum runs
+    over the cells' totals, of which there are ``cells``, and a second one within each cell."""
     v = e.groupBy("score").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = v.withColumn("w", F.col("p") * (below + F.col("q") / 2.0))
+    v = v.withColumn("cell", F.least(F.greatest(F.floor(F.col("score") * cells), F.lit(0)), F.lit(cells)).cast("int"))
+    totals = v.groupBy("cell").agg(F.sum("q").alias("t"))
+    before = totals.select("cell", F.coalesce(F.sum("t").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum("q").over(Window.partitionBy("cell").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = v.join(F.broadcast(before), "cell").withColumn("w", F.col("p") * (F.col("before") + within + F.col("q") / 2.0))
     return s.agg(F.round(F.sum("w") / (F.sum("p").cast("double") * F.sum("q")), 6).alias("auc"))
 
 

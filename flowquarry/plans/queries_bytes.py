@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..streaming import jobs
 from . import adapters as A
@@ -51,3 +52,26 @@ def stream_cooldown(spark: SparkSession, sf: str) -> DataFrame:
     alerts = jobs.flow_stream(spark, _flow_files(spark, sf), 100).withWatermark("ts", "0 seconds").withColumn("confidence", F.col("bytes_out") / 50000.0).where("bytes_out > 5000")
     jobs.run_once(jobs.cooldown_stream(alerts, 86_400_000_000, 0.1), out, _scratch(spark))
     return spark.read.parquet(out)
+
+
+@query("SRC-08", "STR-15", sql=A.oracle("SELECT CASE WHEN flow_id % 17 = 0 THEN 'malformed' ELSE src_ip END AS who, count(*) AS n FROM flows GROUP BY ALL", "flows"))
+def stream_json_tail(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON lines followed as a stream, every seventeenth line cut off."""
+    path, out = _scratch(spark), _scratch(spark)
+    line = F.to_json(F.struct("flow_id", "src_ip"))
+    A.flows(spark, sf).select(F.when(F.col("flow_id") % 17 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value")).repartition(3).write.text(path)
+    jobs.run_once(jobs.tail_lines(spark, path, StructType.fromDDL("flow_id long, src_ip string")), out, _scratch(spark))
+    return spark.read.parquet(out).groupBy(F.when(F.col("malformed"), "malformed").otherwise(F.col("src_ip")).alias("who")).agg(F.count("*").alias("n"))
+
+
+@query("STR-14", "JOIN-07", sql=A.oracle("""
+, a AS (SELECT flow_id, ts_us, unnest([0, 1, 2]) AS p, unnest([concat(src_ip, '>', dst_ip), dst_ip, src_ip]) AS key FROM flows WHERE flow_id % 5 = 0), h AS (SELECT flow_id AS hit_id, ts_us AS h_us, CASE WHEN flow_id % 3 = 1 THEN dst_ip ELSE src_ip END AS key FROM flows WHERE flow_id % 4 = 1)
+SELECT a.flow_id AS alert_id, p, hit_id FROM a JOIN h ON a.key = h.key AND h_us <= ts_us AND ts_us < h_us + 86400000000""", "flows"))
+def stream_recent_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts and hits as two streams, joined within a day."""
+    path, out = _flow_files(spark, sf), _scratch(spark)
+    f = lambda: jobs.flow_stream(spark, path, 100)
+    alerts = f().where("flow_id % 5 = 0").select(F.col("flow_id").alias("alert_id"), "ts", "src_ip", "dst_ip")
+    hits = f().where("flow_id % 4 = 1").select(F.col("flow_id").alias("hit_id"), "ts", F.when(F.col("flow_id") % 3 == 1, F.col("dst_ip")).otherwise(F.col("src_ip")).alias("key"))
+    jobs.run_once(jobs.recent_hits(alerts, hits, "1 day", "40 days"), out, _scratch(spark))
+    return spark.read.parquet(out).select("alert_id", "p", "hit_id")

@@ -49,7 +49,8 @@ def ingest(rows: DataFrame, valid: Column | None = None) -> tuple[DataFrame, Dat
 def sequenced(alerts: DataFrame, order: list[str]) -> DataFrame:
     """Alerts with a sequence number from 1 on: ranges of the order get their offsets from the counts of those before."""
     dealt = alerts.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id())
-    numbered = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    # Kept, since both uses must see the same ranges.
+    numbered = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order))).persist()
     # One row for each partition.
     counts = numbered.groupBy("__part").agg(F.count("*").alias("__c"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

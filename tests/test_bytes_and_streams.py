@@ -5,6 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from flowquarry.detectors import dga
 from flowquarry.detectors.ddos import fold as ddos_fold
 from flowquarry.functions import scalars as S
 from flowquarry.operators.alerts import cooldown_fold
@@ -12,7 +13,8 @@ from flowquarry.operators.flows import fold_sessions
 from flowquarry.operators.history import lomb_scargle
 from flowquarry.plans import adapters as A
 from flowquarry.plans import all_queries
-from flowquarry.sources import pcap
+from flowquarry.sources import feeds, pcap
+from flowquarry.streaming import jobs
 
 
 def test_capture_round_trip(spark, tmp_path):
@@ -84,3 +86,45 @@ def test_streams_equal_batch(spark, sf):
     have = sorted((r.src_ip, r.records) for r in idle.collect())
     assert want and all(x in have for x in want)
     assert queries["stream_cooldown"](spark, sf).count() > 0
+
+
+def test_forwarding_snapshots_and_state(spark, tmp_path):
+    src = f"file://{tmp_path}/in"
+    for lo in (0, 50):
+        spark.range(lo, lo + 50, 1, 1).select(F.col("id").alias("flow_id"), (F.col("id") * 1000).alias("ts_us"), F.lit("a").alias("src_ip"), F.lit("b").alias("dst_ip"), F.lit(1).cast("long").alias("bytes_out")).write.mode("append").parquet(src)
+    sent = []
+
+    def send(rows):
+        if any(r["flow_id"] == 60 for r in rows):
+            raise OSError("down")
+        sent.extend(rows)
+
+    counts = jobs.forward(jobs.flow_stream(spark, src).select("flow_id", "src_ip"), send, f"file://{tmp_path}/c1", most=20)
+    assert counts["sent"] == len(sent) and counts["sent"] + counts["failed"] == 100 and 0 < counts["failed"] <= 20
+    jobs.snapshots(jobs.flow_stream(spark, src).select(F.col("flow_id").alias("timestamp"), "src_ip"), f"file://{tmp_path}/state/now.json", f"file://{tmp_path}/c2")
+    assert feeds.get_snapshot(spark, f"file://{tmp_path}/state", "timestamp long, src_ip string").collect() in ([(49, "a")], [(99, "a")])
+    q = jobs.persistence_stream(jobs.flow_stream(spark, src, 100).select(F.col("src_ip").alias("key"), "ts_us", (F.col("flow_id") % 4 > 0).alias("hit"))).writeStream.outputMode("update").format("memory").queryName("held").option("checkpointLocation", f"file://{tmp_path}/c3").trigger(availableNow=True).start()
+    q.awaitTermination()
+    s, k = 0.0, 0
+    for i in range(100):
+        k = k + 1 if i % 4 else max(0, k - 1)
+        s = s * 0.35 + (min(1.0, k / 3) if i % 4 else 0.0) * 0.65
+    got = spark.table("held").collect()[-1]
+    assert abs(got.persistence - s) < 1e-9 and got.streak == k
+
+
+def test_cut_headers_root_names_and_times(spark):
+    cut = pcap._frame("10.0.0.2", "1.2.3.4", 6, b"\x01\xbb\x01\xbb\0\0")
+    assert (p := pcap.parse(1, cut)) and (p["src_port"], p["dst_port"], p["proto"], p["payload_len"]) == (0, 0, 6, 0)
+    root = pcap.parse(1, pcap.udp_frame("10.0.0.1", "8.8.8.8", 4000, 53, b"\0\1\1\0\0\1\0\0\0\0\0\0" + b"\0\0\2\0\1"))
+    assert (root["dns_name"], root["dns_qtype"]) == ("", 2)
+    times = spark.createDataFrame([("1700000000.25",), ("2023-11-14T22:13:20.250Z",), ("2023-11-15T00:13:20.25+02:00",), ("2023-11-14T22:13:20.25",), ("soon",), (None,)], "v string")
+    got = [r[0] for r in times.select(S.event_micros("v")).collect()]
+    assert got == [1_700_000_000_250_000] * 4 + [None, None]
+    assert times.select(S.iso_millis(S.event_micros("v"))).first()[0] == "2023-11-14T22:13:20.250Z"
+
+
+def test_domain_scores_in_model_mode(spark):
+    p = spark.createDataFrame([(0.0,), (0.2,), (0.4,), (0.7,), (1.0,)], "p double")
+    got = [r[0] for r in p.select(dga.model_score(F.col("p"), 0.4)).collect()]
+    assert np.allclose(got, [0, 0.25, 0.5, 0.75, 1.0], atol=1e-6)
