@@ -124,6 +124,16 @@ def upsert(rows: DataFrame) -> DataFrame:
     return clean.groupBy("kind", "value").agg(F.max_by(F.struct("category", "confidence", "seq"), "seq").alias("m")).select("kind", "value", "m.category", "m.confidence", "m.seq")
 
 
+def store_counts(iocs: DataFrame) -> DataFrame:
+    """Indicators of each kind and category, with the mean confidence."""
+    return iocs.groupBy("kind", "category").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+
+
+def point_lookup(iocs: DataFrame, kind: str, value: str) -> DataFrame:
+    """The indicator of a kind and a value, as the store spells it."""
+    return iocs.where((F.col("kind") == kind) & (F.col("value") == value.strip().lower())).limit(1)
+
+
 def cache_classes(lookups: DataFrame, positive_us: int, negative_us: int) -> DataFrame:
     """Hit, negative or miss of each lookup (key, ts_us, listed): an entry lives from the miss that made it."""
     seq = F.array_sort(F.collect_list(F.struct("ts_us", "flow_id", "listed")))

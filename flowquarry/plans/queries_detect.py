@@ -305,6 +305,11 @@ def ti_fused_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return J.fuse(alerts, J.memory_keys(r, J.record_verdicts(r, X.record_iocs(spark))), 60_000_000)
 
 
+@query("JOIN-01", sql=X.oracle(" SELECT kind, category, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM record_iocs GROUP BY ALL", "records"))
+def ti_store_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return J.store_counts(X.record_iocs(spark))
+
+
 @query("SET-04", "SET-01", sql=A.oracle(_EXFIL + ", a AS (SELECT flow_id, src_ip, ts_us, score / 110e0 AS conf FROM s WHERE score >= 30), " + _sent("a", "src_ip", "flow_id", DAY, "0.1e0") + " SELECT flow_id, src_ip, ts_us, round(conf, 6) AS confidence FROM sent", "flows"))
 def dedupe_cooldown(spark: SparkSession, sf: str) -> DataFrame:
     a = scores.exfil(A.flows(spark, sf), EXFIL).withColumn("confidence", F.col("risk_score") / 110.0).where("risk_score >= 30")

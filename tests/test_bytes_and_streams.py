@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowquarry.detectors import dga
 from flowquarry.detectors.ddos import fold as ddos_fold
 from flowquarry.functions import scalars as S
+from flowquarry.operators import joins
 from flowquarry.operators.alerts import cooldown_fold
 from flowquarry.operators.flows import fold_sessions
 from flowquarry.operators.history import lomb_scargle
@@ -128,3 +129,28 @@ def test_domain_scores_in_model_mode(spark):
     p = spark.createDataFrame([(0.0,), (0.2,), (0.4,), (0.7,), (1.0,)], "p double")
     got = [r[0] for r in p.select(dga.model_score(F.col("p"), 0.4)).collect()]
     assert np.allclose(got, [0, 0.25, 0.5, 0.75, 1.0], atol=1e-6)
+
+
+def test_published_hello_fingerprint(spark):
+    ciphers = [0x1301, 0x1302, 0x1303, 0xC02B, 0xC02F, 0xC02C, 0xC030, 0xCCA9, 0xCCA8, 0xC013, 0xC014, 0x9C, 0x9D, 0x2F, 0x35]
+    extensions = [0, 0x17, 0xFF01, 0xA, 0xB, 0x23, 0x10, 5, 0xD, 0x12, 0x33, 0x2D, 0x2B, 0x1B, 0x4469, 0x15]
+    signatures = [0x403, 0x804, 0x401, 0x503, 0x805, 0x501, 0x806, 0x601]
+    row = spark.createDataFrame([(0x304, [0x2A2A, *ciphers], [0x3A3A, *extensions], signatures)], "v int, c array<int>, e array<int>, s array<int>")
+    assert row.select(S.ja4("v", "c", "e", "s", F.lit("h2"), F.lit(True))).first()[0] == "t13d1516h2_8daaf6152771_e5627efa2ab1"
+
+
+def test_command_line(spark, sf, tmp_path):
+    from flowquarry.__main__ import main
+    from flowquarry.sources import captures
+
+    assert main(["list"]) == 0
+    assert main(["run", "flag_counts", "--data", sf, "--out", f"file://{tmp_path}/q"]) == 0 and spark.read.parquet(f"file://{tmp_path}/q").count() > 0
+    captures.write_fixture(spark, f"file://{tmp_path}/caps", captures.mixed_frames(50))
+    assert main(["parse", f"file://{tmp_path}/caps", "--out", f"file://{tmp_path}/parsed"]) == 0
+    report = {r.record: r.packets for r in spark.read.json(f"file://{tmp_path}/parsed/report").collect()}
+    assert report == {"dns": 20, "tcp": 25, "skipped": 5} and spark.read.json(f"file://{tmp_path}/parsed/records").count() == 45
+    (tmp_path / "a.csv").write_text("kind,value,category,confidence,source\nip, 1.2.3.4 ,,,\nurl,x,,,\ndomain,Evil.ORG,c2,0.5,list\n")
+    assert main(["import-iocs", f"file://{tmp_path}/a.csv", "--out", f"file://{tmp_path}/iocs"]) == 0
+    iocs = spark.read.parquet(f"file://{tmp_path}/iocs")
+    assert {(r.kind, r.value, r.category, r.confidence) for r in iocs.collect()} == {("ip", "1.2.3.4", "unknown", 0.9), ("domain", "evil.org", "c2", 0.5)}
+    assert joins.point_lookup(iocs, "domain", " EVIL.org").count() == 1 and joins.point_lookup(iocs, "ip", "4.3.2.1").count() == 0
