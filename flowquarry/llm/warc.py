@@ -2,7 +2,8 @@
 
 Every row of pages becomes one record. Headers (id, payload digest) are shuffled by digest; the smallest page of a
 digest becomes the response and the others are joined to it as revisits. Archives are written by Spark's gzip text writer, whose line separator is the
-end of a WARC record, into any file system Spark reaches; they are read back as whole files and parsed by length.
+end of a WARC record, into any file system Spark reaches; they are read back as
+streams of records, a few megabytes at a time.
 
 Defined cases: a null payload is empty; payloads below ``least_bytes`` are always responses; rows that
 share a page_id are resolved each by its own payload, and rows that share that too are revisits of the first (by url);
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -85,44 +87,56 @@ def write(resolved: DataFrame, path: str, cfg: WarcConfig = WarcConfig()) -> str
     return path
 
 
-def parse(data: bytes):
-    """(headers, block) of each record of an archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(END, at)
-        head = data[at:end].decode("utf-8").split(CRLF)
-        if not head[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = dict(line.split(": ", 1) for line in head[1:])
-        size = int(headers["Content-Length"])
-        block = data[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        if data[at : at + 4] != END:
-            raise ValueError(f"record does not end at byte {at}")
-        at += 4
+def parse(f: io.BufferedIOBase):
+    """(headers, block) of each record of an archive, read as a stream: one record is in memory at a time."""
+    while line := f.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record but {line[:40]!r}")
+        headers = {}
+        while (line := f.readline()) != b"\r\n":
+            if not line.endswith(b"\r\n"):
+                raise ValueError("an archive ends within a header")
+            name, value = line[:-2].decode("utf-8").split(": ", 1)
+            headers[name] = value
+        block = f.read(int(headers["Content-Length"]))
+        if f.read(4) != END:
+            raise ValueError(f"record {headers.get('WARC-Record-ID')} does not end where it should")
         yield headers, block
 
 
 def read(spark, path: str, page_kind: str = "bigint") -> DataFrame:
     """(page_id, record_type, record_id, refers_uuid, payload_digest, payload_bytes, payload) of archives; the digest of each payload is checked."""
 
+    names = ["page_id", "record_type", "record_id", "refers_uuid", "payload_digest", "payload_bytes", "payload"]
+    kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
+
+    def rows(data: pa.Scalar):
+        # Archives are compressed; what they hold passes by in pieces.
+        for h, block in parse(io.BufferedReader(gzip.GzipFile(fileobj=pa.BufferReader(data.as_buffer())), 1 << 20)):
+            digest = h["WARC-Payload-Digest"].removeprefix("sha256:")
+            if h["WARC-Type"] == "revisit":
+                yield h.get("X-Page-ID"), "revisit", h["WARC-Record-ID"], h["WARC-Refers-To"], digest, None, None
+                continue
+            payload = block[block.index(END) + 4 :]
+            if hashlib.sha256(payload).hexdigest() != digest:
+                raise ValueError(f"payload digest differs in {h['WARC-Record-ID']}")
+            yield h.get("X-Page-ID"), "response", h["WARC-Record-ID"], None, digest, len(payload), payload
+
     def part(batches):
+        def out(held):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+
         for b in batches:
             for data in b.column(0):
-                rows = []
-                for h, block in parse(gzip.decompress(data.as_buffer().to_pybytes())):
-                    cut = block.index(END) + 4
-                    payload, digest = block[cut:], h["WARC-Payload-Digest"].removeprefix("sha256:")
-                    if h["WARC-Type"] == "response":
-                        if hashlib.sha256(payload).hexdigest() != digest:
-                            raise ValueError(f"payload digest differs in {h['WARC-Record-ID']}")
-                        rows.append((h.get("X-Page-ID"), "response", h["WARC-Record-ID"], None, digest, len(payload), payload))
-                    else:
-                        rows.append((h.get("X-Page-ID"), "revisit", h["WARC-Record-ID"], h["WARC-Refers-To"], digest, None, None))
-                for lo in range(0, len(rows), 1000):
-                    cols = list(zip(*rows[lo : lo + 1000], strict=True))
-                    kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "record_type", "record_id", "refers_uuid", "payload_digest", "payload_bytes", "payload"])
+                held, size = [], 0
+                for row in rows(data):
+                    held.append(row)
+                    size += row[5] or 0
+                    if len(held) == 1000 or size > 8_000_000:
+                        yield out(held)
+                        held, size = [], 0
+                if held:
+                    yield out(held)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     out = files.mapInArrow(part, "page_id string, record_type string, record_id string, refers_uuid string, payload_digest string, payload_bytes long, payload binary")
