@@ -178,13 +178,22 @@ def simulated_truth(spark: SparkSession, sf: str) -> DataFrame:
     return counts.join(F.broadcast(J.first_alerts(alerts).agg(F.count("*").alias("pairs"), F.min("first_us").alias("first_us"))))
 
 
-@query("SRC-01", "PAR-01", "PAR-02", "PAR-03", "PAR-04", "PAR-05", "PAR-06", "PAR-12", "AGG-20", sql="""WITH f AS (SELECT event_id AS i FROM events WHERE event_id < 400)
+@query("SRC-01", "PAR-01", "PAR-02", "PAR-03", "PAR-04", "PAR-05", "PAR-06", "PAR-12", "AGG-20", "SNK-08", sql="""WITH f AS (SELECT event_id AS i FROM events WHERE event_id < 400)
 SELECT CASE WHEN i % 10 = 9 THEN 'skipped' WHEN i % 10 < 4 THEN 'dns' ELSE 'tcp' END AS record, count(*) AS packets, CAST(sum(CASE WHEN i % 10 = 9 THEN 0 WHEN i % 10 < 4 THEN 28 + 12 + 5 + length(concat('h', i, '.example.org')) + 1 WHEN i % 10 = 8 THEN 28 ELSE 40 + i % 50 END) AS BIGINT) AS bytes FROM f GROUP BY ALL""")
 def capture_report(spark: SparkSession, sf: str) -> DataFrame:
     """Captures of several link types written by rule, read back: packets and bytes by kind, malformed frames counted as skipped."""
     return captures.report(captures.read_packets(spark, captures.write_fixture(spark, _scratch(spark), captures.mixed_frames(400))))
 
 
+@query("SRC-10", sql="SELECT * FROM (VALUES ('link0', 0, 100), ('link1', 0, 100), ('link101', 0, 100), ('link113', 0, 100), ('link1', 1, 16 * 3 + 4 * 2)) AS t(capture_id, label, packets)")
+def capture_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Captures found below a folder, labelled by where they lie."""
+    path = _scratch(spark)
+    captures.write_fixture(spark, path, captures.mixed_frames(400))
+    captures.write_fixture(spark, path, captures.hello_frames(20), "malware")
+    return captures.labelled(captures.read_packets(spark, path)).groupBy("capture_id", "label").agg(F.count("*").alias("packets"))
+
+
 @query("PAR-07", "PAR-08", "PAR-11", "SRC-04", "SRC-11", sql="""WITH f AS (SELECT unnest(generate_series(0, 19)) AS i) SELECT concat('10.0.0.', i + 1) AS src_ip, concat('site', i % 7, '.example.com') AS sni, md5(concat('771,', 4865 + i % 3, '-49195,0-10-11,29-23,0')) AS ja3, concat('t12d0203', '00_', substr(sha256(array_to_string(list_sort([printf('%04x', 4865 + i % 3), 'c02b']), ',')), 1, 12), '_', substr(sha256('000a,000b'), 1, 12)) AS ja4 FROM f WHERE i % 5 <> 4""")
 def capture_hellos(spark: SparkSession, sf: str) -> DataFrame:
     """Hellos in three segments, out of order in the file; every fifth flow never completes one."""

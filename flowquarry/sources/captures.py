@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ACK, PSH, ja3, ja4
 from ..operators.records import hello_bytes
 from . import pcap
-from .pcap import read_packets
+from .pcap import labelled, read_packets
 
-__all__ = ["read_packets", "write_fixture", "mixed_frames", "hello_frames", "report", "hellos"]
+__all__ = ["labelled", "read_packets", "write_fixture", "mixed_frames", "hello_frames", "report", "hellos"]
 
 
 def capture_bytes(rows: list[tuple[int, bytes]], link: int = 1) -> bytes:
@@ -22,11 +22,11 @@ def capture_bytes(rows: list[tuple[int, bytes]], link: int = 1) -> bytes:
     return head + b"".join(struct.pack("<IIII", ts // 10**6, ts % 10**6, len(f), len(f)) + f for ts, f in rows)
 
 
-def write_fixture(spark: SparkSession, path: str, by_link: dict[int, list[tuple[int, bytes]]]) -> str:
+def write_fixture(spark: SparkSession, path: str, by_link: dict[int, list[tuple[int, bytes]]], kind: str = "benign") -> str:
     """A capture file for each link type, on any file system Spark reaches."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for link, rows in by_link.items():
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/benign/link{link}.pcap")
+        p = jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}/link{link}.pcap")
         out = p.getFileSystem(conf).create(p, True)
         out.write(bytearray(capture_bytes(rows, link)))
         out.close()

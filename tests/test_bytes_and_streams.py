@@ -154,3 +154,19 @@ def test_command_line(spark, sf, tmp_path):
     iocs = spark.read.parquet(f"file://{tmp_path}/iocs")
     assert {(r.kind, r.value, r.category, r.confidence) for r in iocs.collect()} == {("ip", "1.2.3.4", "unknown", 0.9), ("domain", "evil.org", "c2", 0.5)}
     assert joins.point_lookup(iocs, "domain", " EVIL.org").count() == 1 and joins.point_lookup(iocs, "ip", "4.3.2.1").count() == 0
+
+
+def test_periodogram_equals_least_squares():
+    rnd = random.Random(9)
+    t = np.cumsum([20 + rnd.uniform(-4, 4) for _ in range(30)])
+    power, period, snr, n = lomb_scargle(t, freqs=64)
+    t = t - t[0]
+    dt = max(float(np.median(np.diff(t))) / 4, t[-1] / 4096)
+    y = np.bincount((t / dt).astype(int), minlength=int(t[-1] / dt) + 1).astype(float)
+    y -= y.mean()
+    at, best = (np.arange(len(y)) + 0.5) * dt, []
+    for f in np.geomspace(2 / t[-1], 1 / (2 * dt), 64):
+        x = np.stack([np.cos(2 * np.pi * f * at), np.sin(2 * np.pi * f * at)], axis=1)
+        fit = x @ np.linalg.lstsq(x, y, rcond=None)[0]
+        best.append(1 - ((y - fit) ** 2).sum() / (y @ y))
+    assert n == 30 and abs(power - max(best)) < 1e-6 and abs(snr - max(best) / np.median(best)) < 1e-3
