@@ -81,3 +81,16 @@ def test_large_components_are_exact(spark, size):
     for q in (0, 50, 100):
         want = sorted((clip(-sum(a * b for a, b in zip(ints[i], ints[q], strict=True))), i) for i in ints if i != q)[:5]
         assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(i, clip(-s)) for s, i in want]
+
+
+def test_recall_on_the_real_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").toPandas().dropna()
+    x, ids = np.stack([np.asarray(v, float) for v in rows.embedding]), rows.vec_id.to_numpy()
+    got = vectors.approximate_search(table).toPandas().groupby("query_id").vec_id.agg(set)
+    hits, queries = 0, [i for i, v in enumerate(ids) if v % 20 == 0]
+    for i in queries:
+        s = x @ x[i]
+        order = [j for j in np.lexsort((ids, -s)) if j != i][:20]
+        hits += len(set(ids[order]) & got[ids[i]])
+    assert len(got) == len(queries) and hits >= 0.9 * 20 * len(queries)
