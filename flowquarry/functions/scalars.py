@@ -11,6 +11,9 @@ PUBLIC_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "or
 INTERNAL_V4 = (("10.0.0.0", 8), ("172.16.0.0", 12), ("192.168.0.0", 16), ("127.0.0.0", 8), ("169.254.0.0", 16), ("224.0.0.0", 4), ("0.0.0.0", 8))
 #: IANA special-purpose ranges that count as private in the exfiltration path.
 PRIVATE_V4 = (("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 29), ("192.0.0.170", 31), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("240.0.0.0", 4), ("255.255.255.255", 32))
+#: IANA special-purpose IPv6 ranges, as patterns of an address's text, and the public ones among them.
+PRIVATE_V6 = r"^(::1?$|::ffff:|64:ff9b:1:|100::|2001:(:|[0-9a-f]{1,2}:|0{0,1}[01][0-9a-f]{2}:|0?db8:)|2002:|3fff:(:|[0-9a-f]{1,3}:|0[0-9a-f]{3}:)|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:)"
+PUBLIC_V6 = r"^2001:(0{0,3}3:|0{0,3}4:112:|0{0,2}[23][0-9a-f]:)"
 #: IP protocol numbers.
 PROTOCOLS = {1: "ICMP", 6: "TCP", 17: "UDP", 58: "ICMPV6"}
 #: TCP flag bits.
@@ -66,8 +69,10 @@ def is_internal(ip) -> Column:
 
 
 def is_private(ip) -> Column:
-    """The wider table of the exfiltration path; unparsable addresses are not private."""
-    return F.coalesce(in_ranges(ipv4_number(ip), PRIVATE_V4), F.lit(False))
+    """The wider table of the exfiltration path; unparsable addresses are not private. IPv6 is told by its first groups."""
+    text = F.lower(_c(ip))
+    v6 = text.rlike(r"^(?=.*:)[0-9a-f:.]{2,45}$") & text.rlike(PRIVATE_V6) & ~text.rlike(PUBLIC_V6)
+    return F.coalesce(in_ranges(ipv4_number(ip), PRIVATE_V4), v6, F.lit(False))
 
 
 def protocol_name(number) -> Column:

@@ -85,28 +85,37 @@ def persistence(rows: DataFrame, key: str, hit: Column, decay: float = 0.35) ->
     return rows.groupBy(key).agg(F.aggregate(seq, start, step).alias("x")).select(key, F.round("x.s", 6).alias("persistence"), F.col("x.k").alias("streak"))
 
 
+def _series(times: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and centred counts of equal cells over the event times, four to the median gap but ``most`` at most."""
+    start, end = times[0], times[-1]
+    width = max(np.median(np.diff(times)) / 4, (end - start) / most, 1e-6)
+    counts = np.bincount(((times - start) / width).astype(int), minlength=int((end - start) / width) + 1)
+    return (np.arange(len(counts)) + 0.5) * width, counts - counts.mean()
+
+
+def _power(at: np.ndarray, y: np.ndarray, frequencies: np.ndarray) -> np.ndarray:
+    """Share of the variance of y that a sine wave of each frequency explains: the sum of squares of the projections on a
+    cosine and a sine that the shift tau makes orthogonal."""
+    w = 2 * np.pi * frequencies[:, None]
+    tau = np.arctan2(np.sin(2 * w * at).sum(1), np.cos(2 * w * at).sum(1))[:, None] / (2 * w)
+    total = 0.0
+    for wave in (np.cos(w * (at - tau)), np.sin(w * (at - tau))):
+        total = total + (wave @ y) ** 2 / np.maximum((wave * wave).sum(1), 1e-12)
+    return total / (y @ y)
+
+
 def lomb_scargle(times: np.ndarray, bins: int = 4096, freqs: int = 256) -> tuple[float, float, float, int]:
     """Peak power, its period, peak over median, and n, of the binned event series; zeros where there is too little."""
     t = np.sort(np.asarray(times, float))
-    n = len(t)
-    if n < 8 or t[-1] <= t[0]:
-        return 0.0, 0.0, 0.0, n
-    t = t - t[0]
-    span = t[-1]
-    dt = max(float(np.median(np.diff(t))) / 4, span / bins, 1e-6)
-    y = np.bincount((t / dt).astype(int), minlength=int(span / dt) + 1).astype(float)
-    y -= y.mean()
-    total = float(y @ y)
-    if total <= 0:
-        return 0.0, 0.0, 0.0, n
-    at = (np.arange(len(y)) + 0.5) * dt
-    f = np.geomspace(2 / span, 1 / (2 * dt), freqs)
-    w = 2 * np.pi * f[:, None]
-    tau = np.arctan2(np.sin(2 * w * at).sum(1), np.cos(2 * w * at).sum(1))[:, None] / (2 * w)
-    c, s = np.cos(w * (at - tau)), np.sin(w * (at - tau))
-    power = ((c @ y) ** 2 / np.maximum((c * c).sum(1), 1e-12) + (s @ y) ** 2 / np.maximum((s * s).sum(1), 1e-12)) / total
+    if len(t) < 8 or t[-1] <= t[0]:
+        return 0.0, 0.0, 0.0, len(t)
+    at, y = _series(t, bins)
+    if y @ y <= 0:
+        return 0.0, 0.0, 0.0, len(t)
+    f = np.geomspace(2 / (t[-1] - t[0]), 1 / (at[0] * 4), freqs)
+    power = _power(at, y, f)
     best = int(power.argmax())
-    return float(power[best]), float(1 / f[best]), float(power[best] / (np.median(power) + 1e-12)), n
+    return float(power[best]), float(1 / f[best]), float(power[best] / (np.median(power) + 1e-12)), len(t)
 
 
 def periodicity(rows: DataFrame, key: str, ring: int = 512) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.scalars import ACK, SYN, has_flag
 
 
 def bucket(us: int, ts: str = "ts_us") -> Column:
-    return F.floor(F.col(ts) / us).cast("long") if us <= 0 else F.expr(f"{ts} div {us}")
+    return F.expr(f"{ts} div {us}")
 
 
 def entropy_from(total: Column, n_log_n: Column) -> Column:

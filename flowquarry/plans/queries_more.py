@@ -243,9 +243,9 @@ def fusion_boost(spark: SparkSession, sf: str) -> DataFrame:
     return J.fuse(alerts, hits, DAY)
 
 
-@query("JOIN-09", "FIL-04", sql=oracle("SELECT flow_id FROM flows WHERE dst_ip NOT IN (SELECT value FROM iocs) AND dst_port NOT IN (53, 80)", "flows", "dns", "iocs"))
+@query("JOIN-09", "FIL-04", sql=oracle("SELECT flow_id FROM flows WHERE dst_ip NOT IN (SELECT value FROM iocs WHERE kind = 'ip') AND dst_port NOT IN (53, 80)", "flows", "dns", "iocs"))
 def allowlist_anti(spark: SparkSession, sf: str) -> DataFrame:
-    return A.flows(spark, sf).where(~F.col("dst_port").isin(53, 80)).join(A.iocs(spark, sf).select(F.col("value").alias("dst_ip")), "dst_ip", "left_anti").select("flow_id")
+    return A.flows(spark, sf).where(~F.col("dst_port").isin(53, 80)).join(A.iocs(spark, sf).where("kind = 'ip'").select(F.col("value").alias("dst_ip")), "dst_ip", "left_anti").select("flow_id")
 
 
 @query("AGG-24", "JOIN-11", "SET-07", sql=oracle("""

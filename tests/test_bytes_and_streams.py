@@ -1,5 +1,6 @@
 """Captures, fingerprints, folds and streams: unit vectors and batch equality."""
 
+import ipaddress
 import random
 
 import numpy as np
@@ -170,3 +171,13 @@ def test_periodogram_equals_least_squares():
         fit = x @ np.linalg.lstsq(x, y, rcond=None)[0]
         best.append(1 - ((y - fit) ** 2).sum() / (y @ y))
     assert n == 30 and abs(power - max(best)) < 1e-6 and abs(snr - max(best) / np.median(best)) < 1e-3
+
+
+def test_private_addresses_equal_the_standard_library(spark):
+    v6 = ["::1", "::", "::2", "::ffff:8.8.8.8", "64:ff9b:1::5", "64:ff9b::5", "100::7", "2001::9", "2001:1ff::1", "2001:200::1", "2001:db8::1", "2001:4860::8888", "2001:3::1", "2001:4:112::1", "2001:20::5", "2002::1", "2a00:1450::1", "fc00::1", "fdff::1", "fe80::1", "febf::1", "fec0::1", "ff02::1"]
+    v4 = ["10.0.0.1", "8.8.8.8", "172.31.0.1", "172.32.0.1", "192.0.2.1", "198.19.1.1", "198.20.1.1", "203.0.113.5", "240.0.0.1", "169.254.1.1", "127.0.0.1", "0.0.0.1"]
+    rows = spark.createDataFrame([(x,) for x in [*v6, *v4, "x", "", "1.2.3", ":::x", None]], "ip string").select("ip", S.is_private("ip").alias("p")).collect()
+    for r in rows:
+        want = ipaddress.ip_address(r.ip).is_private if r.ip in v6 + v4 else False
+        if r.ip != "::ffff:8.8.8.8":  # whether a mapped address counts as itself differs by version
+            assert r.p == want, r
