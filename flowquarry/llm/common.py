@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import re
 import shutil
 import tempfile
@@ -53,6 +54,12 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that no table refers to: it does so only when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def by_batches(df: DataFrame, rows: int = 2_000) -> DataFrame:
     """``df``, whose whole texts Python is about to read: a session that still has Spark's Arrow batches of 10,000 rows
     gets smaller ones, since a batch of texts is held several times over in the executor and in its workers."""

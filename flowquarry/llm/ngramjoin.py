@@ -15,7 +15,9 @@ names the pairs of blocks that may still hold a link between different parts, an
 spanning forest of its links, never all pairs.
 
 Rarity is estimated from the frequencies of a member's words, which a fixed-size counter array holds for all documents;
-it only orders the members, and any common order keeps the result exact.
+it only orders the members, and any common order keeps the result exact. A passage that many unlike documents quote has
+rare words but frequent members, and would link all who quote it into one tree. So where a tree becomes large, the
+members that many classes were found to share move to the end of the order, and the postings are dealt out anew.
 
 Defined cases: null and empty texts have no set, are linked with nothing and are their own component; texts with fewer
 words than n have their whole word sequence as the only member; repeated rows are copies; rows that share a doc_id are
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batches, drop, slices, splitmix, stash, trim
+from .common import by_batches, drop, free_shuffles, slices, splitmix, stash, trim
 from .graph import components, stars
 
 
@@ -50,6 +52,10 @@ class JoinConfig:
     most_members: int = 3_000_000
     #: members that at most so many classes share are counted pair by pair; beyond, all their classes share a tree.
     small_group: int = 64
+    #: how often members of larger groups are moved to the end of the order, and how many of them are broadcast, at most;
+    #: both bound the work of finding a better order, not the result.
+    reorders: int = 3
+    most_heavy: int = 2_000_000
     #: postings that a task holds before it deals them out, and postings of a hash range.
     flush: int = 1_000_000
     range_size: int = 500_000
@@ -62,6 +68,12 @@ class JoinConfig:
     memo_words: int = 150_000
 
 
+NONE = np.zeros(0, np.uint64)
+
+#: The member of a posting travels as its upper 48 bits: one that equals another there only adds a candidate.
+MEMBER_BYTES = 6
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
@@ -95,8 +107,9 @@ class Shingler:
     def members(self, h: np.ndarray) -> np.ndarray:
         return np.unique(self._windows(h)) if len(h) else h
 
-    def rarest(self, h: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All members, and the rarest ones by the frequencies of their words: as many as the prefix bound asks for."""
+    def rarest(self, h: np.ndarray, level: np.ndarray, heavy: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray]:
+        """All members, and the rarest ones by the frequencies of their words, the sorted ``heavy`` ones last: as many as
+        the prefix bound asks for."""
         m, first = np.unique(self._windows(h), return_index=True)
         keep = len(m) - -(-self.cfg.percent * len(m) // 100) + 1
         if keep >= len(m):
@@ -111,6 +124,11 @@ class Shingler:
         # A member is no more frequent than its rarest word. Ties by all its words, then by hash: the order is the same
         # for every document.
         order = (least[first] << np.uint64(54)) | (total[first] << np.uint64(42)) | (m >> np.uint64(22))
+        if len(heavy):
+            # The reader of postings knows a member by its upper bytes. Seldom are all of a set's members heavy.
+            short = m >> np.uint64(64 - 8 * MEMBER_BYTES)
+            last = heavy[np.minimum(np.searchsorted(heavy, short), len(heavy) - 1)] == short
+            order = (order >> np.uint64(1)) | (last.astype(np.uint64) << np.uint64(63))
         return m, m[np.argpartition(order, keep - 1)[:keep]]
 
 
@@ -178,10 +196,6 @@ def _counters(profile: DataFrame, cfg: JoinConfig) -> np.ndarray:
     return np.minimum(np.log2(counts + 1.0) * 16, min(1023, 4095 // cfg.n)).astype(np.uint16)
 
 
-#: The member of a posting travels as its upper 48 bits: one that equals another there only adds a candidate.
-MEMBER_BYTES = 6
-
-
 def _planes(x: np.ndarray, width: int) -> bytes:
     """The upper bytes of numbers, place by place: sorted numbers share the highest, which the shuffle compresses."""
     return x.view(np.uint8).reshape(len(x), x.itemsize)[:, x.itemsize - width :].T.tobytes()
@@ -213,10 +227,10 @@ def _order(member: np.ndarray, name: np.ndarray, size: np.ndarray) -> tuple[np.n
 POSTING = "deal int, kind int, a binary, b binary, c binary"
 
 
-def postings(docs: DataFrame, levels: np.ndarray, ranges: int, cfg: JoinConfig) -> DataFrame:
+def postings(docs: DataFrame, levels: np.ndarray, heavy: np.ndarray, ranges: int, cfg: JoinConfig) -> DataFrame:
     """Columns of postings by hash range (kind 0: members, classes, set sizes), and of links between classes that share
     a member with many others in the task (kind 1: hub, class)."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    shared = docs.sparkSession.sparkContext.broadcast((levels, heavy))
 
     def deal(found, names, sizes):
         each = [len(x) for x in found]
@@ -239,7 +253,7 @@ def postings(docs: DataFrame, levels: np.ndarray, ranges: int, cfg: JoinConfig)
             yield pa.RecordBatch.from_arrays([pa.array([int(place[i.start]) for i in cut], pa.int32()), pa.array([0] * len(cut), pa.int32()), *cols], ["deal", "kind", "a", "b", "c"])
 
     def part(batches):
-        shingler, level = Shingler(cfg), shared.value
+        shingler, (level, last) = Shingler(cfg), shared.value
         done: set[int] = set()
         found, names, sizes, held = [], [], [], 0
         for b in batches:
@@ -247,7 +261,9 @@ def postings(docs: DataFrame, levels: np.ndarray, ranges: int, cfg: JoinConfig)
                 h = shingler.words(text)
                 if not len(h):
                     continue
-                m, rare = shingler.rarest(h, level)
+                m, rare = shingler.rarest(h, level, last)
+                if 100 * len(m) < cfg.percent * (len(m) + 1):
+                    continue  # a set that is like no other than itself
                 if (name := _name(m)) in done:
                     continue
                 done.add(name)  # copies in one task post once
@@ -270,7 +286,8 @@ def postings(docs: DataFrame, levels: np.ndarray, ranges: int, cfg: JoinConfig)
 
 def _meet(table: pa.Table, cfg: JoinConfig) -> pa.Table:
     """Columns (u, v, p, q, common) of one hash range: pairs of classes of like size, their sizes and the number of
-    members that both share with few others, and, with common 0, links between the classes of a member that many share."""
+    members that both share with few others; with common 0, links between the classes of a member that many share; with
+    common -1, that member (u, by its upper bytes) and the number of its classes here (v)."""
     kind = table.column("kind").to_numpy()
     a, b, c = (table.column(x).to_pylist() for x in "abc")
     posts, links = np.flatnonzero(kind == 0).tolist(), np.flatnonzero(kind == 1).tolist()
@@ -281,6 +298,8 @@ def _meet(table: pa.Table, cfg: JoinConfig) -> pa.Table:
     own = np.repeat(lengths, lengths)
     big = own > cfg.small_group
     u, v = stars(np.concatenate([np.repeat(name[starts], lengths)[big], *(np.frombuffer(a[i], np.int64) for i in links)]), np.concatenate([name[big], *(np.frombuffer(b[i], np.int64) for i in links)]))
+    crowd = lengths > cfg.small_group
+    many, wide = (member[starts[crowd]] >> np.uint64(64 - 8 * MEMBER_BYTES)).astype(np.int64), lengths[crowd].astype(np.int64)
     few = (own > 1) & ~big
     own, name, size, member = own[few], name[few], size[few], member[few]
     tables, held = [], 0
@@ -303,9 +322,10 @@ def _meet(table: pa.Table, cfg: JoinConfig) -> pa.Table:
             tables = [_summed(tables)]
             held = len(tables[0][0])
         lo = hi
-    none = np.zeros(len(u), np.int32)
-    found = _summed([*tables, (name[:0], name[:0], size[:0], size[:0], none[:0])])
-    return pa.table([pa.array(np.concatenate(x)) for x in zip((u, v, none, none, none), found, strict=True)], ["u", "v", "p", "q", "common"])
+    u, v, none = np.concatenate([u, many]), np.concatenate([v, wide]), np.zeros(len(u) + len(many), np.int32)
+    kinds = np.repeat(np.array([0, -1], np.int32), [len(none) - len(many), len(many)])
+    found = _summed([*tables, (name[:0], name[:0], size[:0], size[:0], kinds[:0])])
+    return pa.table([pa.array(np.concatenate(x)) for x in zip((u, v, none, none, kinds), found, strict=True)], ["u", "v", "p", "q", "common"])
 
 
 def _summed(tables: list[tuple]) -> tuple:
@@ -578,6 +598,32 @@ def _large_trees(sets: DataFrame, cfg: JoinConfig) -> DataFrame:
     return first.unionAll(second)
 
 
+def _trees(documents: DataFrame, classes: DataFrame, levels: np.ndarray, ranges: int, cfg: JoinConfig) -> tuple[DataFrame, DataFrame]:
+    """(rep, class, tree, size) of the classes that share a tree with another, and the trees no single task can hold."""
+    heavy = NONE
+    for again in range(cfg.reorders, -1, -1):
+        posted = postings(documents, levels, heavy, ranges, cfg)
+        met = stash(posted.groupBy("deal").applyInArrow(lambda t: _meet(t, cfg), "u long, v long, p int, q int, common int"), "join-meetings")
+        trees = components(_meetings(met, cfg))
+        trees = trees.unionAll(trees.select(F.col("root").alias("id"), "root").distinct())
+        wanted = stash(trees.join(classes, trees.id == classes["class"]).select("rep", "class", F.col("root").alias("tree"), "size"), "join-wanted")
+        large = wanted.groupBy("tree").agg(F.count("*").alias("k"), F.sum("size").alias("m")).where((F.col("k") > cfg.most_leaves) | (F.col("m") > cfg.most_members))
+        large = stash(large.select("tree"), "join-large")
+        worse = heavy
+        if again and large.count():
+            rows = met.where("common = -1").orderBy(F.desc("v"), "u").select("u").limit(max(0, cfg.most_heavy - len(heavy))).toArrow()
+            worse = np.union1d(heavy, rows.column(0).to_numpy().astype(np.uint64))
+        drop(met)
+        if len(worse) == len(heavy):
+            break
+        drop(wanted)
+        drop(large)
+        heavy = worse
+        del posted, met, trees, wanted, large
+        free_shuffles(documents.sparkSession)
+    return wanted, large
+
+
 def jaccard_components(documents: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of (doc_id, text)."""
     known = profile(by_batches(documents), cfg)
@@ -585,17 +631,10 @@ def jaccard_components(documents: DataFrame, cfg: JoinConfig = JoinConfig()) ->
     classes = docs.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("n").alias("size"))
     total = docs.agg(F.sum(F.expr(f"n - ({cfg.percent} * n + 99) div 100 + 1")).alias("n")).first().n or 0
     ranges = max(8, -(-total // cfg.range_size))
-    posted = postings(documents, _counters(known, cfg), ranges, cfg)
-    met = stash(posted.groupBy("deal").applyInArrow(lambda t: _meet(t, cfg), "u long, v long, p int, q int, common int"), "join-meetings")
-    trees = components(_meetings(met, cfg))
-    drop(met)
-    trees = trees.unionAll(trees.select(F.col("root").alias("id"), "root").distinct())
-    wanted = stash(trees.join(classes, trees.id == classes["class"]).select("rep", "class", F.col("root").alias("tree"), "size"), "join-wanted")
+    wanted, large = _trees(documents, classes, _counters(known, cfg), ranges, cfg)
     shape = wanted.agg(F.count("*").alias("rows"), F.sum("size").alias("m")).first()
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
     # Small trees share tasks; see ``_large_trees`` for the others.
-    large = wanted.groupBy("tree").agg(F.count("*").alias("k"), F.sum("size").alias("m")).where((F.col("k") > cfg.most_leaves) | (F.col("m") > cfg.most_members)).select("tree")
-    large = stash(large, "join-large")
     n_large = large.count()
 
     def sets_of(some: DataFrame) -> DataFrame:
