@@ -80,6 +80,36 @@ def test_jaccard_of_large_trees(spark):
         assert {tuple(r) for r in got.collect()} == brute_components(rows, cfg.n, cfg.percent)
 
 
+def quotes(docs, own, passage, vocabulary, seed):
+    """Pairs of near copies, unlike all others but for a passage whose words are rarer than theirs."""
+    rnd = random.Random(seed)
+    rows = []
+    for _ in range(docs // 2):
+        words = [f"w{rnd.randrange(vocabulary)}" for _ in range(own)] + [f"quoted{i}" for i in range(passage)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(["other", *words[1:]]))]
+    return rows
+
+
+def test_jaccard_of_a_passage_many_quote(spark, monkeypatch):
+    # Their one shared passage does not make one tree of all documents.
+    monkeypatch.setattr(ngramjoin, "_large_trees", lambda *_: pytest.fail("one tree of unlike documents"))
+    rows = quotes(120, 40, 14, 14, 5)
+    cfg = ngramjoin.JoinConfig(n=4, percent=80, most_leaves=20, small_group=4)
+    got = ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), cfg)
+    want = brute_components(rows, 4, 80)
+    assert {tuple(r) for r in got.collect()} == want and len({x[2] for x in want}) == 60
+
+
+@pytest.mark.parametrize("most", [0, 3, 2_000_000])
+def test_jaccard_in_any_order(spark, most):
+    # Some or all heavy members last, with large trees that stay large: the links are the same.
+    rows = quotes(40, 40, 30, 14, 6)
+    rows += [(len(rows) + i, t) for i, t in near_copies(7, docs=2, copies=40)]
+    cfg = ngramjoin.JoinConfig(n=2, percent=60, most_leaves=12, leaf=4, fan=2, small_group=2, reorders=2, most_heavy=most)
+    got = ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), cfg)
+    assert {tuple(r) for r in got.collect()} == brute_components(rows, 2, 60)
+
+
 def test_jaccard_odd_rows(spark, odd_docs, no_docs):
     got = ngramjoin.jaccard_components(odd_docs, ngramjoin.JoinConfig(n=3, percent=90)).collect()
     assert len(got) == odd_docs.count()
