@@ -1,10 +1,16 @@
 """Operator 8: n-gram Jaccard join with signature trees.
 
-A document's set holds the 64-bit hashes of its distinct word n-grams. Documents with equal sets form a class. Classes
-that can reach the similarity share one of the rarest few members of their sets (the prefix bound), so the postings of
-those members route them to the same tree; one root over the whole corpus would compare all blocks with all. Postings
-travel as columns, one row for each task and hash range, and every task reduces what it holds before the shuffle: copies
-post once, and of a member that many classes share only a few postings leave the task, the others being linked there.
+A document's set holds the 64-bit hashes of its distinct word n-grams. Documents with equal sets form a class. The hash
+space is cut into equal pieces, one and a half times as many as the members by which two similar sets of about that size
+may differ. Each such member changes one piece, so similar sets agree in the whole content of more than a third of the
+pieces, and in one of those that stay when a third of the pieces, the last ones of a common order, is left out. The
+postings of the pieces route the classes to trees; one root over the whole corpus would compare all blocks with all. A
+piece holds several members, so however frequent each of them is, unlike documents seldom agree in one. Where the
+similarity is so low that pieces would hold about one member, the members that the prefix bound asks for are posted.
+
+Postings travel as columns, one row for each task and hash range, and every task reduces what it holds before the
+shuffle: copies post once, and of a member or piece that many classes share only a few postings leave the task, the
+others being linked there.
 
 Within a tree the classes are sorted by size and hierarchical nodes hold OR-combined bitmaps of their members and size
 ranges; a dual traversal drops node pairs whose largest possible overlap is too small, and what remains is checked
@@ -14,10 +20,11 @@ Then the classes are dealt into blocks that are uniform in what they are linked
 names the pairs of blocks that may still hold a link between different parts, and only those meet. Each task returns a
 spanning forest of its links, never all pairs.
 
-Rarity is estimated from the frequencies of a member's words, which a fixed-size counter array holds for all documents;
-it only orders the members, and any common order keeps the result exact. A passage that many unlike documents quote has
-rare words but frequent members, and would link all who quote it into one tree. So where a tree becomes large, the
-members that many classes were found to share move to the end of the order, and the postings are dealt out anew.
+Pieces of more members come first; members by rarity, estimated from the frequencies of their words, which a fixed-size
+counter array holds for all documents. Any common order keeps the result exact. A passage that many unlike documents
+quote may fill whole pieces, has rare words but frequent members, and would link all who quote it into one tree. So where
+a tree becomes large, what many classes were found to share moves to the end of the order, and the postings are dealt out
+anew.
 
 Defined cases: null and empty texts have no set, are linked with nothing and are their own component; texts with fewer
 words than n have their whole word sequence as the only member; repeated rows are copies; rows that share a doc_id are
@@ -28,6 +35,7 @@ rows; extra columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -50,6 +58,8 @@ class JoinConfig:
     #: classes, and members of their sets, that one task joins at most.
     most_leaves: int = 1536
     most_members: int = 3_000_000
+    #: at this similarity (in hundredths) and above, pieces are posted; below, members.
+    pieces_from: int = 75
     #: members that at most so many classes share are counted pair by pair; beyond, all their classes share a tree.
     small_group: int = 64
     #: how often members of larger groups are moved to the end of the order, and how many of them are broadcast, at most;
@@ -63,8 +73,9 @@ class JoinConfig:
     passes: int = 3
     leaf: int = 16
     fan: int = 8
-    #: rows that are broadcast, at most; above, the join shuffles.
+    #: rows that are broadcast, at most; above, the join shuffles. Of ids alone more are, to leave other rows out before it.
     broadcast_rows: int = 200_000
+    broadcast_ids: int = 10_000_000
     memo_words: int = 150_000
 
 
@@ -86,7 +97,7 @@ class Shingler:
     """Sorted distinct n-gram hashes of UTF-8 texts."""
 
     def __init__(self, cfg: JoinConfig):
-        self.cfg, self.seen = cfg, _Hashes()
+        self.cfg, self.seen, self.cuts = cfg, _Hashes(), {}
         self.mult = splitmix(np.arange(1, 1 + max(cfg.n, 2), dtype=np.uint64)) | np.uint64(1)
 
     def words(self, text: bytes | None) -> np.ndarray:
@@ -131,6 +142,47 @@ class Shingler:
             order = (order >> np.uint64(1)) | (last.astype(np.uint64) << np.uint64(63))
         return m, m[np.argpartition(order, keep - 1)[:keep]]
 
+    def _cut(self, band: int, differ: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces of a band begin, and a number for each."""
+        if band not in self.cuts:
+            n = differ + 1 + -(-(differ + 1) // 2)
+            at = np.arange(n, dtype=np.uint64)
+            starts = (((at << np.uint64(32)) + np.uint64(n - 1)) // np.uint64(n)) << np.uint64(32)
+            self.cuts[band] = starts, splitmix((at << np.uint64(32)) + np.uint64(band))
+        return self.cuts[band]
+
+    def pieces(self, m: np.ndarray, heavy: np.ndarray = NONE) -> np.ndarray:
+        """Hashes of the first pieces of a set of sorted members, the sorted ``heavy`` ones last: one more than two
+        similar sets may differ by, in each band of sizes that the smaller of them may be of."""
+        out, sums = [NONE], np.r_[np.uint64(0), np.cumsum(splitmix(m))]
+        for band, differ in _bands(len(m), self.cfg.percent):
+            starts, salt = self._cut(band, differ)
+            at = np.r_[np.searchsorted(m, starts), len(m)]
+            piece = splitmix(np.diff(sums[at]) + salt)
+            last = np.zeros(len(piece), np.uint64)
+            if len(heavy):
+                short = piece >> np.uint64(64 - 8 * MEMBER_BYTES)
+                last = (heavy[np.minimum(np.searchsorted(heavy, short), len(heavy) - 1)] == short).astype(np.uint64)
+            held = np.minimum(np.diff(at), 255).astype(np.uint64)
+            order = (last << np.uint64(63)) | ((np.uint64(255) - held) << np.uint64(55)) | (piece >> np.uint64(9))
+            out.append(piece[np.argpartition(order, differ)[: differ + 1]])
+        return np.concatenate(out)
+
+
+@lru_cache(100_000)
+def _bands(size: int, percent: int) -> list[tuple[int, int]]:
+    """The bands of sizes, by their least, that the smaller of two similar sets may be of when one has this size, and by
+    how many members at most the two may differ; bands without unlike sets are left out."""
+    out, low = [], 1
+    while low <= size:
+        past = max(low + 1, low * 7 // 5)
+        most = past - 1
+        differ = (most + 100 * most // percent) * (100 - percent) // (100 + percent)
+        if 100 * most >= percent * size and differ:
+            out.append((low, differ))
+        low = past
+    return out
+
 
 def _name(members: np.ndarray) -> int:
     """A class's name: a hash of its whole set."""
@@ -155,6 +207,8 @@ def profile(docs: DataFrame, cfg: JoinConfig) -> DataFrame:
                 m = shingler.members(h)
                 n.append(len(m))
                 names.append(_name(m) if len(m) else None)
+                if cfg.percent >= cfg.pieces_from:
+                    continue  # their order asks for no counters
                 waiting.append(h)
                 size += len(h)
                 if size > 500_000:
@@ -228,8 +282,8 @@ POSTING = "deal int, kind int, a binary, b binary, c binary"
 
 
 def postings(docs: DataFrame, levels: np.ndarray, heavy: np.ndarray, ranges: int, cfg: JoinConfig) -> DataFrame:
-    """Columns of postings by hash range (kind 0: members, classes, set sizes), and of links between classes that share
-    a member with many others in the task (kind 1: hub, class)."""
+    """Columns of postings by hash range (kind 0: members or pieces, classes, set sizes), and of links between classes
+    that share one with many others in the task (kind 1: hub, class)."""
     shared = docs.sparkSession.sparkContext.broadcast((levels, heavy))
 
     def deal(found, names, sizes):
@@ -253,7 +307,7 @@ def postings(docs: DataFrame, levels: np.ndarray, heavy: np.ndarray, ranges: int
             yield pa.RecordBatch.from_arrays([pa.array([int(place[i.start]) for i in cut], pa.int32()), pa.array([0] * len(cut), pa.int32()), *cols], ["deal", "kind", "a", "b", "c"])
 
     def part(batches):
-        shingler, (level, last) = Shingler(cfg), shared.value
+        shingler, (level, last), whole = Shingler(cfg), shared.value, cfg.percent >= cfg.pieces_from
         done: set[int] = set()
         found, names, sizes, held = [], [], [], 0
         for b in batches:
@@ -261,12 +315,14 @@ def postings(docs: DataFrame, levels: np.ndarray, heavy: np.ndarray, ranges: int
                 h = shingler.words(text)
                 if not len(h):
                     continue
-                m, rare = shingler.rarest(h, level, last)
+                m, rare = (shingler.members(h), NONE) if whole else shingler.rarest(h, level, last)
                 if 100 * len(m) < cfg.percent * (len(m) + 1):
                     continue  # a set that is like no other than itself
                 if (name := _name(m)) in done:
                     continue
                 done.add(name)  # copies in one task post once
+                if whole:
+                    rare = shingler.pieces(m, last)
                 found.append(rare)
                 names.append(name)
                 sizes.append(len(m))
@@ -466,8 +522,10 @@ def _meetings(met: DataFrame, cfg: JoinConfig) -> DataFrame:
     If a pair reaches the similarity, the prefix whose range ends first is short of the other set by no more members
     than the whole set may be; so the pair shares at least ``need + 1 - ceil(percent * size)`` prefix members. Members
     of few classes are counted pair by pair (a bounded number for each) and pairs below that number go. The classes of
-    a member that more share are linked, whatever their counts.
+    a member that more share are linked, whatever their counts. A piece that two classes share is enough.
     """
+    if cfg.percent >= cfg.pieces_from:
+        return met.where("common >= 0").select("u", "v")
     pairs = met.where("common > 0").groupBy("u", "v").agg(F.min("p").alias("a"), F.min("q").alias("b"), F.sum("common").alias("common"))
     p = cfg.percent
     up = lambda x, d: F.expr(f"({x} + {d} - 1) div {d}")
@@ -476,19 +534,28 @@ def _meetings(met: DataFrame, cfg: JoinConfig) -> DataFrame:
     return met.where("common = 0").select("u", "v").unionAll(pairs.where(fits).select("u", "v"))
 
 
-def _sets(texts: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """(rep, name, tree, members, keys) of rows (text, rep, class, tree): sorted members and minimum hashes of the set."""
+def _sets(texts: DataFrame, some: DataFrame, rows: int, cfg: JoinConfig) -> DataFrame:
+    """(rep, name, tree, members, keys) of the classes (rep, class, tree), at most so many, of texts (id, text): sorted
+    members and minimum hashes of the set. Texts never shuffle: where the classes are not broadcast, sets do."""
+    wide = rows > cfg.broadcast_rows
+    ids = np.unique(some.select("rep").toArrow().column(0).to_numpy()) if wide and rows <= cfg.broadcast_ids else None
+    shared = texts.sparkSession.sparkContext.broadcast(ids)
     seeds = splitmix(np.arange(900, 900 + cfg.passes, dtype=np.uint64))
 
     def part(batches):
-        shingler, done = Shingler(cfg), set()
+        shingler, done, wanted = Shingler(cfg), set(), shared.value
         for b in batches:
+            if wanted is not None:
+                at = np.minimum(np.searchsorted(wanted, b.column(1).to_numpy()), max(0, len(wanted) - 1))
+                b = b.filter(pa.array(wanted[at] == b.column(1).to_numpy() if len(wanted) else np.zeros(b.num_rows, bool)))
             rows = []
             for text, rep, name, tree in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if (rep, name) in done:
                     continue
                 m = shingler.members(shingler.words(text))
-                if len(m) and _name(m) == name:  # rows that share a doc_id may hold other texts
+                own = _name(m) if len(m) else None
+                if len(m) and name in (own, None):  # rows that share a doc_id may hold other texts
+                    name = own
                     done.add((rep, name))
                     rows.append((rep, name, tree, m.tobytes(), [int(splitmix(m ^ s).min().view(np.int64)) for s in seeds]))
             for lo, hi in slices([len(r[3]) for r in rows], 16_000_000):
@@ -497,7 +564,13 @@ def _sets(texts: DataFrame, cfg: JoinConfig) -> DataFrame:
         del shingler, done
         trim()
 
-    return texts.select("text", "rep", "class", "tree").mapInArrow(part, "rep long, name long, tree long, members binary, keys array<long>")
+    form = "rep long, name long, tree long, members binary, keys array<long>"
+    if not wide:
+        return texts.join(F.broadcast(some), F.col("id") == F.col("rep")).select("text", "rep", "class", "tree").mapInArrow(part, form)
+    none = F.lit(None).cast("long")
+    found = texts.where("id is not null").select("text", F.col("id").alias("rep"), none.alias("class"), none.alias("tree")).mapInArrow(part, form)
+    # The classes are hashed in memory, so that the sets need not be sorted.
+    return found.drop("tree").join(some.select("rep", F.col("class").alias("name"), "tree").hint("shuffle_hash"), ["rep", "name"]).select("rep", "name", "tree", "members", "keys")
 
 
 def _hinted(df: DataFrame, rows: int, cfg: JoinConfig) -> DataFrame:
@@ -629,7 +702,8 @@ def jaccard_components(documents: DataFrame, cfg: JoinConfig = JoinConfig()) ->
     known = profile(by_batches(documents), cfg)
     docs = known.where("slot is null").select("doc_id", "n", "class")
     classes = docs.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("n").alias("size"))
-    total = docs.agg(F.sum(F.expr(f"n - ({cfg.percent} * n + 99) div 100 + 1")).alias("n")).first().n or 0
+    posted = f"(n * (100 - {cfg.percent}) div {cfg.percent} + 1) * 8 div 5" if cfg.percent >= cfg.pieces_from else f"n - ({cfg.percent} * n + 99) div 100 + 1"
+    total = docs.agg(F.sum(F.expr(posted)).alias("n")).first().n or 0
     ranges = max(8, -(-total // cfg.range_size))
     wanted, large = _trees(documents, classes, _counters(known, cfg), ranges, cfg)
     shape = wanted.agg(F.count("*").alias("rows"), F.sum("size").alias("m")).first()
@@ -638,7 +712,7 @@ def jaccard_components(documents: DataFrame, cfg: JoinConfig = JoinConfig()) ->
     n_large = large.count()
 
     def sets_of(some: DataFrame) -> DataFrame:
-        return _sets(texts.join(_hinted(some, shape.rows, cfg), F.col("id") == F.col("rep")), cfg)
+        return _sets(texts, some, shape.rows, cfg)
 
     deals = max(4, int(shape.m or 0) // (cfg.most_members // 6) + 1)
     small = sets_of(wanted.join(_hinted(large, n_large, cfg), "tree", "left_anti") if n_large else wanted)

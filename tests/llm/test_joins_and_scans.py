@@ -5,6 +5,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,51 @@ def test_jaccard_in_any_order(spark, most):
     assert {tuple(r) for r in got.collect()} == brute_components(rows, 2, 60)
 
 
+def test_jaccard_of_frequent_members(spark, monkeypatch):
+    # Every member of every set is frequent, so no order of the members tells unlike documents apart; their pieces do.
+    monkeypatch.setattr(ngramjoin, "_large_trees", lambda *_: pytest.fail("one tree of unlike documents"))
+    rows = quotes(120, 60, 0, 14, 9)
+    cfg = ngramjoin.JoinConfig(n=2, percent=90, most_leaves=20, small_group=4)
+    got = ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), cfg)
+    want = brute_components(rows, 2, 90)
+    assert {tuple(r) for r in got.collect()} == want and len({x[2] for x in want}) == 60
+
+
+@pytest.mark.parametrize("ids", [0, 10_000_000])
+def test_jaccard_shuffles_sets_not_texts(spark, monkeypatch, ids):
+    # Beyond the bound on broadcasts, the texts are made sets of before the join with their classes, and the rest left out.
+    rows, plans, join = near_copies(4), [], ngramjoin._join_by
+    monkeypatch.setattr(ngramjoin, "_join_by", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or join(df, *a))
+    cfg = ngramjoin.JoinConfig(n=3, percent=80, broadcast_rows=0, broadcast_ids=ids)
+    rows += [(rows[0][0], "another text of this id that is long enough for a set"), (None, rows[0][1]), (None, None)]
+    got = ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), cfg)
+    want = brute_components([r for r in rows if r[0] is not None], 3, 80)
+    assert {tuple(r) for r in got.where("doc_id is not null").collect()} == want and got.count() == len(rows)
+    assert plans and all(0 <= p.index("Join") < p.index("MapInArrow") for p in plans)
+
+
+@pytest.mark.parametrize("percent", [75, 80, 90, 97])
+def test_similar_sets_share_a_posted_piece(percent):
+    # Every pair at the similarity, down to the least overlap, whatever is heavy; unlike random sets share none.
+    rnd = np.random.default_rng(percent)
+    shingler = ngramjoin.Shingler(ngramjoin.JoinConfig(n=3, percent=percent))
+    draw = lambda n: rnd.integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False)
+    met = 0
+    for a in [*range(1, 60), 100, 350, 1000]:
+        for b in {a, a + 1, (a + 100 * a // percent) // 2, 100 * a // percent}:
+            need = -(-percent * (a + b) // (100 + percent))
+            if b < a or need > a or 100 * a < percent * b or need == a == b:
+                continue
+            met += 1
+            common, x, y = draw(need), draw(a - need), draw(b - need)
+            x, y = (np.unique(np.concatenate([common, z])) for z in (x, y))
+            whole = np.concatenate([shingler.pieces(x), shingler.pieces(y)]) >> np.uint64(16)
+            for heavy in (ngramjoin.NONE, np.unique(whole), np.unique(whole[::3])):
+                assert len(np.intersect1d(shingler.pieces(x, heavy), shingler.pieces(y, heavy)))
+    assert met > 30
+    assert not len(np.intersect1d(shingler.pieces(np.unique(draw(350))), shingler.pieces(np.unique(draw(350)))))
+
+
 def test_jaccard_odd_rows(spark, odd_docs, no_docs):
     got = ngramjoin.jaccard_components(odd_docs, ngramjoin.JoinConfig(n=3, percent=90)).collect()
     assert len(got) == odd_docs.count()
