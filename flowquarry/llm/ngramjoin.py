@@ -673,7 +673,7 @@ def _large_trees(sets: DataFrame, cfg: JoinConfig) -> DataFrame:
 
 def _trees(documents: DataFrame, classes: DataFrame, levels: np.ndarray, ranges: int, cfg: JoinConfig) -> tuple[DataFrame, DataFrame]:
     """(rep, class, tree, size) of the classes that share a tree with another, and the trees no single task can hold."""
-    heavy = NONE
+    heavy, before = NONE, float("inf")
     for again in range(cfg.reorders, -1, -1):
         posted = postings(documents, levels, heavy, ranges, cfg)
         met = stash(posted.groupBy("deal").applyInArrow(lambda t: _meet(t, cfg), "u long, v long, p int, q int, common int"), "join-meetings")
@@ -681,9 +681,11 @@ def _trees(documents: DataFrame, classes: DataFrame, levels: np.ndarray, ranges:
         trees = trees.unionAll(trees.select(F.col("root").alias("id"), "root").distinct())
         wanted = stash(trees.join(classes, trees.id == classes["class"]).select("rep", "class", F.col("root").alias("tree"), "size"), "join-wanted")
         large = wanted.groupBy("tree").agg(F.count("*").alias("k"), F.sum("size").alias("m")).where((F.col("k") > cfg.most_leaves) | (F.col("m") > cfg.most_members))
-        large = stash(large.select("tree"), "join-large")
-        worse = heavy
-        if again and large.count():
+        large = stash(large.select("tree", "k"), "join-large")
+        worse, held = heavy, large.agg(F.sum("k").alias("k")).first().k or 0
+        # Where the last order left the large trees as they were, as it does copies of one text, another is not tried.
+        if again and 0 < held < 0.9 * before:
+            before = held
             rows = met.where("common = -1").orderBy(F.desc("v"), "u").select("u").limit(max(0, cfg.most_heavy - len(heavy))).toArrow()
             worse = np.union1d(heavy, rows.column(0).to_numpy().astype(np.uint64))
         drop(met)
