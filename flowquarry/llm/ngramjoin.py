@@ -23,8 +23,8 @@ spanning forest of its links, never all pairs.
 Pieces of more members come first; members by rarity, estimated from the frequencies of their words, which a fixed-size
 counter array holds for all documents. Any common order keeps the result exact. A passage that many unlike documents
 quote may fill whole pieces, has rare words but frequent members, and would link all who quote it into one tree. So where
-a tree becomes large, what many classes were found to share moves to the end of the order, and the postings are dealt out
-anew.
+a tree becomes large, what many classes were found to share moves to the end of the order, and the postings of the large
+trees' classes, no others, are dealt out anew: what is similar shares a tree in any order.
 
 Defined cases: null and empty texts have no set, are linked with nothing and are their own component; texts with fewer
 words than n have their whole word sequence as the only member; repeated rows are copies; rows that share a doc_id are
@@ -281,10 +281,18 @@ def _order(member: np.ndarray, name: np.ndarray, size: np.ndarray) -> tuple[np.n
 POSTING = "deal int, kind int, a binary, b binary, c binary"
 
 
-def postings(docs: DataFrame, levels: np.ndarray, heavy: np.ndarray, ranges: int, cfg: JoinConfig) -> DataFrame:
+def _of(batch: pa.RecordBatch, ids: np.ndarray | None) -> pa.RecordBatch:
+    """The rows whose id, their second column, is one of the sorted ids; without ids, all rows."""
+    if ids is None:
+        return batch
+    own = batch.column(1).to_numpy()
+    return batch.filter(pa.array(ids[np.minimum(np.searchsorted(ids, own), len(ids) - 1)] == own if len(ids) else np.zeros(len(own), bool)))
+
+
+def postings(docs: DataFrame, levels: np.ndarray, heavy: np.ndarray, ids: np.ndarray | None, ranges: int, cfg: JoinConfig) -> DataFrame:
     """Columns of postings by hash range (kind 0: members or pieces, classes, set sizes), and of links between classes
-    that share one with many others in the task (kind 1: hub, class)."""
-    shared = docs.sparkSession.sparkContext.broadcast((levels, heavy))
+    that share one with many others in the task (kind 1: hub, class). With sorted ids, of these documents only."""
+    shared = docs.sparkSession.sparkContext.broadcast((levels, heavy, ids))
 
     def deal(found, names, sizes):
         each = [len(x) for x in found]
@@ -307,11 +315,11 @@ def postings(docs: DataFrame, levels: np.ndarray, heavy: np.ndarray, ranges: int
             yield pa.RecordBatch.from_arrays([pa.array([int(place[i.start]) for i in cut], pa.int32()), pa.array([0] * len(cut), pa.int32()), *cols], ["deal", "kind", "a", "b", "c"])
 
     def part(batches):
-        shingler, (level, last), whole = Shingler(cfg), shared.value, cfg.percent >= cfg.pieces_from
+        shingler, (level, last, some), whole = Shingler(cfg), shared.value, cfg.percent >= cfg.pieces_from
         done: set[int] = set()
         found, names, sizes, held = [], [], [], 0
         for b in batches:
-            for text in b.column(0).to_pylist():
+            for text in _of(b, some).column(0).to_pylist():
                 h = shingler.words(text)
                 if not len(h):
                     continue
@@ -337,13 +345,15 @@ def postings(docs: DataFrame, levels: np.ndarray, heavy: np.ndarray, ranges: int
         del found, names, sizes, shingler, done
         trim()
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(part, POSTING)
+    docs = docs.select(F.col("text").cast("binary"), F.col("doc_id").cast("long").alias("id"))
+    return (docs if ids is None else docs.where("id is not null")).mapInArrow(part, POSTING)
 
 
 def _meet(table: pa.Table, cfg: JoinConfig) -> pa.Table:
     """Columns (u, v, p, q, common) of one hash range: pairs of classes of like size, their sizes and the number of
     members that both share with few others; with common 0, links between the classes of a member that many share; with
-    common -1, that member (u, by its upper bytes) and the number of its classes here (v)."""
+    common -1, that member (u, by its upper bytes) and the number of its classes here (v). Pieces are not counted: the
+    classes of one are linked in the order of their sizes, and a spanning forest of all links is left."""
     kind = table.column("kind").to_numpy()
     a, b, c = (table.column(x).to_pylist() for x in "abc")
     posts, links = np.flatnonzero(kind == 0).tolist(), np.flatnonzero(kind == 1).tolist()
@@ -353,11 +363,21 @@ def _meet(table: pa.Table, cfg: JoinConfig) -> pa.Table:
     starts, lengths = _runs(member)
     own = np.repeat(lengths, lengths)
     big = own > cfg.small_group
-    u, v = stars(np.concatenate([np.repeat(name[starts], lengths)[big], *(np.frombuffer(a[i], np.int64) for i in links)]), np.concatenate([name[big], *(np.frombuffer(b[i], np.int64) for i in links)]))
+    u = [np.repeat(name[starts], lengths)[big], *(np.frombuffer(a[i], np.int64) for i in links)]
+    v = [name[big], *(np.frombuffer(b[i], np.int64) for i in links)]
     crowd = lengths > cfg.small_group
     many, wide = (member[starts[crowd]] >> np.uint64(64 - 8 * MEMBER_BYTES)).astype(np.int64), lengths[crowd].astype(np.int64)
     few = (own > 1) & ~big
     own, name, size, member = own[few], name[few], size[few], member[few]
+    if cfg.percent >= cfg.pieces_from:
+        # If two sizes are alike, so are all between them: neighbours link what all pairs of like size would.
+        by = np.lexsort((size, member))
+        x, y = size[by[:-1]].astype(np.int64), size[by[1:]].astype(np.int64)
+        near = np.flatnonzero((member[by[:-1]] == member[by[1:]]) & (100 * x >= cfg.percent * y))
+        u.append(name[by[near]])
+        v.append(name[by[near + 1]])
+        own, name, size, member = own[:0], name[:0], size[:0], member[:0]
+    u, v = stars(np.concatenate(u), np.concatenate(v))
     tables, held = [], 0
     # A slice holds whole groups, so that no more than a bounded number of pairs is in memory.
     lo = 0
@@ -534,21 +554,23 @@ def _meetings(met: DataFrame, cfg: JoinConfig) -> DataFrame:
     return met.where("common = 0").select("u", "v").unionAll(pairs.where(fits).select("u", "v"))
 
 
+def _ids(some: DataFrame) -> np.ndarray:
+    """The sorted ids of the documents that stand for classes."""
+    return np.unique(some.select("rep").toArrow().column(0).to_numpy())
+
+
 def _sets(texts: DataFrame, some: DataFrame, rows: int, cfg: JoinConfig) -> DataFrame:
     """(rep, name, tree, members, keys) of the classes (rep, class, tree), at most so many, of texts (id, text): sorted
     members and minimum hashes of the set. Texts never shuffle: where the classes are not broadcast, sets do."""
     wide = rows > cfg.broadcast_rows
-    ids = np.unique(some.select("rep").toArrow().column(0).to_numpy()) if wide and rows <= cfg.broadcast_ids else None
+    ids = _ids(some) if wide and rows <= cfg.broadcast_ids else None
     shared = texts.sparkSession.sparkContext.broadcast(ids)
     seeds = splitmix(np.arange(900, 900 + cfg.passes, dtype=np.uint64))
 
     def part(batches):
         shingler, done, wanted = Shingler(cfg), set(), shared.value
         for b in batches:
-            if wanted is not None:
-                at = np.minimum(np.searchsorted(wanted, b.column(1).to_numpy()), max(0, len(wanted) - 1))
-                b = b.filter(pa.array(wanted[at] == b.column(1).to_numpy() if len(wanted) else np.zeros(b.num_rows, bool)))
-            rows = []
+            b, rows = _of(b, wanted), []
             for text, rep, name, tree in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if (rep, name) in done:
                     continue
@@ -671,15 +693,21 @@ def _large_trees(sets: DataFrame, cfg: JoinConfig) -> DataFrame:
     return first.unionAll(second)
 
 
+def _posted(n: str, cfg: JoinConfig) -> str:
+    """About how many postings a set of n members has."""
+    return f"({n} * (100 - {cfg.percent}) div {cfg.percent} + 1) * 8 div 5" if cfg.percent >= cfg.pieces_from else f"{n} - ({cfg.percent} * {n} + 99) div 100 + 1"
+
+
 def _trees(documents: DataFrame, classes: DataFrame, levels: np.ndarray, ranges: int, cfg: JoinConfig) -> tuple[DataFrame, DataFrame]:
     """(rep, class, tree, size) of the classes that share a tree with another, and the trees no single task can hold."""
-    heavy, before = NONE, float("inf")
+    heavy, before, settled, left, ids = NONE, float("inf"), None, classes, None
     for again in range(cfg.reorders, -1, -1):
-        posted = postings(documents, levels, heavy, ranges, cfg)
+        posted = postings(documents, levels, heavy, ids, ranges, cfg)
         met = stash(posted.groupBy("deal").applyInArrow(lambda t: _meet(t, cfg), "u long, v long, p int, q int, common int"), "join-meetings")
         trees = components(_meetings(met, cfg))
         trees = trees.unionAll(trees.select(F.col("root").alias("id"), "root").distinct())
-        wanted = stash(trees.join(classes, trees.id == classes["class"]).select("rep", "class", F.col("root").alias("tree"), "size"), "join-wanted")
+        # A document of a class that is left may hold another text too, whose class names no tree of two orders.
+        wanted = stash(trees.join(left, trees.id == left["class"]).select("rep", "class", F.xxhash64("root", F.lit(again)).alias("tree"), "size"), "join-wanted")
         large = wanted.groupBy("tree").agg(F.count("*").alias("k"), F.sum("size").alias("m")).where((F.col("k") > cfg.most_leaves) | (F.col("m") > cfg.most_members))
         large = stash(large.select("tree", "k"), "join-large")
         worse, held = heavy, large.agg(F.sum("k").alias("k")).first().k or 0
@@ -691,12 +719,22 @@ def _trees(documents: DataFrame, classes: DataFrame, levels: np.ndarray, ranges:
         drop(met)
         if len(worse) == len(heavy):
             break
+        # The classes of the small trees are settled: no order takes a tree from two that are similar.
+        rows = large.count()
+        small = stash(wanted.join(_hinted(large, rows, cfg), "tree", "left_anti").select(wanted.columns), "join-settled")
+        settled = small if settled is None else settled.unionAll(small)
+        last, left = left, stash(wanted.join(_hinted(large, rows, cfg), "tree", "left_semi").select(wanted.columns).drop("tree"), "join-left")
+        if last is not classes:
+            drop(last)
+        if held <= cfg.broadcast_ids:
+            ids, total = _ids(left), left.agg(F.sum(F.expr(_posted("size", cfg))).alias("n")).first().n
+            ranges = max(8, -(-total // cfg.range_size))
         drop(wanted)
         drop(large)
         heavy = worse
-        del posted, met, trees, wanted, large
+        del posted, met, trees, wanted, large, last
         free_shuffles(documents.sparkSession)
-    return wanted, large
+    return wanted if settled is None else settled.unionAll(wanted), large
 
 
 def jaccard_components(documents: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
@@ -704,8 +742,7 @@ def jaccard_components(documents: DataFrame, cfg: JoinConfig = JoinConfig()) ->
     known = profile(by_batches(documents), cfg)
     docs = known.where("slot is null").select("doc_id", "n", "class")
     classes = docs.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("n").alias("size"))
-    posted = f"(n * (100 - {cfg.percent}) div {cfg.percent} + 1) * 8 div 5" if cfg.percent >= cfg.pieces_from else f"n - ({cfg.percent} * n + 99) div 100 + 1"
-    total = docs.agg(F.sum(F.expr(posted)).alias("n")).first().n or 0
+    total = docs.agg(F.sum(F.expr(_posted("n", cfg))).alias("n")).first().n or 0
     ranges = max(8, -(-total // cfg.range_size))
     wanted, large = _trees(documents, classes, _counters(known, cfg), ranges, cfg)
     shape = wanted.agg(F.count("*").alias("rows"), F.sum("size").alias("m")).first()

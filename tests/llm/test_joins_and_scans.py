@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +122,36 @@ def test_jaccard_of_frequent_members(spark, monkeypatch):
     assert {tuple(r) for r in got.collect()} == want and len({x[2] for x in want}) == 60
 
 
+def test_links_of_a_piece_grow_with_its_classes():
+    # One row less than classes, not one for each pair; sizes too far apart to be similar part them, and only these.
+    cfg, rnd = ngramjoin.JoinConfig(n=5, percent=80), random.Random(2)
+    sizes = {c: rnd.choice([100, 110, 120, 140, 200, 240]) for c in rnd.sample(range(10**6), 60)}
+    piece = np.full(60, 1 << 63, np.uint64)
+    cols = [[x] for x in (ngramjoin._planes(piece, ngramjoin.MEMBER_BYTES), ngramjoin._planes(np.array(list(sizes), np.int64), 8), ngramjoin._planes(np.array(list(sizes.values()), np.int32), 4))]
+    met = ngramjoin._meet(pa.table({"deal": [0], "kind": [0], "a": cols[0], "b": cols[1], "c": cols[2]}), cfg)
+    assert met.num_rows == 58
+    root, child = graph.stars(met["u"].to_numpy(), met["v"].to_numpy())
+    low = [c for c in sizes if sizes[c] <= 140]
+    assert sorted(zip(root, child, strict=True)) == sorted((min(g), c) for g in (low, sizes.keys() - low) for c in g if c != min(g))
+
+
+@pytest.mark.parametrize("ids", [0, 10_000_000])
+def test_jaccard_deals_out_anew_what_large_trees_hold(spark, monkeypatch, ids):
+    # The classes of small trees, and those that share none, are not posted again; the links are the same.
+    rows, deals, posted = quotes(120, 40, 14, 14, 5), [], ngramjoin.postings
+    monkeypatch.setattr(ngramjoin, "postings", lambda *a: deals.append(posted(*a)) or deals[-1])
+    rows += [(len(rows) + i, t) for i, t in near_copies(11)]
+    rows += [(len(rows) + i, f"{i} " * 50 + " ".join(f"x{i}y{j}" for j in range(60))) for i in range(100)]
+    # Rows that share a doc_id hold other texts, one of them like that of a settled row.
+    rows += [(0, rows[-1][1] + " more"), (1, " ".join(f"z{j}" for j in range(50))), (None, rows[0][1]), (None, None)]
+    cfg = ngramjoin.JoinConfig(n=4, percent=80, most_leaves=20, small_group=4, broadcast_ids=ids)
+    got = ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), cfg)
+    assert {tuple(r) for r in got.where("doc_id is not null").collect()} == brute_components([r for r in rows if r[0] is not None], 4, 80)
+    names = [{c for r in d.where("kind = 0").collect() for c in ngramjoin._unplanes(r.b, np.int64, 8).tolist()} for d in deals]
+    assert len(names) > 1 and len(names[0]) > 300
+    assert ids == 0 or all(len(x) <= 122 for x in names[1:])
+
+
 @pytest.mark.parametrize("ids", [0, 10_000_000])
 def test_jaccard_shuffles_sets_not_texts(spark, monkeypatch, ids):
     # Beyond the bound on broadcasts, the texts are made sets of before the join with their classes, and the rest left out.
